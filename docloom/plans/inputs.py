@@ -116,7 +116,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ollama_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests in the adapter's shape; some carry a prompt or nothing at all."""
     conv = F.col("conv_id")
-    last = F.element_at("messages", -1)["content"]
+    last = F.try_element_at("messages", F.lit(-1))["content"]
     return requests(spark, sf_dir).select(
         "request_id",
         "req_no",

@@ -17,7 +17,9 @@ Extractor = Callable[..., Iterable[tuple[str | None, str | None, int | None]]]
 
 # Element types of the HTML tags.
 HTML_TYPES = {"h1": "Title", "p": "NarrativeText", "li": "ListItem"}
-HTML_ELEMENT = r"(?s)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)>"
+
+# Rows handed back to Spark at once.
+OUT_ROWS = 10_000
 
 EXTRACTED = (
     "file_path string, elem_idx int, type string, text string, page_number int, "
@@ -105,11 +107,21 @@ def extract(files: DataFrame, extractor: Extractor, strategy: str = "auto") -> D
 
     names = [f.strip().split(" ")[0] for f in EXTRACTED.split(",")]
 
+    def frame(buffer: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(buffer, columns=names, dtype=object)
+        return out.astype({"elem_idx": "Int32", "page_number": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buffer: list[tuple] = []
         for batch in batches:
             for path, content in zip(batch["file_path"], batch["content"]):
-                out = pd.DataFrame(list(rows(path, content)), columns=names, dtype=object)
-                yield out.astype({"elem_idx": "Int32", "page_number": "Int32"})
+                for row in rows(path, content):
+                    buffer.append(row)
+                    if len(buffer) == OUT_ROWS:
+                        yield frame(buffer)
+                        buffer = []
+        if buffer:
+            yield frame(buffer)
 
     return files.select("file_path", "content").mapInPandas(run, EXTRACTED)
 
