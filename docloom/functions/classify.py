@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import contains_any, count_contained
+from .text import contains_any, count_contained, let
 
 
 def _share(text: Column, markers: list[str]) -> Column:
@@ -48,7 +48,17 @@ def verdict(title: Column, tags: Column, general: Column) -> Column:
     )
 
 
-def with_verdict(df, text: str):
+def meta_verdict(text: Column) -> Column:
+    """The verdict as a single expression, for use inside other expressions."""
+    scores = F.struct(
+        title_score(text).alias("title"),
+        tags_score(text).alias("tags"),
+        general_score(text).alias("general"),
+    )
+    return let(scores, lambda s: verdict(s["title"], s["tags"], s["general"]))
+
+
+def with_verdict(df: DataFrame, text: str) -> DataFrame:
     """Add column ``meta``; the scores are projected first so each is computed once."""
     scored = df.withColumns(
         {

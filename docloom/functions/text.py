@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters Python's str.strip() removes, as a regex class
@@ -85,6 +85,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def numbered_rows(df: DataFrame, keep: list, array: Column, pos: str, value: str) -> DataFrame:
+    """One row per array element with its 0-based position.
+
+    For arrays that are costly to compute: a plain ``posexplode`` makes
+    Catalyst infer a non-empty filter that computes the array a second time.
+    """
+    exploded = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return exploded.where(F.col(pos).isNotNull())
+
+
 def number_text(value: Column) -> Column:
     """Thousands-separated integer."""
     return F.format_number(value, 0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import let, tokens
+from ..functions.text import let, numbered_rows, tokens
 
 ChunkParser = Callable[[DataFrame], DataFrame]
 
@@ -50,9 +50,8 @@ def chunk_fixed(
         )
 
     rest = [c for c in docs.columns if c not in (doc_id, text)]
-    return docs.select(
-        doc_id, *rest, F.posexplode(let(tokens(F.col(text)), windows)).alias("chunk_idx", "c")
-    ).select(doc_id, "chunk_idx", "c.tok_start", "c.tok_end", "c.text", *rest)
+    cut = let(tokens(F.col(text)), windows)
+    return numbered_rows(docs, [doc_id, *rest], cut, "chunk_idx", "c").select(doc_id, "chunk_idx", "c.tok_start", "c.tok_end", "c.text", *rest)
 
 
 def _level_spans(n: Column, sizes: Sequence[int], overlap: int) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.classify import is_flagged, is_suspicious, with_verdict
-from ..functions.text import strip
+from ..functions.classify import is_flagged, is_suspicious, meta_verdict
+from ..functions.text import let, numbered_rows, strip
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
@@ -52,9 +52,8 @@ def normalize_role(role: Column) -> Column:
 
 def message_rows(requests: DataFrame) -> DataFrame:
     """One row per message with its 0-based position and its keyword flag."""
-    return requests.select(
-        "request_id", "chat_id", "req_no", F.posexplode("messages").alias("pos", "message")
-    ).select(
+    keep = ["request_id", "chat_id", "req_no"]
+    return numbered_rows(requests, keep, F.col("messages"), "pos", "message").select(
         "request_id",
         "chat_id",
         "req_no",
@@ -65,62 +64,92 @@ def message_rows(requests: DataFrame) -> DataFrame:
     )
 
 
-def with_last_user_message(requests: DataFrame) -> DataFrame:
-    """Add ``user_messages`` (texts in order) and ``last_user`` (NULL when there is none)."""
-    users = F.transform(F.filter("messages", lambda m: is_user(m["role"])), lambda m: m["content"])
-    return requests.withColumn("user_messages", users).withColumn(
-        "last_user", F.try_element_at("user_messages", F.lit(-1))
-    )
+def user_texts(messages: Column) -> Column:
+    """Texts of the user messages, in order."""
+    return F.transform(F.filter(messages, lambda m: is_user(m["role"])), lambda m: m["content"])
+
+
+def last_of(texts: Column) -> Column:
+    return F.try_element_at(texts, F.lit(-1))
 
 
-def alternative(user_messages: Column) -> Column:
+def alternative(texts: Column) -> Column:
     """``struct<content, idx>`` of the newest user message that is long enough and clean.
 
     Used only when the last message is suspicious, which then cannot be its
     own alternative, so the last message needs no special exclusion.
     """
     numbered = F.transform(
-        user_messages, lambda text, i: F.struct(text.alias("content"), (i + 1).alias("idx"))
+        texts, lambda text, i: F.struct(text.alias("content"), (i + 1).alias("idx"))
     )
     usable = F.filter(
         numbered, lambda m: (F.length(m["content"]) > 10) & ~is_suspicious(m["content"])
     )
-    return F.try_element_at(usable, F.lit(-1))
+    return last_of(usable)
+
+
+def _choose(texts: Column, last: Column, meta: Column) -> Column:
+    """The question, and whether and which earlier message it is."""
+
+    def chosen(s: Column) -> Column:
+        return F.struct(
+            last.alias("last_user"),
+            meta.alias("meta"),
+            s["suspicious"].alias("suspicious"),
+            s["alternative"].isNotNull().alias("alternative_used"),
+            s["alternative"]["idx"].alias("alternative_idx"),
+            F.coalesce(s["alternative"]["content"], last).alias("question"),
+        )
+
+    doubted = ~meta["is_meta"] & F.coalesce(is_suspicious(last), F.lit(False))
+    looked = let(
+        doubted,
+        lambda d: F.struct(d.alias("suspicious"), F.when(d, alternative(texts)).alias("alternative")),
+    )
+    return let(looked, chosen)
+
+
+def resolution(messages: Column) -> Column:
+    """One struct with everything that is decided about a request.
+
+    The steps are bound as variables: whatever filter a caller puts on the
+    result, Catalyst repeats the whole expression at most once, not every
+    step for every use of it.
+    """
+
+    def checked(r: Column) -> Column:
+        missing = r["last_user"].isNull()
+        too_short = ~r["meta"]["is_meta"] & (F.length(strip(r["question"])) < 3)
+        return F.when(missing, fixed.ERROR_NO_USER).when(too_short, fixed.ERROR_TOO_SHORT)
+
+    def outcome(r: Column, detail: Column) -> Column:
+        fields = ["last_user", "meta", "suspicious", "alternative_used", "alternative_idx", "question"]
+        return F.struct(
+            *[r[f].alias(f) for f in fields],
+            detail.alias("detail"),
+            F.when(detail.isNull(), 200).otherwise(500).alias("status_code"),
+            F.when(detail.isNotNull(), "error")
+            .when(r["meta"]["is_meta"], "meta")
+            .otherwise("retrieval")
+            .alias("route"),
+        )
+
+    decided = let(
+        user_texts(messages),
+        lambda texts: let(
+            last_of(texts),
+            lambda last: let(meta_verdict(last), lambda meta: _choose(texts, last, meta)),
+        ),
+    )
+    return let(decided, lambda r: let(checked(r), lambda detail: outcome(r, detail)))
 
 
 def resolve(requests: DataFrame) -> DataFrame:
     """The question that is answered, its class, and the outcome of the checks.
 
     Adds ``last_user``, ``meta``, ``suspicious``, ``alternative_used``,
-    ``alternative_idx``, ``question``, ``route``, ``status_code`` and
-    ``detail``. Failed checks end as status 500 carrying the text of the
+    ``alternative_idx``, ``question``, ``detail``, ``status_code`` and
+    ``route``. Failed checks end as status 500 carrying the text of the
     error they started as.
     """
-    classified = with_verdict(with_last_user_message(requests), "last_user")
-    is_meta = F.col("meta.is_meta")
-    looked = classified.withColumn(
-        "suspicious", ~is_meta & F.coalesce(is_suspicious(F.col("last_user")), F.lit(False))
-    ).withColumn("_alt", F.when(F.col("suspicious"), alternative(F.col("user_messages"))))
-    chosen = looked.withColumns(
-        {
-            "alternative_used": F.col("_alt").isNotNull(),
-            "alternative_idx": F.col("_alt.idx"),
-            "question": F.coalesce(F.col("_alt.content"), F.col("last_user")),
-        }
-    )
-    missing = F.col("last_user").isNull()
-    too_short = ~is_meta & (F.length(strip(F.col("question"))) < 3)
-    return (
-        chosen.withColumn(
-            "detail", F.when(missing, fixed.ERROR_NO_USER).when(too_short, fixed.ERROR_TOO_SHORT)
-        )
-        .withColumns(
-            {
-                "status_code": F.when(F.col("detail").isNull(), 200).otherwise(500),
-                "route": F.when(F.col("detail").isNotNull(), "error")
-                .when(is_meta, "meta")
-                .otherwise("retrieval"),
-            }
-        )
-        .drop("_alt", "user_messages")
-    )
+    return requests.withColumn("_r", resolution(F.col("messages"))).select("*", "_r.*").drop("_r")

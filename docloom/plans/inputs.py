@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import numbered_rows
+from ..session import spread
 
 # A replaying client resends this many turns at most, the question included.
 REPLAY_TURNS = 8
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores for chunking and embedding."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 # Indices into the title markers followed by the four tags-only markers.
 META_MARKERS = fixed.TITLE_MARKERS + [m for m in fixed.TAGS_MARKERS if m not in fixed.TITLE_MARKERS]
 META_FAMILIES = {
@@ -134,9 +141,11 @@ def ollama_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One element per line of a document; some without a page or a type."""
-    lines = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("elem_idx", "text")
-    )
+    return document_elements(table(spark, sf_dir, "documents"))
+
+
+def document_elements(docs: DataFrame) -> DataFrame:
+    lines = numbered_rows(docs, ["doc_id", "source"], F.split("text", "\n"), "elem_idx", "text")
     directory = F.concat(F.lit("./PDFs/"), F.col("source"))
     filename = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".pdf"))
     i = F.col("elem_idx")

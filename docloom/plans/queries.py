@@ -69,7 +69,7 @@ def q_file_profile(spark, d):
 
 def element_json(spark, d):
     """``file_path, json``: the elements of a document as an extractor returns them."""
-    docs = inputs.table(spark, d, "documents")
+    docs = inputs.documents(spark, d)
 
     def element(line, i):
         page = F.when((F.col("doc_id") + i) % 11 != 0, (1 + F.floor(i / 5)).cast("int"))
@@ -107,7 +107,8 @@ def q_extract_fallback(spark, d):
         "page_id", E.html_tags(html, ["pre", "table"]).alias("a"), E.html_tags(html, ["p"]).alias("b")
     )
     markup, used = E.with_fallback(F.col("a"), F.col("b"), ("blocks", "paragraphs"))
-    return pages.select("page_id", used.alias("strategy_used"), F.explode(markup).alias("m")).groupBy(
+    keep = ["page_id", used.alias("strategy_used")]
+    return X.numbered_rows(pages, keep, markup, "i", "m").groupBy(
         "page_id", "strategy_used"
     ).agg(F.count(F.lit(1)).alias("n_elements"), F.sum(F.length(E.html_text(F.col("m")))).alias("n_chars"))
 
@@ -242,9 +243,9 @@ def q_role_normalize(spark, d):
 
 @query
 def q_last_user_message(spark, d):
-    found = R.with_last_user_message(inputs.requests(spark, d))
+    found = inputs.requests(spark, d).select("request_id", R.user_texts(F.col("messages")).alias("texts"))
     return found.select(
-        "request_id", F.size("user_messages").cast("long").alias("n_user_messages"), "last_user"
+        "request_id", F.size("texts").cast("long").alias("n_user_messages"), R.last_of(F.col("texts")).alias("last_user")
     )
 
 
@@ -382,7 +383,7 @@ def q_history_length_at(spark, d):
 
 
 def _documents(spark, d):
-    return inputs.table(spark, d, "documents").select("doc_id", "text")
+    return inputs.documents(spark, d).select("doc_id", "text")
 
 
 def _chunks(spark, d):
@@ -403,7 +404,7 @@ def q_chunk_fixed(spark, d):
 
 @query
 def q_chunk_hierarchical(spark, d):
-    docs = inputs.table(spark, d, "documents").select("doc_id", "text", "source")
+    docs = inputs.documents(spark, d).select("doc_id", "text", "source")
     spans = [long(c).alias(c) for c in ("level", "chunk_idx", "tok_start", "tok_end")]
     return K.chunk_hierarchical(docs).select("node_id", "doc_id", *spans, "text", "parent_id", "source")
 
@@ -437,7 +438,7 @@ def q_chunk_dedup(spark, d):
 
 
 def _nonzero(embedded, key):
-    return embedded.select(key, F.posexplode("embedding").alias("dim", "w")).where(F.col("w") != 0).select(
+    return X.numbered_rows(embedded, [key], F.col("embedding"), "dim", "w").where(F.col("w") != 0).select(
         key, long("dim").alias("dim"), F.round(F.col("w").cast("double"), 5).alias("weight")
     )
 
@@ -655,9 +656,9 @@ def q_ollama_response(spark, d):
     )
 
 
-def _document_nodes(spark, d):
-    """Chunks of the documents with metadata and model vectors."""
-    docs = inputs.table(spark, d, "documents").select(
+def _document_nodes(spark, d, embed=embed_hash):
+    """Chunks of the documents with metadata and vectors."""
+    docs = inputs.documents(spark, d).select(
         F.col("doc_id").cast("string").alias("doc_id"),
         "text",
         F.struct(
@@ -667,13 +668,13 @@ def _document_nodes(spark, d):
             F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 12 + 1).cast("int")).alias("page_number"),
         ).alias("metadata"),
     )
-    return embed_model(K.chunk_hierarchical(docs))
+    return embed(K.chunk_hierarchical(docs))
 
 
 def _answered(spark, d):
     """The whole job: documents to an index, requests to cited answers."""
     index = Collection(spark, scratch_path(spark, "answer"), "documents")
-    index.rebuild(_document_nodes(spark, d))
+    index.rebuild(_document_nodes(spark, d, embed_model))
     return P.answer_requests(inputs.requests(spark, d), ingest.index_rows(index.read()), embed_model)
 
 
@@ -761,7 +762,7 @@ def q_index_reconcile(spark, d):
 @query
 def q_build_index(spark, d):
     index = Collection(spark, scratch_path(spark, "index"), "elements")
-    index.rebuild(ingest.build_nodes(inputs.elements(spark, d)))
+    index.rebuild(ingest.build_nodes(inputs.document_elements(inputs.documents(spark, d))))
     return _level_stats(index.read())
 
 

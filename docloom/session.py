@@ -64,3 +64,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a table scan that has fewer partitions than there are cores.
+
+    For costly narrow work on a few large files or row groups; a table with
+    enough splits is left alone. Call it on a scan only: asking a frame with
+    a shuffle for its partitions would run that shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

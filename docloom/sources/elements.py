@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import numbered_rows, strip
 from ..operators.elements import normalize
 from ..schemas import ELEMENT_JSON
 
@@ -44,7 +44,7 @@ def parse_element_json(df: DataFrame, column: str = "json") -> DataFrame:
     """Element rows from a column with a JSON array per file (``file_path``)."""
     parsed = F.from_json(F.col(column), "array<struct<text string, type string, metadata struct<page_number int>>>")
     return normalize(
-        df.select("file_path", F.posexplode(parsed).alias("elem_idx", "e")).select(
+        numbered_rows(df, ["file_path"], parsed, "elem_idx", "e").select(
             "file_path", "elem_idx", "e.text", "e.type", F.col("e.metadata.page_number").alias("page_number")
         )
     )
@@ -67,7 +67,7 @@ def html_text(markup: Column) -> Column:
 
 def html_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One row per h1, p or li element of a page."""
-    return pages.select(key, F.posexplode(html_tags(F.col(html))).alias("elem_idx", "m")).select(
+    return numbered_rows(pages, [key], html_tags(F.col(html)), "elem_idx", "m").select(
         key, "elem_idx", html_type(F.col("m")).alias("type"), html_text(F.col("m")).alias("text")
     )
 

@@ -1,0 +1,110 @@
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.functions import fixed
+from docloom.operators import requests as R
+from docloom.schemas import CHAT_REQUEST, OLLAMA_REQUEST
+from docloom.sources.chat import from_ollama
+
+
+def frame(spark, *message_lists, chat_id="c"):
+    rows = [
+        (f"r{i}", i, chat_id, None, None, None, [tuple(m) for m in messages])
+        for i, messages in enumerate(message_lists)
+    ]
+    return spark.createDataFrame(rows, CHAT_REQUEST)
+
+
+def resolve_one(spark, *messages):
+    return R.resolve(frame(spark, messages)).first()
+
+
+@pytest.mark.parametrize(
+    "content,detail",
+    [
+        ("", fixed.ERROR_TOO_SHORT),
+        ("  ", fixed.ERROR_TOO_SHORT),
+        ("ab", fixed.ERROR_TOO_SHORT),
+        (" ab ", fixed.ERROR_TOO_SHORT),
+        ("\t\n", fixed.ERROR_TOO_SHORT),
+        ("abc", None),
+        ("Was ist das?", None),
+    ],
+)
+def test_length_check(spark, content, detail):
+    row = resolve_one(spark, ("user", content))
+    assert row.detail == detail
+    assert (row.status_code, row.route) == ((500, "error") if detail else (200, "retrieval"))
+
+
+def test_no_user_message(spark):
+    for messages in ([], [("assistant", "Hallo")], [("system", "x"), ("tool", "y")]):
+        row = resolve_one(spark, *messages)
+        assert (row.detail, row.status_code, row.last_user) == (fixed.ERROR_NO_USER, 500, None)
+
+
+def test_role_case(spark):
+    row = resolve_one(spark, ("USER", "Frage eins"), ("Assistant", "x"), ("uSeR", "Frage zwei"), ("tool", "y"))
+    assert row.last_user == "Frage zwei"
+
+
+def test_alternative_is_newest_usable(spark):
+    row = resolve_one(
+        spark,
+        ("user", "Wie alt ist das Haus?"),
+        ("user", "Wie breit ist die Wand?"),
+        ("assistant", "Das ist eine lange Antwort"),
+        ("user", "kurz"),
+        ("user", "Montag kommt der Bagger"),
+        ("user", "welche Etage"),
+    )
+    assert (row.suspicious, row.alternative_used, row.alternative_idx) == (True, True, 2)
+    assert row.question == "Wie breit ist die Wand?"
+
+
+def test_alternative_needs_more_than_ten_characters(spark):
+    for text, used in (("1234567890", False), ("12345678901", True)):
+        row = resolve_one(spark, ("user", text), ("user", "welche Etage"))
+        assert row.alternative_used is used
+        assert row.question == (text if used else "welche Etage")
+
+
+def test_clean_message_keeps_itself(spark):
+    row = resolve_one(spark, ("user", "Wie alt ist das Haus?"), ("user", "Wie breit?"))
+    assert (row.suspicious, row.alternative_used, row.question) == (False, False, "Wie breit?")
+
+
+def test_meta_is_not_suspicious_nor_too_short(spark):
+    row = resolve_one(spark, ("user", "Wie alt ist das Haus?"), ("user", " ".join(fixed.TAGS_MARKERS[1:])))
+    assert (row.route, row.suspicious, row.alternative_used) == ("meta", False, False)
+
+
+def test_sessions(spark):
+    base = frame(spark, [("user", "x")])
+    for given in (None, ""):
+        a = R.with_session(base.withColumn("chat_id", F.lit(given).cast("string"))).first()
+        assert a.new_session and len(a.chat_id) == 64
+    assert R.with_session(base).first().chat_id == "c"
+    ids = R.with_session(base.withColumn("chat_id", F.lit("")), random_ids=True).first().chat_id
+    assert len(ids) == 36
+
+
+def test_defaults(spark):
+    row = R.with_defaults(frame(spark, [("user", "x")])).first()
+    assert (row.model, row.temperature, row.max_tokens) == ("llama3.2:1b", 0.7, 1000)
+
+
+def test_ollama_requests(spark):
+    rows = [
+        ("a", 0, "m", "p", [("user", "q")], 0.1, 5, False, {"temperature": "0.3"}),
+        ("b", 1, None, "p", None, None, None, True, {}),
+        ("c", 2, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, OLLAMA_REQUEST)
+    a, b, c = from_ollama(df).orderBy("request_id").collect()
+    assert [m.content for m in a.messages] == ["q"] and (a.model, a.temperature, a.max_tokens) == ("m", 0.1, 5)
+    assert [tuple(m) for m in b.messages] == [("user", "p")] and (b.model, b.temperature) == ("llama3.2:1b", 0.7)
+    assert [tuple(m) for m in c.messages] == [("user", "")]
+    assert all(r.chat_id is None for r in (a, b, c))
+    a, b, c = from_ollama(df, use_options=True).orderBy("request_id").collect()
+    assert [r.temperature for r in (a, b, c)] == [0.3, 0.7, 0.7] and a.max_tokens == 1000
