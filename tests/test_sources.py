@@ -67,21 +67,25 @@ def test_element_json(spark, tmp_path):
     assert {(r.file_directory, r.filename) for r in rows} == {("f", "doc.pdf")}
 
 
-def with_strategy(content, strategy):
-    if content == b"boom":
-        raise RuntimeError("broken file")
-    return [("Title", f"{strategy}:{content.decode()}", 1), (None, None, None)] if content else []
+def extractors():
+    """Built here so that Spark ships them by value: its workers cannot import this file."""
 
+    def with_strategy(content, strategy):
+        if content == b"boom":
+            raise RuntimeError("broken file")
+        return [("Title", f"{strategy}:{content.decode()}", 1), (None, None, None)] if content else []
 
-def without_strategy(content):
-    return [("Title", content.decode(), None)]
+    def without_strategy(content):
+        return [("Title", content.decode(), None)]
 
+    def other_type_error(content, strategy):
+        raise TypeError("something else")
 
-def other_type_error(content, strategy):
-    raise TypeError("something else")
+    return with_strategy, without_strategy, other_type_error
 
 
 def test_extraction_isolates_failures(spark):
+    with_strategy, without_strategy, other_type_error = extractors()
     df = spark.createDataFrame(
         [("a/1.pdf", b"eins"), ("a/2.pdf", b"boom"), ("a/3.pdf", b"")], "file_path string, content binary"
     )
