@@ -271,14 +271,13 @@ def knn(
     it is larger, the cell join is used instead.
     """
     queries = queries.select("query_id", "embedding")
-    head = queries.limit(1).toPandas()
-    dim = len(head["embedding"].iloc[0]) if len(head) else 1
-    allowed = max(1, scan_bytes // (8 * dim))
-    small = queries.limit(allowed + 1).toPandas() if allowed else head
+    first = nodes.select(F.size("embedding")).head()
+    allowed = max(1, scan_bytes // (8 * first[0])) if first else 0
+    small = queries.limit(allowed + 1).toPandas() if first else None
+    if small is None or small.empty:
+        return top_k(nodes.sparkSession.createDataFrame([], _hits_schema(queries, nodes)), k)
     if len(small) > allowed:
         return knn_cells(queries, nodes, k, cells)
-    if small.empty:
-        return top_k(nodes.sparkSession.createDataFrame([], _hits_schema(queries, nodes)), k)
     return top_k(_scan(queries, nodes, small, k), k)
 
 

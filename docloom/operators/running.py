@@ -12,32 +12,38 @@ def running_total(
     order: str,
     values: dict[str, Column],
     block: int = 4096,
+    levels: int = 1,
 ) -> DataFrame:
     """Inclusive running sums of ``values`` per key, in the order of ``order``.
 
     ``order`` is an integral column, unique within a key. A key is cut into
     blocks of ``block`` consecutive order values, so a window task holds at
-    most ``block`` rows of it however hot the key is; the totals of the
-    earlier blocks (one row per block) are then added. The block of a row
-    depends on its own values only, so recomputed tasks agree.
+    most ``block`` rows of it however hot the key is. The totals of the
+    blocks, one row each, are then summed up. With more ``levels`` that is
+    done in blocks as well: sparse order values, such as timestamps, make
+    many blocks, and each level divides their number range by ``block``.
+    The block of a row depends on its own values only, so recomputed tasks
+    agree.
     """
+    blk = f"_blk{levels}"
+    window = Window.partitionBy(*keys, *([blk] if levels else [])).orderBy(order)
+    window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = [c for c in df.columns if c not in values]
+    if not levels:
+        return df.select(*rest, *[F.sum(v).over(window).alias(n) for n, v in values.items()])
     tagged = df.withColumns(
-        {"_blk": F.floor(F.col(order) / F.lit(block)), **{f"_v_{n}": v for n, v in values.items()}}
+        {blk: F.floor(F.col(order) / F.lit(block)), **{f"_v_{n}": v for n, v in values.items()}}
     )
-    within = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    totals = tagged.groupBy(*keys, blk).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    reached = running_total(
+        totals, keys, blk, {f"_r_{n}": F.col(f"_t_{n}") for n in values}, block, levels - 1
     )
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = tagged.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    offsets = totals.select(
-        *keys, "_blk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values]
-    )
-    local = tagged.withColumns({n: F.sum(f"_v_{n}").over(within) for n in values})
-    joined = local.join(offsets, [*keys, "_blk"])
-    return joined.select(
-        *[c for c in df.columns if c not in values],
-        *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in values],
+    before = reached.select(
+        *keys, blk, *[(F.col(f"_r_{n}") - F.col(f"_t_{n}")).alias(f"_o_{n}") for n in values]
     )
+    local = tagged.withColumns({n: F.sum(f"_v_{n}").over(window) for n in values})
+    joined = local.join(before, [*keys, blk])
+    return joined.select(*rest, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in values])
 
 
 def ordinal(df: DataFrame, keys: list[str], order: str, name: str = "ordinal", block: int = 4096) -> DataFrame:

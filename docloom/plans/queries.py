@@ -20,7 +20,7 @@ from ..operators import knn as N
 from ..operators import requests as R
 from ..operators.embed import HASH_DIM, embed_hash, hash_model, model_column
 from ..operators.records import AUDIT, audit_lines, ollama_response, ollama_response_timed, response_id
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import elements as E
 from ..sources import files, logs
 from ..sources.chat import from_ollama
@@ -357,26 +357,26 @@ def q_context_history(spark, d):
     return _entry_columns(C.context_history(C.merge_history(_requests(spark, d))))
 
 
-def _with_answers(spark, d):
-    resolved = _resolved(spark, d)
+def _with_answers(resolved):
     answers = resolved.where(F.col("route") == "retrieval").select("chat_id", "req_no", "answer")
     return C.history_with_answers(C.message_entries(resolved), answers)
 
 
 @query
 def q_history_with_answers(spark, d):
-    return _entry_columns(_with_answers(spark, d))
+    return _entry_columns(_with_answers(materialize(_resolved(spark, d), "resolved")))
 
 
 @query
 def q_history_length(spark, d):
-    return C.history_length(_with_answers(spark, d))
+    return C.history_length(_with_answers(materialize(_resolved(spark, d), "resolved")))
 
 
 @query
 def q_history_length_at(spark, d):
-    requests = _requests(spark, d).select("request_id", "chat_id", "req_no")
-    return C.history_length_at(requests, _with_answers(spark, d)).select("request_id", "history_length")
+    resolved = materialize(_resolved(spark, d), "resolved")
+    asked = resolved.select("request_id", "chat_id", "req_no")
+    return C.history_length_at(asked, _with_answers(resolved)).select("request_id", "history_length")
 
 
 # --- chunks ----------------------------------------------------------------------
@@ -496,7 +496,7 @@ def q_knn_scores(spark, d):
 
 
 def _found(spark, d):
-    return A.hits_with_metadata(_hits(spark, d), inputs.nodes(spark, d))
+    return A.hits_with_metadata(materialize(_hits(spark, d), "hits"), inputs.nodes(spark, d))
 
 
 @query

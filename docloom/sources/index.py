@@ -62,11 +62,20 @@ class Collection:
     def add(self, nodes: DataFrame, dedupe: bool = False) -> None:
         """Append; nodes already stored are stored again unless ``dedupe`` is set."""
         done = _generations(self.spark, self.folder)
-        if dedupe:
-            known = self.read().select("node_id").distinct()
-            nodes = nodes.dropDuplicates(["node_id"]).join(known, "node_id", "left_anti")
+        nodes = self.unknown(nodes) if dedupe else nodes
         self._write(nodes, done[-1] if done else 1, "append")
 
+    def unknown(self, nodes: DataFrame) -> DataFrame:
+        """The nodes whose ids are not stored yet, each id once.
+
+        Both sides of the anti join hold an id once, so no id is a hot key.
+        Only the id column of the stored nodes is read.
+        """
+        once = nodes.dropDuplicates(["node_id"])
+        if not self.exists():
+            return once
+        return once.join(self.read().select("node_id").distinct(), "node_id", "left_anti")
+
     def delete_all(self) -> None:
         """Empty the collection; a missing one is not an error."""
         if self.exists():

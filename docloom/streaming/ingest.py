@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 
-from ..plans.ingest import build_nodes
+from ..operators.chunks import ChunkParser, hierarchical_parser
+from ..operators.embed import embed_hash
+from ..plans.ingest import element_documents
+from ..session import spread
 from ..sources.index import Collection
 from .sink import run_batches
 
@@ -15,11 +16,18 @@ def ingest_stream(
     elements: DataFrame,
     collection: Collection,
     checkpoint: str,
-    nodes: Callable[[DataFrame], DataFrame] = build_nodes,
+    parser: ChunkParser | None = None,
+    embed=embed_hash,
 ) -> None:
     """Chunk, embed and add the elements that arrived since the last run.
 
-    Node ids are hashes of what a node is, and known ids are left out, so a
-    micro-batch that runs twice stores nothing twice.
+    Node ids are hashes of what a node is, and known ids are left out before
+    the embedding, so a micro-batch that runs twice stores nothing twice and
+    nothing is embedded twice.
     """
-    run_batches(elements, lambda batch, _: collection.add(nodes(batch), dedupe=True), checkpoint)
+
+    def add(batch: DataFrame, _: int) -> None:
+        nodes = (parser or hierarchical_parser())(spread(element_documents(batch), "doc_id"))
+        collection.add(embed(collection.unknown(nodes), "text"))
+
+    run_batches(elements, add, checkpoint)

@@ -164,3 +164,36 @@ def test_responses(answered):
     assert {k: v.id for k, v in got.items()} == {
         "r0": "chatcmpl-chat", "r1": "chatcmpl-chat-meta", "r3": "chatcmpl-chat"
     }
+
+
+def test_generator_hook(spark):
+    from docloom.operators.generate import generator_column
+
+    meta = " ".join(fixed.TITLE_MARKERS)
+    rows = [("a", 0, "c", None, None, None, [("user", "Was ist rot?")]), ("b", 1, "c", None, None, None, [("user", meta)]),
+            ("c", 2, "c", None, None, None, [("user", "Was ist kaputt?")]), ("d", 3, "c", None, None, None, [])]
+    prepared = P.prepare(spark.createDataFrame(rows, CHAT_REQUEST))
+    found = spark.createDataFrame([("a", 1, "Die Wand ist rot.")], "query_id string, rank int, text string")
+
+    def load():
+        def generate(prompt):
+            if "kaputt" in prompt:
+                raise RuntimeError("no answer")
+            return f"<{prompt[-40:]}>"
+
+        return generate
+
+    asked = P.prompts(prepared, found)
+    got = {r.request_id: r for r in asked.withColumn("answer", generator_column(load)("prompt")).collect()}
+    assert "\n\nDokument 1:\nDie Wand ist rot.\n\nFrage: Was ist rot?\n\nAntwort:" in got["a"].prompt
+    assert got["a"].answer.endswith("Was ist rot?\n\nAntwort:>") and got["b"].prompt == meta
+    assert got["b"].answer and got["c"].answer is None and got["d"].prompt is None and got["d"].answer is None
+
+
+def test_a_node_hit_by_most_queries(spark):
+    hits = spark.range(3000).selectExpr("id query_id", "case when id % 3 > 0 then 'hot' else 'n' || id % 7 end node_id")
+    nodes = spark.createDataFrame([("hot", 1), ("n0", 2), ("n3", 3), ("n6", 4), ("other", 5)], "node_id string, page int")
+    got = A.hits_with_metadata(hits, nodes)
+    assert got.columns == ["node_id", "query_id", "page"] or set(got.columns) == {"node_id", "query_id", "page"}
+    expected = hits.where("node_id in ('hot', 'n0', 'n3', 'n6')").count()
+    assert got.count() == expected and got.where("node_id = 'hot'").select("page").distinct().count() == 1
