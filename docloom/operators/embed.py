@@ -54,6 +54,12 @@ def model_column(load: Callable[[], Model], batch: int = fixed.EMBED_BATCH) -> C
     return embed
 
 
+def embedder(load: Callable[[], Model], batch: int = fixed.EMBED_BATCH) -> Callable[..., DataFrame]:
+    """``embed(df, text="text")`` adding ``embedding`` by a model."""
+    column = model_column(load, batch)
+    return lambda df, text="text": df.withColumn("embedding", column(F.col(text)))
+
+
 def hash_model(dim: int = HASH_DIM) -> Callable[[], Model]:
     """A model that needs no files: unit vectors of token counts by MD5 bucket."""
 

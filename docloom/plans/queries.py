@@ -18,7 +18,7 @@ from ..operators import conversation as C
 from ..operators import elements as G
 from ..operators import knn as N
 from ..operators import requests as R
-from ..operators.embed import HASH_DIM, embed_hash, hash_model, model_column
+from ..operators.embed import embed_hash, embedder, hash_model
 from ..operators.records import AUDIT, audit_lines, ollama_response, ollama_response_timed, response_id
 from ..session import materialize, scratch_path
 from ..sources import elements as E
@@ -448,11 +448,7 @@ def q_embed_hash(spark, d):
     return _nonzero(embed_hash(_documents(spark, d)), "doc_id")
 
 
-_embed_model = model_column(hash_model(HASH_DIM))
-
-
-def embed_model(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("embedding", _embed_model(F.col(text)))
+embed_model = embedder(hash_model())
 
 
 @query

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed
 from docloom.operators import citations as A
+from docloom.operators.embed import embedder, hash_model
 from docloom.operators.records import (
     AUDIT,
     audit_lines,
@@ -14,10 +15,12 @@ from docloom.operators.records import (
     stamp_text,
 )
 from docloom.plans import answer as P
-from docloom.plans.queries import embed_model
 from docloom.schemas import CHAT_REQUEST
 
 
+embed_model = embedder(hash_model())
+
+
 def cite(spark, answer, cited):
     df = spark.createDataFrame([(answer, cited)], "a string, c array<string>")
     return df.select(A.with_sources(F.col("a"), F.col("c")).alias("a")).first().a
