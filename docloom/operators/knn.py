@@ -132,7 +132,7 @@ def _pivots(nodes: DataFrame, cells: int | None) -> np.ndarray:
         cells = max(MIN_CELLS, nodes.count() // BLOCK_NODES)
     rows = (
         nodes.select("node_id", "embedding")
-        .orderBy(F.xxhash64("node_id"), "node_id")
+        .orderBy(F.md5(F.col("node_id").cast("string")), "node_id")
         .limit(min(cells, MAX_CELLS))
         .toPandas()
     )

@@ -410,6 +410,52 @@ DEBUG_LINES = f"""debug_lines AS (
     '========== ENDE DEBUG-EINTRAG ' || {_STAMP} || ' =========='
   ], lambda x: x IS NOT NULL) AS lines FROM audited)"""
 
+_INFO = " || ".join(
+    f"CASE WHEN a.{k} IS NULL THEN '' ELSE '  {k}: ' || {v} || chr(10) END" for k, v in _DEBUG_KEYS
+)
+_NL = "chr(10)"
+SOURCE_TEXT = """source_texts AS (
+  SELECT h.request_id, string_agg('  Source ' || rank || ': File=''' || n.filename || ''', Page='''
+    || coalesce(n.page_number::VARCHAR, 'N/A') || ''', Score=' || printf('%.4f', exp(-distance)) || chr(10)
+    || '  Vorschau: ' || substr(replace(n.text, chr(10), ' '), 1, 100) || '...' || chr(10) || chr(10), '' ORDER BY rank)
+    AS source_text
+  FROM request_hits h JOIN index_nodes n USING (node_id) GROUP BY h.request_id),
+message_texts AS (
+  SELECT request_id, count(*) AS n_messages, string_agg('  Message ' || (pos + 1) || ' (Role: ' || role || '):' || chr(10)
+    || '  ' || CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END
+    || chr(10) || chr(10), '' ORDER BY pos) AS message_text
+  FROM messages GROUP BY request_id)"""
+_STAMP_A = _STAMP.replace("req_no", "a.req_no")
+DEBUG_TEXT = f"""
+SELECT a.request_id, '========== DEBUG-EINTRAG ' || {_STAMP_A} || ' ==========' || {_NL} || {_NL}
+  || '🔍 EINGEHENDE REQUEST-DATEN:' || {_NL} || '  Chat-ID: ' || coalesce(a.asked_chat_id, 'None') || {_NL}
+  || '  Model: ' || a.model || {_NL} || '  Temperature: ' || coalesce(r.asked_temperature, 0.7::DOUBLE) || {_NL}
+  || '  Max Tokens: ' || coalesce(r.asked_max_tokens, 1000) || {_NL} || {_NL}
+  || '📩 EINGEHENDE MESSAGES (' || m.n_messages || '):' || {_NL} || m.message_text
+  || '🔧 VERARBEITUNGS-INFORMATIONEN:' || {_NL} || {_INFO} || {_NL}
+  || '✅ FINALE USER-MESSAGE:' || {_NL} || '  ' || a.question || {_NL} || {_NL}
+  || CASE WHEN a.route = 'meta' THEN '🎯 META-ANFRAGE ANTWORT:' || {_NL} || '  ' || a.response_text || {_NL} || {_NL}
+    ELSE '🤖 RAG-ANTWORT:' || {_NL} || '  ' || a.answer || {_NL} || {_NL}
+      || coalesce('📄 QUELLEN:' || {_NL} || s.source_text, '') END
+  || '========== ENDE DEBUG-EINTRAG ' || {_STAMP_A} || ' ==========' || {_NL} AS entry
+FROM audited a JOIN requests r ON r.request_id = a.request_id JOIN message_texts m ON m.request_id = a.request_id
+LEFT JOIN source_texts s ON s.request_id = a.request_id"""
+
+# Probed cells: 16 pivots for tables of this size, the 8 nearest searched.
+PROBES = """pivots AS (
+  SELECT embedding AS anchor, row_number() OVER (ORDER BY md5(node_id)) AS cell FROM nodes QUALIFY cell <= 16),
+homes AS (
+  SELECT node_id, embedding, cell FROM nodes, pivots
+  QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY list_distance(embedding, anchor)) = 1),
+probes AS (
+  SELECT vec_id AS query_id, embedding AS asked, cell FROM nodes, pivots
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding, anchor)) <= 8),
+probe_hits AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS rank FROM (
+    SELECT query_id, node_id, round(list_distance(asked, embedding) ** 2, 6) AS distance
+    FROM probes JOIN homes USING (cell))
+  QUALIFY rank <= 4)"""
+
 ENTRY_COLUMNS = "chat_id, req_no, step, pos, role, content"
 
 ORACLES: dict[str, str] = {
@@ -598,6 +644,11 @@ SELECT request_id, meta_request_detected, meta_type, meta_confidence, processing
   alternative_question_used, chat_history_length, source_nodes_count, unique_sources_count FROM audited""",
     "q_debug_lines": with_(*AUDITED, DEBUG_LINES) + """
 SELECT request_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM debug_lines""",
+    "q_debug_text": with_(*AUDITED, SOURCE_TEXT) + DEBUG_TEXT,
+    "q_knn_probe": with_(NODES, PROBES) + "SELECT query_id, node_id, distance, rank FROM probe_hits",
+    "q_knn_recall": with_(NODES, HITS, PROBES) + """
+SELECT count(*) AS n_hits, avg((p.node_id IS NOT NULL)::INT) AS recall
+FROM hits h LEFT JOIN probe_hits p ON p.query_id = h.query_id AND p.node_id = h.node_id""",
     "q_log_tail": """
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') AS logged_at,
   CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type AS message

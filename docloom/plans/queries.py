@@ -19,7 +19,15 @@ from ..operators import elements as G
 from ..operators import knn as N
 from ..operators import requests as R
 from ..operators.embed import embed_hash, embedder, hash_model
-from ..operators.records import AUDIT, audit_lines, ollama_response, ollama_response_timed, response_id
+from ..operators.records import (
+    AUDIT,
+    audit_lines,
+    audit_text,
+    ollama_response,
+    ollama_response_timed,
+    response_id,
+    source_lines,
+)
 from ..session import materialize, scratch_path
 from ..sources import elements as E
 from ..sources import files, logs
@@ -695,6 +703,17 @@ def q_debug_lines(spark, d):
     return lines.select("request_id", long("line_no").alias("line_no"), "line")
 
 
+@query
+def q_debug_text(spark, d):
+    nodes = ingest.index_rows(_collection(spark, d, embed_model).read())
+    prepared = materialize(P.prepare(inputs.requests(spark, d)), "prepared")
+    found = materialize(P.retrieve(prepared, nodes, embed_model), "found")
+    answered = materialize(P.answer(prepared, A.citations(found)), "answered")
+    lines = source_lines(N.with_scores(found)).withColumnRenamed("query_id", "request_id")
+    records = P.audit(answered).withColumn("logged_at", F.timestamp_seconds(_created()))
+    return audit_text(records.join(lines, "request_id", "left"))
+
+
 @query
 def q_log_tail(spark, d):
     lines = logs.parse_lines(inputs.log_lines(spark, d))
@@ -704,9 +723,9 @@ def q_log_tail(spark, d):
 # --- index -----------------------------------------------------------------------
 
 
-def _collection(spark, d):
+def _collection(spark, d, embed=embed_hash):
     index = Collection(spark, scratch_path(spark, "index"), "documents")
-    index.rebuild(_document_nodes(spark, d))
+    index.rebuild(_document_nodes(spark, d, embed))
     return index
 
 

@@ -20,7 +20,7 @@ def test_query(spark, small, con, name):
 
 def test_catalogue():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"q_embed_hash", "q_knn_probe", "q_knn_recall"}
+    assert set(QUERIES) - set(SQL) == {"q_embed_hash"}
 
 
 def test_entry(spark):
