@@ -65,27 +65,28 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def _nearest(q: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query row, node row, distance)`` of the k nearest node rows per query row.
 
-    Node rows are in node-id order, so a tie goes to the smaller row.
+    Node rows are in node-id order, and ``argmin`` takes the first of equal
+    values, so a tie goes to the smaller id however many nodes tie.
     """
-    rows, cols, dist = [], [], []
-    n_sq = (n * n).sum(axis=1)
+    unit = 10.0**DECIMALS
     k = min(k, len(n))
+    cols = np.empty((len(q), k), dtype=np.int64)
+    dist = np.empty((len(q), k))
+    n_sq = (n * n).sum(axis=1) * unit
     step = max(1, TILE // max(1, len(n)))
     for at in range(0, len(q), step):
         part = q[at : at + step]
-        d = (part * part).sum(axis=1)[:, None] + n_sq[None, :] - 2.0 * (part @ n.T)
-        d = np.round(np.maximum(d, 0.0), DECIMALS)
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero(d <= kth[:, None])
-        v = d[r, c]
-        order = np.lexsort((c, v, r))
-        r, c, v = r[order], c[order], v[order]
-        first = np.searchsorted(r, r, side="left")
-        keep = np.arange(len(r)) - first < k
-        rows.append(r[keep] + at)
-        cols.append(c[keep])
-        dist.append(v[keep])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+        rows = np.arange(len(part))
+        d = part @ (n.T * (-2.0 * unit))
+        d += n_sq[None, :]
+        d += (part * part).sum(axis=1)[:, None] * unit
+        np.maximum(np.rint(d, out=d), 0.0, out=d)
+        for j in range(k):
+            c = d.argmin(axis=1)
+            cols[at : at + step, j] = c
+            dist[at : at + step, j] = d[rows, c]
+            d[rows, c] = np.inf
+    return np.repeat(np.arange(len(q)), k), cols.ravel(), dist.ravel() / unit
 
 
 def _hits_schema(queries: DataFrame, nodes: DataFrame) -> T.StructType:
