@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import lines, minhash
+from docloom.llm import bwt, lines, minhash, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_quality(_table(spark, sf_dir, "documents"))
 
@@ -19,4 +23,21 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_quality, op4_minmax_near_duplicates)}
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_bwt_repeats,
+        op3_line_quality,
+        op4_minmax_near_duplicates,
+        op7_pattern_packing,
+        op8_pivotal_mixing,
+    )
+}
