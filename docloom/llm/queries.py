@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bwt, lines, minhash, mixing, packing
+from docloom.llm import bwt, forest, kdtree, langid, licenses, lines, lmscore, minhash, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.forest_search(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,14 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.kd_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op6_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -31,13 +43,26 @@ def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_prefix_forest,
         op2_bwt_repeats,
         op3_line_quality,
         op4_minmax_near_duplicates,
+        op5_kd_shards,
+        op6_nearest_centroid_language,
         op7_pattern_packing,
         op8_pivotal_mixing,
+        op9_license_scan,
+        op10_cross_entropy_difference,
     )
 }
