@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import numbered_rows
-from ..session import spread
+from ..operators.running import running_total
+from ..session import materialize, spread
 
-# A replaying client resends this many turns at most, the question included.
-REPLAY_TURNS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,32 +79,45 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat log with ``question``, the number of questions up to each turn (counted in blocks)."""
+    return running_total(
+        chat_log(spark, sf_dir), ["conv_id"], "turn", {"question": F.col("asks").cast("long")}
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per user turn, carrying the turns up to it, and its generated answer.
+    """One request per question, and one for the turns that no question follows.
 
-    A turn is sent to the next ``REPLAY_TURNS`` possible request turns and
-    grouped there, so a request holds a bounded number of messages, the work
-    is linear in the turns, and one shuffle builds it all. The answer is the
-    assistant turn that follows.
+    Request ``r`` of a conversation holds the turns after question ``r - 2`` up
+    to question ``r``, so every turn is in a request and each text is copied at
+    most twice, however long the conversation is. The turns after the last
+    question form a closing request of their own, without a user message. The
+    answer of a request is the assistant turn that directly follows its question.
     """
-    log = chat_log(spark, sf_dir)
-    sent = log.withColumn(
-        "req_no", F.explode(F.sequence(F.col("turn") - 1, F.col("turn") + REPLAY_TURNS - 1))
+    log = materialize(numbered_log(spark, sf_dir), "chat-log")
+    replies = log.where(F.lower("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("content").alias("answer")
     )
-    in_request = F.col("turn") <= F.col("req_no")
+    asked = log.where("asks").select("conv_id", "turn", F.col("question").alias("req_no"))
+    answers = asked.join(replies, ["conv_id", "turn"]).select("conv_id", "req_no", "answer")
+    first = F.when(F.col("asks"), F.col("question")).otherwise(F.col("question") + 1)
+    sent = log.withColumn("req_no", F.explode(F.sequence(first, first + 1)))
+    own = F.col("req_no") == F.col("question")
+    after = ~F.col("asks") & (F.col("req_no") == F.col("question") + 1)
+    message = F.struct("turn", "role", "content")
     grouped = sent.groupBy("conv_id", "req_no").agg(
-        F.array_sort(F.collect_list(F.when(in_request, F.struct("turn", "role", "content")))).alias("m"),
-        F.max(F.when(F.col("turn") == F.col("req_no"), F.col("asks"))).alias("asks"),
-        F.max(
-            F.when(
-                (F.col("turn") == F.col("req_no") + 1) & (F.lower("role") == "assistant"),
-                F.col("content"),
-            )
-        ).alias("answer"),
+        F.array_sort(F.collect_list(message)).alias("all"),
+        F.array_sort(F.collect_list(F.when(after, message))).alias("rest"),
+        F.max(F.col("asks") & own).alias("asked"),
+    )
+    grouped = grouped.where(F.col("asked") | (F.size("rest") > 0)).withColumn(
+        "m", F.when(F.col("asked"), F.col("all")).otherwise(F.col("rest"))
     )
+    grouped = grouped.join(answers, ["conv_id", "req_no"], "left")
     conv, text_id = F.col("conv_id"), F.col("conv_id").cast("string")
     given = conv % 4 != 1
-    return grouped.where("asks").select(
+    return grouped.select(
         F.concat_ws("-", "conv_id", "req_no").alias("request_id"),
         "conv_id",
         F.when(conv % 10 == 9, None).when(conv % 10 == 8, "").otherwise(text_id).alias("chat_id"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed
 from ..functions.text import WHITE_SPACE
-from .inputs import META_FAMILIES, META_MARKERS, REPLAY_TURNS
+from .inputs import META_FAMILIES, META_MARKERS
 
 
 def lit(text: str) -> str:
@@ -74,23 +74,31 @@ CHAT_LOG = f"""chat_log AS (
       ELSE text END AS content
   FROM conversations)"""
 
-MESSAGES = f"""messages AS (
-  SELECT q.conv_id, q.turn AS req_no, q.conv_id || '-' || q.turn AS request_id, m.role, m.content,
-    row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY m.turn) - 1 AS pos
-  FROM chat_log q JOIN chat_log m ON m.conv_id = q.conv_id AND m.turn BETWEEN q.turn - {REPLAY_TURNS - 1} AND q.turn
-  WHERE q.asks)"""
+# Requests by windows: a question with what came after the last but one, or the turns after the last question.
+MESSAGES = """numbered AS (
+  SELECT *, sum(asks::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS q,
+    sum(asks::INT) OVER (PARTITION BY conv_id) AS n FROM chat_log),
+sendings AS (
+  SELECT conv_id, q::BIGINT AS req_no, turn, false AS closing FROM numbered WHERE asks
+  UNION ALL SELECT DISTINCT conv_id, (n + 1)::BIGINT, NULL, true FROM numbered WHERE NOT asks AND q = n),
+messages AS (
+  SELECT s.conv_id, s.req_no, s.conv_id || '-' || s.req_no AS request_id, m.role, m.content,
+    row_number() OVER (PARTITION BY s.conv_id, s.req_no ORDER BY m.turn) - 1 AS pos
+  FROM sendings s JOIN numbered m ON m.conv_id = s.conv_id AND CASE
+    WHEN s.closing THEN NOT m.asks AND m.q = m.n
+    WHEN m.asks THEN m.q IN (s.req_no - 1, s.req_no)
+    ELSE m.q IN (s.req_no - 2, s.req_no - 1) END)"""
 
 REQUESTS = """asked AS (
-  SELECT q.conv_id, q.turn AS req_no, q.conv_id || '-' || q.turn AS request_id,
-    CASE WHEN q.conv_id % 10 = 9 THEN NULL WHEN q.conv_id % 10 = 8 THEN '' ELSE q.conv_id::VARCHAR END
+  SELECT s.conv_id, s.req_no, s.conv_id || '-' || s.req_no AS request_id,
+    CASE WHEN s.conv_id % 10 = 9 THEN NULL WHEN s.conv_id % 10 = 8 THEN '' ELSE s.conv_id::VARCHAR END
       AS asked_chat_id,
-    CASE WHEN q.conv_id % 4 <> 1 THEN 'modell-a' END AS asked_model,
-    CASE WHEN q.conv_id % 4 <> 1 THEN 0.2::DOUBLE END AS asked_temperature,
-    CASE WHEN q.conv_id % 4 <> 1 THEN 256 END AS asked_max_tokens,
+    CASE WHEN s.conv_id % 4 <> 1 THEN 'modell-a' END AS asked_model,
+    CASE WHEN s.conv_id % 4 <> 1 THEN 0.2::DOUBLE END AS asked_temperature,
+    CASE WHEN s.conv_id % 4 <> 1 THEN 256 END AS asked_max_tokens,
     a.content AS answer
-  FROM chat_log q LEFT JOIN chat_log a
-    ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND lower(a.role) = 'assistant'
-  WHERE q.asks),
+  FROM sendings s LEFT JOIN chat_log a
+    ON a.conv_id = s.conv_id AND a.turn = s.turn + 1 AND lower(a.role) = 'assistant'),
 requests AS (
   SELECT *, coalesce(nullif(asked_chat_id, ''), sha256(request_id)) AS chat_id,
     coalesce(asked_chat_id, '') = '' AS new_session, coalesce(asked_model, 'llama3.2:1b') AS model
@@ -364,7 +372,7 @@ OLLAMA_RES = tuple(
     for part in (
         CHAT_LOG,
         MESSAGES,
-        REQUESTS.replace("WHERE q.asks),", "WHERE q.asks),\n" + OLLAMA + ","),
+        REQUESTS.replace("\nrequests AS (", "\n" + OLLAMA + ",\nrequests AS ("),
         """ollama_messages AS (
   SELECT request_id, role, content, pos FROM messages WHERE conv_id % 5 <> 0
   UNION ALL SELECT request_id, 'user', last, 0 FROM ollama WHERE conv_id % 5 = 0)""",
@@ -520,7 +528,7 @@ SELECT file_path, string_agg(length(text) || ':' || coalesce(page_number::VARCHA
     "q_first_nodes": with_(*CHUNKS) + """
 SELECT node_id, length(text) AS n_chars, substr(replace(text, chr(10), ' '), 1, 150) || '...' AS preview
 FROM chunks ORDER BY doc_id, level, chunk_idx LIMIT 3""",
-    "q_requests_defaults": with_(CHAT_LOG, REQUESTS) + f"""
+    "q_requests_defaults": with_(CHAT_LOG, MESSAGES, REQUESTS) + f"""
 SELECT request_id, model, coalesce(asked_temperature, {fixed.DEFAULT_TEMPERATURE}::DOUBLE) AS temperature,
   coalesce(asked_max_tokens, {fixed.DEFAULT_MAX_TOKENS})::BIGINT AS max_tokens FROM requests""",
     "q_role_normalize": with_(CHAT_LOG, MESSAGES) + """
@@ -550,7 +558,7 @@ SELECT request_id, suspicious, alternative_used, alternative_idx, question FROM
 SELECT request_id, chat_id, route, meta_type, confidence, suspicious, question FROM resolved""",
     "q_request_validation": with_(*RES) + f"""
 SELECT request_id, status_code, detail, length({strip('question')}) AS stripped_length FROM resolved""",
-    "q_session_assign": with_(CHAT_LOG, REQUESTS) + "SELECT request_id, chat_id, new_session FROM requests",
+    "q_session_assign": with_(CHAT_LOG, MESSAGES, REQUESTS) + "SELECT request_id, chat_id, new_session FROM requests",
     "q_history_merge": with_(*HIST) + f"SELECT {ENTRY_COLUMNS} FROM merged",
     "q_history_anti_join": with_(*HIST) + f"""
 SELECT {ENTRY_COLUMNS} FROM merged m WHERE NOT EXISTS (

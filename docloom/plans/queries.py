@@ -790,8 +790,8 @@ def _stream(spark, d, name):
 
 
 def _replayed(messages):
-    """History entries of a client that resends every turn with the next requests."""
-    sent = F.explode(F.sequence(F.col("turn"), F.col("turn") + inputs.REPLAY_TURNS - 1))
+    """History entries of a client that sends every turn twice: as it comes and with the next request."""
+    sent = F.explode(F.sequence(F.col("turn"), F.col("turn") + 1))
     return messages.select(
         F.col("conv_id").cast("string").alias("chat_id"),
         sent.alias("req_no"),
