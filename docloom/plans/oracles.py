@@ -464,6 +464,17 @@ probe_hits AS (
     FROM probes JOIN homes USING (cell))
   QUALIFY rank <= 4)"""
 
+STREAM_ENTRIES = """turns AS (
+  SELECT conv_id::VARCHAR AS chat_id, turn, CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'assistant' END AS role,
+    lower(role) = 'assistant' AS answers, text AS content FROM conversations),
+sent AS (
+  SELECT chat_id, turn AS req_no, 0 AS step, turn AS pos, role, content FROM turns
+  UNION ALL SELECT chat_id, turn + 1, 0, turn, role, content FROM turns),
+stored AS (SELECT chat_id, turn - 1 AS req_no, 1 AS step, 0 AS pos, 'assistant' AS role, content FROM turns WHERE answers),
+events AS (SELECT * FROM sent UNION ALL SELECT * FROM stored)"""
+STREAM_HISTORY = f"""history AS (
+  SELECT * FROM ({first_arrivals('events')}) WHERE step = 0 UNION ALL SELECT * FROM stored)"""
+
 ENTRY_COLUMNS = "chat_id, req_no, step, pos, role, content"
 
 ORACLES: dict[str, str] = {
@@ -669,12 +680,11 @@ FROM events ORDER BY logged_at DESC, event_id DESC LIMIT 100""",
     "q_index_reconcile": with_(*CHUNKS) + """
 SELECT count(*) AS n_parsed, count(*) AS n_stored, false AS differs FROM chunks""",
     "q_build_index": with_(ELEMENTS, ELEMENT_DOCS, tokenized("element_docs"), _chunks()) + LEVEL_STATS.format(times=""),
-    "q_stream_history": """
-SELECT DISTINCT conv_id::VARCHAR AS chat_id, arg_min(CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'assistant' END, turn)
-  AS role, text AS content FROM conversations GROUP BY conv_id, text""",
-    "q_stream_sessions": """
-SELECT conv_id::VARCHAR AS chat_id, count(DISTINCT text) AS history_length,
-  arg_max(text, turn) FILTER (role = 'user') AS last_user FROM conversations GROUP BY conv_id""",
+    "q_stream_history": with_(STREAM_ENTRIES, STREAM_HISTORY) + f"""
+SELECT {ENTRY_COLUMNS}, row_number() OVER (PARTITION BY chat_id ORDER BY req_no, step, pos) AS place FROM history""",
+    "q_stream_sessions": with_(STREAM_ENTRIES, STREAM_HISTORY) + """
+SELECT chat_id, count(*) AS history_length, arg_max(content, (req_no, step, pos)) FILTER (role = 'user') AS last_user
+FROM history GROUP BY chat_id""",
     "q_stream_ingest": with_(
         "stream_docs AS (SELECT 'doc_' || doc_id || '.pdf#0' AS doc_id, text FROM documents)",
         tokenized("stream_docs"), _chunks()) + LEVEL_STATS.format(times=""),

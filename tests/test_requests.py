@@ -108,3 +108,27 @@ def test_ollama_requests(spark):
     assert all(r.chat_id is None for r in (a, b, c))
     a, b, c = from_ollama(df, use_options=True).orderBy("request_id").collect()
     assert [r.temperature for r in (a, b, c)] == [0.3, 0.7, 0.7] and a.max_tokens == 1000
+
+
+def test_no_turn_is_left_out_of_a_long_conversation(spark, tmp_path):
+    """Every turn of 200 is in a request, and none in more than two."""
+    from docloom.plans import inputs
+
+    turns = [(1, t, "system" if t == 0 else "user" if t % 4 == 1 else "assistant", f"text {t}") for t in range(200)]
+    turns += [(2, t, "assistant", f"alone {t}") for t in range(3)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = inputs.requests(spark, str(tmp_path)).collect()
+    log = {(r.conv_id, r.turn): r for r in inputs.chat_log(spark, str(tmp_path)).collect()}
+    sent = {}
+    for r in found:
+        for m in r.messages:
+            sent[(r.conv_id, m.content)] = sent.get((r.conv_id, m.content), 0) + 1
+    assert {(c, r.content) for (c, _), r in log.items()} <= set(sent)
+    plain = [n for (c, text), n in sent.items() if text.startswith(("text", "alone"))]
+    assert max(plain) <= 2
+    first = [r for r in found if r.conv_id == 1]
+    assert len(first) == 51  # 50 questions, and the replies to the last one
+    closing = max(first, key=lambda r: r.req_no)
+    assert {m.role.lower() for m in closing.messages} == {"assistant"}
+    assert [len(r.messages) for r in found if r.conv_id == 2] == [3]
