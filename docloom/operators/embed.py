@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import tokens
+from .worker import once_per_worker
 
 # Texts in, one vector per text out.
 Model = Callable[[list[str]], np.ndarray]
@@ -26,25 +27,28 @@ REMEMBERED = 1 << 16
 
 
 def embed_hash(df: DataFrame, text: str = "text", dim: int = HASH_DIM) -> DataFrame:
-    """Add ``embedding``: the unit vector of hashed lower-case token counts, all JVM side."""
-    prepared = df.withColumn("_tokens", tokens(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim).transform(prepared)
+    """Add ``embedding``: the unit vector of lower-case token counts by MD5 bucket, all JVM side."""
+    bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim
+    found = F.transform(tokens(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda t: bucket(t).cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_buckets", outputCol="_tf")
+    counted = counter.transform(df.withColumn("_buckets", found))
     scaled = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
     return scaled.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-        "_tokens", "_tf", "_unit"
+        "_buckets", "_tf", "_unit"
     )
 
 
 def model_column(load: Callable[[], Model], batch: int = fixed.EMBED_BATCH) -> Callable[[Column], Column]:
     """A column function for a model.
 
-    ``load`` runs once per task, on the executor, and the model gets ``batch``
-    texts at a time.
+    ``load`` runs once per Python worker, and the model gets ``batch`` texts
+    at a time.
     """
+    model_of = once_per_worker(load)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model = model_of()
         for texts in batches:
             values = texts.fillna("").tolist()
             parts = [model(values[i : i + batch]) for i in range(0, len(values), batch)]

@@ -449,6 +449,20 @@ SELECT a.request_id, '========== DEBUG-EINTRAG ' || {_STAMP_A} || ' =========='
 FROM audited a JOIN requests r ON r.request_id = a.request_id JOIN message_texts m ON m.request_id = a.request_id
 LEFT JOIN source_texts s ON s.request_id = a.request_id"""
 
+GENERATED = f"""request_contexts AS (
+  SELECT h.request_id, string_agg(chr(10) || chr(10) || 'Dokument ' || rank || ':' || chr(10) || n.text, '' ORDER BY rank)
+    AS context FROM request_hits h JOIN index_nodes n USING (node_id) GROUP BY h.request_id),
+full_prompts AS (
+  SELECT r.request_id, r.route AS route0, r.status_code AS status0, r.detail, r.meta_type, r.question,
+    {_FULL_PROMPT.format('context', 'r.question')} AS p, c.citations
+  FROM resolved r LEFT JOIN request_contexts USING (request_id) LEFT JOIN request_cited c USING (request_id)),
+prompted AS (
+  SELECT *, CASE route0 WHEN 'meta' THEN question WHEN 'retrieval' THEN CASE WHEN length(p) > {fixed.PROMPT_LIMIT}
+    THEN substr(p, 1, {fixed.PROMPT_KEEP}) || {lit(fixed.ANSWER_CUE)} ELSE p END END AS prompt FROM full_prompts),
+generated AS (
+  SELECT *, CASE WHEN length(prompt) % 7 <> 3 THEN 'Ergebnis zu ' || length(prompt) || ' Zeichen: '
+    || substr(prompt, greatest(length(prompt) - 29, 1)) END AS made FROM prompted)"""
+
 # Probed cells: 16 pivots for tables of this size, the 8 nearest searched.
 PROBES = """pivots AS (
   SELECT embedding AS anchor, row_number() OVER (ORDER BY md5(node_id)) AS cell FROM nodes QUALIFY cell <= 16),
@@ -600,6 +614,8 @@ FROM chunks GROUP BY level""",
     "q_chunk_dedup": with_(*CHUNKS) + """
 SELECT node_id, doc_id, level, text FROM chunks
 QUALIFY row_number() OVER (PARTITION BY doc_id, text ORDER BY level, chunk_idx) = 1""",
+    "q_embed_hash": with_(vectors("t", "documents", "doc_id", "text")) + """
+SELECT k AS doc_id, dim, round(weight::DOUBLE, 5) AS weight FROM t_weights""",
     "q_embed_model": with_(vectors("t", "documents", "doc_id", "text")) + """
 SELECT k AS doc_id, dim, round(weight::DOUBLE, 5) AS weight FROM t_weights""",
     "q_knn_exact": with_(NODES, HITS) + "SELECT query_id, node_id, distance, rank FROM hits",
@@ -658,6 +674,19 @@ SELECT request_id, to_json({{'model': model, 'created_at': {lit(fixed.OLLAMA_CRE
 FROM answer_texts""",
     "q_answer_requests": with_(*ANSWERED) + """
 SELECT request_id, route, status_code, sources, response_text FROM answered""",
+    "q_generate": with_(*ANSWERED, GENERATED) + f"""
+SELECT request_id, length(prompt) AS prompt_length,
+  CASE WHEN route0 = 'retrieval' AND made IS NULL THEN 'error' ELSE route0 END AS route,
+  CASE WHEN route0 = 'retrieval' AND made IS NULL THEN 500 ELSE status0 END AS status_code,
+  CASE WHEN route0 = 'retrieval' AND made IS NULL
+    THEN {lit(fixed.ERROR_ENGINE)} || 'kein Ergebnis bei ' || length(prompt) || ' Zeichen' ELSE detail END AS detail,
+  CASE WHEN route0 = 'meta' THEN coalesce(made, CASE meta_type
+      WHEN 'title' THEN {lit(fixed.META_FALLBACK_TITLE)} WHEN 'tags' THEN {lit(fixed.META_FALLBACK_TAGS)}
+      ELSE {lit(fixed.META_FALLBACK_OTHER)} END)
+    WHEN route0 = 'retrieval' THEN CASE
+      WHEN len(list_filter(citations, lambda s: contains(lower(made), lower(s)))) > 0 THEN made
+      ELSE made || {lit(fixed.SOURCES_HEADING)} || array_to_string(citations, chr(10)) END END AS response_text
+FROM generated""",
     "q_debug_records": with_(*AUDITED) + """
 SELECT request_id, meta_request_detected, meta_type, meta_confidence, processing_method, suspicious_message_detected,
   alternative_question_used, chat_history_length, source_nodes_count, unique_sources_count FROM audited""",

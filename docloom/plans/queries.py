@@ -19,6 +19,7 @@ from ..operators import elements as G
 from ..operators import knn as N
 from ..operators import requests as R
 from ..operators.embed import embed_hash, embedder, hash_model
+from ..operators.generate import generator_column, with_generated
 from ..operators.records import (
     AUDIT,
     audit_lines,
@@ -133,7 +134,7 @@ def _page_extractor(content, strategy="auto"):
 
 @query
 def q_extract_status(spark, d):
-    return E.extract_status(E.extract(inputs.stored_pages(spark, d), _page_extractor))
+    return E.extract_status(E.extract(inputs.stored_pages(spark, d), _page_extractor)).drop("seconds")
 
 
 @query
@@ -703,6 +704,29 @@ def q_debug_lines(spark, d):
     return lines.select("request_id", long("line_no").alias("line_no"), "line")
 
 
+def _example_generator():
+    def generate(prompt):
+        if len(prompt) % 7 == 3:
+            raise RuntimeError(f"kein Ergebnis bei {len(prompt)} Zeichen")
+        return f"Ergebnis zu {len(prompt)} Zeichen: {prompt[-30:]}"
+
+    return generate
+
+
+@query
+def q_generate(spark, d):
+    """Prompts from retrieved passages through the generator hook, errors included."""
+    nodes = ingest.index_rows(_collection(spark, d, embed_model).read())
+    prepared = materialize(P.prepare(inputs.requests(spark, d)).drop("answer"), "prepared")
+    found = materialize(P.retrieve(prepared, nodes, embed_model), "found")
+    asked = with_generated(P.prompts(prepared, found), generator_column(_example_generator))
+    answered = P.answer(materialize(asked, "generated"), A.citations(found))
+    return answered.select(
+        "request_id", long(F.length("prompt")).alias("prompt_length"), "route",
+        long("status_code").alias("status_code"), "detail", "response_text",
+    )
+
+
 @query
 def q_debug_text(spark, d):
     nodes = ingest.index_rows(_collection(spark, d, embed_model).read())

@@ -6,14 +6,6 @@ MESSAGE = T.StructType(
     [T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]
 )
 
-ELEMENT_JSON = T.StructType(
-    [
-        T.StructField("text", T.StringType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("metadata", T.StructType([T.StructField("page_number", T.IntegerType())])),
-    ]
-)
-
 ELEMENT = T.StructType(
     [
         T.StructField("file_path", T.StringType()),

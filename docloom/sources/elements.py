@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import numbered_rows, strip
 from ..operators.elements import normalize
-from ..schemas import ELEMENT_JSON
 
 # One file's content and a strategy in, its (type, text, page) elements out.
 Extractor = Callable[..., Iterable[tuple[str | None, str | None, int | None]]]
@@ -23,21 +23,14 @@ OUT_ROWS = 10_000
 
 EXTRACTED = (
     "file_path string, elem_idx int, type string, text string, page_number int, "
-    "status string, error string, strategy_used string"
+    "status string, error string, strategy_used string, seconds double"
 )
 
 
 def read_element_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files holding one JSON array of elements each."""
-    raw = spark.read.schema(ELEMENT_JSON).option("multiLine", True).json(path)
-    return normalize(
-        raw.select(
-            F.col("_metadata.file_path").alias("file_path"),
-            "text",
-            "type",
-            F.col("metadata.page_number").alias("page_number"),
-        )
-    )
+    """Files holding one JSON array of elements each; ``elem_idx`` is the place in the array."""
+    raw = spark.read.text(path, wholetext=True)
+    return parse_element_json(raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("json")))
 
 
 def parse_element_json(df: DataFrame, column: str = "json") -> DataFrame:
@@ -78,38 +71,51 @@ def with_fallback(primary: Column, fallback: Column, names: tuple[str, str]) ->
     return F.when(has, primary).otherwise(fallback), F.when(has, names[0]).otherwise(names[1])
 
 
-def extract(files: DataFrame, extractor: Extractor, strategy: str = "auto") -> DataFrame:
-    """Run ``extractor(content, strategy=...)`` on every ``file_path, content`` row.
+def extract(files: DataFrame, extractor: Extractor | list[tuple[str, Extractor]], strategy: str = "auto") -> DataFrame:
+    """Run extractors on every ``file_path, content`` row.
 
-    An extractor that takes no strategy is called without one. A file that
-    fails or yields nothing stays in the result as one row with its status,
-    so one bad file stops nothing.
+    ``extractor`` is one, called as ``extractor(content, strategy=...)`` and
+    once more without a strategy on any ``TypeError``, or a chain of named
+    ones: the next is asked when one fails or finds nothing. ``strategy_used``
+    names the strategy or the extractor that found the elements, ``seconds``
+    the time the file took. A file that fails or yields nothing stays in the
+    result as one row with its status, so one bad file stops nothing.
     """
+    chain = extractor if isinstance(extractor, list) else [(None, extractor)]
 
-    def one(content) -> tuple[list, str]:
+    def ask(name, function, content) -> tuple[list, str]:
         try:
-            return list(extractor(content, strategy=strategy)), strategy
-        except TypeError as error:
-            if "strategy" not in str(error):
-                raise
-            return list(extractor(content)), "default"
+            return list(function(content, strategy=strategy)), name or strategy
+        except TypeError:
+            return list(function(content)), name or "default"
+
+    def one(content) -> tuple[list, str | None, str | None]:
+        error, used = None, None
+        for name, function in chain:
+            try:
+                found, used = ask(name, function, content)
+            except Exception as problem:  # noqa: BLE001 - any failure is the file's status
+                error = type(problem).__name__
+                continue
+            error = None
+            if found:
+                return found, used, None
+        return [], used, error
 
     def rows(path, content) -> Iterator[tuple]:
-        try:
-            found, used = one(content)
-        except Exception as error:  # noqa: BLE001 - any failure is the file's status
-            yield path, None, None, None, None, "failed", type(error).__name__, None
-            return
+        started = time.perf_counter()
+        found, used, error = one(content)
+        took = time.perf_counter() - started
         if not found:
-            yield path, None, None, None, None, "empty", None, used
+            yield path, None, None, None, None, "failed" if error else "empty", error, None if error else used, took
         for i, (kind, text, page) in enumerate(found):
-            yield path, i, kind, text, page, "loaded", None, used
+            yield path, i, kind, text, page, "loaded", None, used, took
 
     names = [f.strip().split(" ")[0] for f in EXTRACTED.split(",")]
 
     def frame(buffer: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(buffer, columns=names, dtype=object)
-        return out.astype({"elem_idx": "Int32", "page_number": "Int32"})
+        return out.astype({"elem_idx": "Int32", "page_number": "Int32", "seconds": float})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buffer: list[tuple] = []
@@ -128,15 +134,15 @@ def extract(files: DataFrame, extractor: Extractor, strategy: str = "auto") -> D
 
 def loaded_elements(extracted: DataFrame) -> DataFrame:
     return normalize(
-        extracted.where(F.col("status") == "loaded").drop("status", "error", "strategy_used")
+        extracted.where(F.col("status") == "loaded").drop("status", "error", "strategy_used", "seconds")
     )
 
 
 def extract_status(extracted: DataFrame) -> DataFrame:
-    """Files and elements per outcome and error class."""
+    """Files, elements and seconds per outcome and error class."""
     per_file = extracted.groupBy("file_path", "status", "error").agg(
-        F.count("elem_idx").alias("n_elements")
+        F.count("elem_idx").alias("n_elements"), F.max("seconds").alias("seconds")
     )
     return per_file.groupBy("status", "error").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("n_elements").alias("n_elements")
+        F.count(F.lit(1)).alias("n_files"), F.sum("n_elements").alias("n_elements"), F.sum("seconds").alias("seconds")
     )

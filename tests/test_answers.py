@@ -170,7 +170,7 @@ def test_responses(answered):
 
 
 def test_generator_hook(spark):
-    from docloom.operators.generate import generator_column
+    from docloom.operators.generate import generator_column, with_generated
 
     meta = " ".join(fixed.TITLE_MARKERS)
     rows = [("a", 0, "c", None, None, None, [("user", "Was ist rot?")]), ("b", 1, "c", None, None, None, [("user", meta)]),
@@ -187,10 +187,15 @@ def test_generator_hook(spark):
         return generate
 
     asked = P.prompts(prepared, found)
-    got = {r.request_id: r for r in asked.withColumn("answer", generator_column(load)("prompt")).collect()}
+    generated = with_generated(asked, generator_column(load))
+    got = {r.request_id: r for r in generated.collect()}
     assert "\n\nDokument 1:\nDie Wand ist rot.\n\nFrage: Was ist rot?\n\nAntwort:" in got["a"].prompt
     assert got["a"].answer.endswith("Was ist rot?\n\nAntwort:>") and got["b"].prompt == meta
     assert got["b"].answer and got["c"].answer is None and got["d"].prompt is None and got["d"].answer is None
+    assert got["c"].generator_error == "no answer" and got["a"].generator_error is None
+    answered = P.answer(generated, A.citations(found.selectExpr("*", "'f.pdf' filename", "1 page_number")))
+    ends = {r.request_id: (r.status_code, r.detail) for r in answered.collect()}
+    assert ends["c"] == (500, "500: Chat-Engine Fehler: no answer") and ends["a"] == (200, None)
 
 
 def test_a_node_hit_by_most_queries(spark):

@@ -101,6 +101,50 @@ def test_extraction_isolates_failures(spark):
     assert E.extract(df.limit(1), other_type_error).first().error == "TypeError"
 
 
+def test_any_type_error_is_retried_without_strategy(spark):
+    def picky(content, **options):
+        if options:
+            raise TypeError("unsupported operand")
+        return [("Title", "found", 1)]
+
+    df = spark.createDataFrame([("a/1.pdf", b"eins")], "file_path string, content binary")
+    row = E.extract(df, picky).first()
+    assert (row.status, row.strategy_used, row.text) == ("loaded", "default", "found") and row.seconds >= 0
+
+
+def test_chain_of_extractors(spark):
+    def external(content, strategy):
+        if content == b"boom":
+            raise RuntimeError("service down")
+        return [("Title", "external", 1)] if content == b"eins" else []
+
+    def local(content, strategy):
+        return [("Text", "local", None)] if content != b"none" else []
+
+    df = spark.createDataFrame(
+        [("1", b"eins"), ("2", b"boom"), ("3", b"zwei"), ("4", b"none")], "file_path string, content binary"
+    )
+    got = {r.file_path: (r.status, r.strategy_used, r.text) for r in E.extract(df, [("external", external), ("local", local)]).collect()}
+    assert got == {
+        "1": ("loaded", "external", "external"), "2": ("loaded", "local", "local"),
+        "3": ("loaded", "local", "local"), "4": ("empty", "local", None),
+    }
+
+
+def test_element_files_reach_the_index(spark, tmp_path):
+    from docloom.plans.ingest import build_nodes
+    from docloom.sources.index import Collection
+
+    (tmp_path / "json").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "json" / f"{name}.json").write_text(json.dumps(ELEMENTS, indent=1))
+    found = E.read_element_json(spark, str(tmp_path / "json"))
+    assert sorted((r.filename, r.elem_idx) for r in found.collect()) == [(f"{n}.json", i) for n in "ab" for i in range(3)]
+    index = Collection(spark, str(tmp_path / "index"), "c")
+    index.rebuild(build_nodes(found))
+    assert index.count() == 18 and index.read().select("node_id").distinct().count() == 18
+
+
 def test_fallback(spark):
     df = spark.createDataFrame([(["a"], ["b"]), ([], ["b"])], "a array<string>, b array<string>")
     value, used = E.with_fallback(F.col("a"), F.col("b"), ("first", "second"))
