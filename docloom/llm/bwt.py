@@ -6,10 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.text import GOLDEN, MIX_A, random_words, string_buffers
+from docloom.llm.text import GOLDEN, MIX_A, MIX_B, mix, random_words, string_buffers, with_text
 from docloom.session import materialize
 
 GRAM = 64
@@ -26,22 +26,24 @@ def _powers(base: np.uint64, n: int) -> list[np.uint64]:
     return out
 
 
-def rolling(raw: np.ndarray, width: int, base: np.uint64 = GOLDEN) -> np.ndarray:
-    """Hash of each run of ``width`` bytes, from runs of doubled length."""
-    parts, now, at, out, taken = _powers(base, width + 1), _VALUE[raw], 0, None, 0
-    for k, power in enumerate(parts):
+def rolling(raw: np.ndarray, widths: tuple[int, ...], base: np.uint64 = GOLDEN) -> list[np.ndarray]:
+    """For each width, the hash of each run of so many bytes, from runs of doubled length."""
+    out: list[np.ndarray | None] = [None] * len(widths)
+    taken = [0] * len(widths)
+    now = _VALUE[raw]
+    for k, power in enumerate(_powers(base, max(widths) + 1)):
         size = 1 << k
-        if width & size:
-            if out is None:
-                out = now
-            else:  # the run so far, then this one
-                n = len(raw) - taken - size + 1
-                out = out[:n] * np.uint64(pow(int(base), size, 1 << 64)) + now[taken : taken + n]
-            taken += size
-        if taken < width:
+        for i, width in enumerate(widths):
+            if width & size:
+                if out[i] is None:
+                    out[i] = now
+                else:  # the run so far, then this one
+                    n = len(raw) - taken[i] - size + 1
+                    out[i] = out[i][:n] * np.uint64(pow(int(base), size, 1 << 64)) + now[taken[i] : taken[i] + n]
+                taken[i] += size
+        if taken != list(widths):
             now = now[:-size] * power + now[size:]
-    out = out ^ (out >> np.uint64(32))
-    return out * MIX_A
+    return [(h ^ (h >> np.uint64(32))) * MIX_A for h in out]
 
 
 def sliding(op, x: np.ndarray, width: int, fill) -> np.ndarray:
@@ -57,18 +59,19 @@ def sliding(op, x: np.ndarray, width: int, fill) -> np.ndarray:
 
 
 def anchored_runs(raw: np.ndarray, bounds: np.ndarray, width: int, gram: int = GRAM):
-    """Runs of window starts with one anchor: (text, start, starts, anchor minus start, key) arrays.
+    """Runs of window starts with one anchor: (text, start, starts, anchor minus start, key, digest) arrays.
 
     The anchor of a window of ``width`` bytes is its smallest gram hash, the
     leftmost of equal ones. Equal windows have equal anchors at equal places,
     so windows can repeat only among runs of one key, aligned at the anchor.
-    Each start belongs to exactly one run. Long texts are read in slices.
+    Each start belongs to exactly one run. The digest is of all bytes of the
+    run, as its first and last window overlap. Long texts are read in slices.
     """
     window = width - gram + 1
     found = []
     for at in range(0, max(len(raw) - width + 1, 0), SLICE):
         part = raw[at : at + SLICE + width - 1]
-        h = rolling(part, gram)
+        h, whole = rolling(part, (gram, width))
         low = sliding(np.minimum, h, window, np.iinfo(np.uint64).max)
         valid = np.ones(len(low), bool)
         first, last = np.searchsorted(bounds, [at, at + len(low) + width], side="right")
@@ -99,9 +102,13 @@ def anchored_runs(raw: np.ndarray, bounds: np.ndarray, width: int, gram: int = G
         begins = np.where(step == 0, s0[run], place[np.maximum(lo[run] + step - 1, 0)] + 1)
         ends = np.minimum(anchor, s1[run])
         text = np.searchsorted(bounds, begins + at, side="right") - 1
-        found.append((text, begins + at - bounds[text], ends - begins + 1, anchor - begins, key[run].view(np.int64)))
+        shape = (ends - begins).astype(np.uint64) * MIX_B + (anchor - begins).astype(np.uint64)
+        digest = mix(mix(whole[begins] + shape * GOLDEN) + whole[ends])
+        found.append(
+            (text, begins + at - bounds[text], ends - begins + 1, anchor - begins, key[run].view(np.int64), digest.view(np.int64))
+        )
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -203,38 +210,48 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _runs(texts: DataFrame, width: int) -> DataFrame:
+    """(_t, key, digest, n, before, at): the runs of each text, equal ones as one row with all their places."""
+
     def run(batches):
         for batch in batches:
             raw, bounds = string_buffers(batch.column("text"))
-            text, at, n, before, key = anchored_runs(raw, bounds, width)
+            text, at, n, before, key, digest = anchored_runs(raw, bounds, width)
+            order = np.lexsort((at, digest, key, text))
+            text, at, n, before, key, digest = (x[order] for x in (text, at, n, before, key, digest))
+            fresh = np.ones(len(text), bool)
+            fresh[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+            first = np.flatnonzero(fresh)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_t").take(pa.array(text)), *map(pa.array, (key, at, n, before))],
-                names=["_t", "key", "at", "n", "before"],
+                [batch.column("_t").take(pa.array(text[first])), *(pa.array(x[first]) for x in (key, digest, n, before)), places],
+                names=["_t", "key", "digest", "n", "before", "at"],
             )
 
-    return texts.select("_t", "text").mapInArrow(run, "_t binary, key long, at long, n long, before long")
+    schema = "_t binary, key long, digest long, n long, before long, at array<long>"
+    return texts.select("_t", "text").mapInArrow(run, schema)
 
 
 def _segments(chosen: DataFrame, width: int) -> DataFrame:
     """Bytes of each run; for runs of hot keys, two hashes of each window instead."""
 
     def run(batches):
-        names = ["_t", "key", "other", "at", "n", "before", "bytes"]
+        names = ["_t", "key", "other", "at", "before", "bytes"]
         for batch in batches:
             for t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_t", "text", "runs"))):
                 data, rows = text.encode(), []
                 for r in runs:
+                    part = data[r["at"] : r["at"] + r["n"] + width - 1]
                     if r["hot"]:
-                        part = np.frombuffer(data[r["at"] : r["at"] + r["n"] + width - 1], np.uint8)
-                        pair = [rolling(part, width, b).view(np.int64).tolist() for b in (GOLDEN, MIX_A)]
-                        rows += [(t, a, b, r["at"] + i, 1, 0, None) for i, (a, b) in enumerate(zip(*pair))]
+                        raw = np.frombuffer(part, np.uint8)
+                        pair = [rolling(raw, (width,), b)[0].view(np.int64).tolist() for b in (GOLDEN, MIX_A)]
+                        rows += [(t, a, b, r["at"] + i, 0, None) for i, (a, b) in enumerate(zip(*pair))]
                     else:
-                        rows.append((t, r["key"], None, r["at"], r["n"], r["before"], data[r["at"] : r["at"] + r["n"] + width - 1]))
-                kinds = [pa.binary(), *[pa.int64()] * 5, pa.binary()]
+                        rows.append((t, r["key"], None, r["at"], r["before"], part))
+                kinds = [pa.binary(), *[pa.int64()] * 4, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return chosen.select("_t", "text", "runs").mapInArrow(
-        run, "_t binary, key long, other long, at long, n long, before long, bytes binary"
+        run, "_t binary, key long, other long, at long, before long, bytes binary"
     )
 
 
@@ -284,47 +301,39 @@ def repeated_spans(docs: DataFrame, width: int = 400, hot: int = 4096) -> DataFr
     """(_t, spans) of each text with bytes to remove; ``_t`` is the text's MD5 digest.
 
     1. Every window start gets its anchor; runs of starts with one anchor are
-       rows. A key that only one anchor of one text has cannot repeat and
-       goes, which loses nothing.
-    2. The runs of the other keys are cut out of one text of each group of
-       equal texts, aligned at the anchor, and dealt by key. Shards of them
-       are transformed and merged (``merge_shards``).
-    3. Keys with more than ``hot`` runs are not collected: each of their
+       rows. Equal runs are one string with a count: if it occurs twice, all
+       of it is repeated. A key with one string only needs no more.
+    2. One of each string of the other keys is cut out of its text, aligned
+       at the anchor, and dealt by key. Shards of them are transformed and
+       merged (``merge_shards``), which finds what different strings share.
+    3. Keys with more than ``hot`` strings are not collected: each of their
        windows is a row with a 128-bit hash, counted with partial aggregates.
-    4. A text that has copies is covered whole when it has ``width`` bytes.
     """
     texts = _texts(docs.select("doc_id", "text"))
-    groups = texts.groupBy("_t").agg(
-        F.min("doc_id").alias("_first"), F.count("*").alias("_copies"), F.max(F.octet_length("text")).alias("_size")
-    )
-    groups = materialize(groups, "repeat-texts")
+    groups = materialize(texts.groupBy("_t").agg(F.min("doc_id").alias("_first")), "repeat-texts")
     runs = materialize(_runs(texts, width), "repeat-runs")
-    anchor = F.col("at") + F.col("before")
-    mark = F.xxhash64("_t")
-    keys = runs.groupBy("key").agg(
-        F.min(mark).alias("_a"), F.max(mark).alias("_b"), F.min(anchor).alias("_c"), F.max(anchor).alias("_d")
-    )
-    keys = keys.where("_a != _b OR _c != _d").select("key")
-    kept = materialize(runs.join(keys, "key").distinct(), "repeat-kept")
-    count = kept.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("key", F.lit(True).alias("hot"))
-    rows = kept.join(count, "key", "left")
-    rows = rows.groupBy("_t").agg(
-        F.collect_list(F.struct("key", "at", "n", "before", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs")
-    )
-    rows = rows.join(groups.select("_t", "_first"), "_t").withColumnRenamed("_t", "_k")
-    chosen = texts.join(rows, (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    segments = materialize(_segments(chosen, width), "repeat-segments")
-    found = _merged(segments.where("other IS NULL"), width)
+    mark = F.xxhash64("_t", F.element_at("at", 1))
+    strings = runs.groupBy("key", "digest").agg(F.sum(F.size("at")).alias("_n"), F.min(mark).alias("_mark"))
+    strings = materialize(strings, "repeat-strings")
+    twice = strings.where("_n > 1").select("key", "digest")
+    whole = runs.join(twice, ["key", "digest"]).select("_t", "n", "at").distinct()
+    span = lambda start, size: F.struct(start.alias("start"), (start + size).alias("end"))
+    whole = whole.select("_t", F.transform("at", lambda x: span(x, F.col("n") + (width - 1))).alias("spans"))
+
+    shared = strings.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1")
+    chosen = strings.join(shared.select("key", (F.col("_k") > hot).alias("hot")), "key")
+    rows = runs.join(chosen.select("key", "digest", "_mark", "hot"), ["key", "digest"]).where(mark == F.col("_mark"))
+    run = F.struct("key", F.element_at("at", 1).alias("at"), "n", "before", "hot")
+    rows = rows.groupBy("_t").agg(F.collect_set(run).alias("runs"))
+    rows = rows.join(groups, "_t").withColumnRenamed("_t", "_k")
+    here = texts.join(rows, (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    segments = materialize(_segments(here, width), "repeat-segments")
+    merged = _merged(segments.where("other IS NULL"), width).select("_t", F.array(F.struct("start", "end")).alias("spans"))
     windows = segments.where("other IS NOT NULL")
-    twice = windows.groupBy("key", "other").agg(F.count("*").alias("_n")).where("_n > 1").select("key", "other")
-    found = found.unionByName(
-        windows.join(twice, ["key", "other"]).select("_t", F.col("at").alias("start"), (F.col("at") + width).alias("end"))
-    ).unionByName(
-        groups.where((F.col("_copies") > 1) & (F.col("_size") >= width)).select(
-            "_t", F.lit(0).cast("long").alias("start"), F.col("_size").cast("long").alias("end")
-        )
-    )
-    return found.groupBy("_t").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    again = windows.groupBy("key", "other").agg(F.count("*").alias("_n")).where("_n > 1").select("key", "other")
+    again = windows.join(again, ["key", "other"]).select("_t", F.array(span(F.col("at"), F.lit(width))).alias("spans"))
+    found = whole.unionByName(merged).unionByName(again)
+    return found.groupBy("_t").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def _unique(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -350,12 +359,12 @@ def _cut(text: str | None, spans) -> tuple[bytes, int, int, int]:
     return left, len(data), len(data) - len(left), len(spans)
 
 
-def _joined(docs: DataFrame, width: int) -> DataFrame:
-    spans = repeated_spans(docs, width).withColumnRenamed("_t", "_k")
+def _joined(docs: DataFrame, width: int, hot: int) -> DataFrame:
+    spans = repeated_spans(docs, width, hot).withColumnRenamed("_t", "_k")
     return _texts(docs).join(spans, F.col("_t") == F.col("_k"), "left")
 
 
-def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 400, hot: int = 4096) -> DataFrame:
     """Removed bytes of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte that a ``width``-byte string covers which also starts anywhere
@@ -378,12 +387,12 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
             )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(own, width).select("doc_id", "text", "spans").mapInArrow(
+    return _joined(own, width, hot).select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 
-def cleaned_documents(docs: DataFrame, width: int = 400) -> DataFrame:
+def cleaned_documents(docs: DataFrame, width: int = 400, hot: int = 4096) -> DataFrame:
     """The documents with their repeats removed; same columns, ``n_chars`` recounted.
 
     A character that a removed run cuts in two goes whole. A document that
@@ -395,9 +404,7 @@ def cleaned_documents(docs: DataFrame, width: int = 400) -> DataFrame:
         cuts = (_cut(t.as_py(), s.as_py())[0] for t, s in zip(text, spans))
         return pa.array([c.decode("utf-8", "ignore") for c in cuts], pa.string())
 
-    own = docs.select("*", F.col("text").alias("_own"))
-    joined = _joined(own, width)
-    cut: Column = F.when(F.col("spans").isNull(), F.col("_own")).otherwise(left("text", "spans"))
-    columns = [cut.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = joined.select(*columns)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    own = docs.select(F.struct("*").alias("_doc"), "text", "doc_id")
+    joined = _joined(own, width, hot)
+    cut = F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(left("text", "spans"))
+    return with_text(joined.select("_doc", cut.alias("_left")), docs.columns)

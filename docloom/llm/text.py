@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The six ASCII white-space characters, as regex classes.
@@ -31,6 +31,15 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of the documents in ``_doc`` with ``_left`` as their text and ``n_chars`` recounted.
+
+    Documents travel as one struct, so that no column of theirs clashes with an inner one.
+    """
+    new = {"text": F.col("_left"), "n_chars": F.char_length("_left").cast("long")}
+    return rows.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in columns])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over the word."""
     x = (x ^ (x >> np.uint64(30))) * MIX_A
