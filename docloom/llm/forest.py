@@ -147,8 +147,8 @@ def forest_search(
     random planes, cut at the median of at most ``fit_rows`` rows. A query
     descends to its longest matching prefixes, then all its cursors go up
     together, level by level, until the trees hold ``share`` times the number
-    of rows (a row in several trees counts in each); all rows below these
-    prefixes are compared exactly. Vectors without structure need ``share``
+    of rows, and ``k + 1`` for each tree (a row in several trees counts in
+    each); all rows below these prefixes are compared exactly. Vectors without structure need ``share``
     near 1 for a recall of 0.9; clustered ones stop deep in their cluster.
 
     Equal vectors are searched once and carry their ``k + 1`` smallest ids, so
@@ -183,7 +183,8 @@ def forest_search(
     index = _entries(materialize(_codes(units.select("uid", "v"), planes, cuts, trees), "forest-codes"), "uid", top, "v")
     coded = materialize(_codes(asked, planes, cuts, trees), "forest-queries")
     probes = _entries(coded, "query_id", top, "v")
-    levels = materialize(_levels(index, probes, top, share * count), "forest-levels")
+    wanted = max(share * count, trees * (k + 1))
+    levels = materialize(_levels(index, probes, top, wanted), "forest-levels")
 
     probes = probes.join(levels, "query_id")
     width = F.greatest(F.lit(top) - F.col("level"), F.lit(0))

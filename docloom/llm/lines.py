@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import let
-from docloom.llm.text import GAP, WORD_CHAR, hash60, word_count, words
+from docloom.llm.text import GAP, WORD_CHAR, hash60, with_text, words
 from docloom.session import materialize
 
 WINDOW = 5
@@ -89,15 +89,15 @@ def _judged(docs: DataFrame, max_docs: int, max_share: float, min_words: int) ->
         "_limit", F.greatest(F.lit(float(max_docs)), F.col("_docs") * F.lit(max_share))
     )
     often = lines.groupBy(*host, "line").agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs)
-    often = often.join(sizes, host).where(F.col("_n") > F.col("_limit")).select(*host, "line", "_limit")
+    often = often.join(sizes, host).where(F.col("_n") > F.col("_limit")).select(*host, "line", "_limit", "_n")
     hits = lines.join(often, [*host, "line"]).withColumn(
         "_rest", F.when(F.col("_m1") == F.col("line"), F.col("_m2")).otherwise(F.col("_m1"))
     )
-    hits = materialize(hits.select("_row", *host, "line", "_limit", "_rest"), "line-hits")
+    hits = materialize(hits.select("_row", *host, "line", "_limit", "_n", "_rest"), "line-hits")
     spread_lines = (
-        hits.select(*host, "line", "_limit", F.coalesce("_rest", F.lit(-1)).alias("_rest")).distinct()
-        .groupBy(*host, "line", "_limit").agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > F.col("_limit")).select(*host, "line")
+        hits.select(*host, "line", "_limit", "_n", F.coalesce("_rest", F.lit(-1)).alias("_rest")).distinct()
+        .groupBy(*host, "line", "_limit", "_n").agg(F.count("*").alias("_rests"))
+        .where((F.col("_rests") > F.col("_limit")) & (2 * F.col("_rests") > F.col("_n"))).select(*host, "line")
     )
     removed = (
         hits.select("_row", *host, "line").join(spread_lines, [*host, "line"])
@@ -132,9 +132,10 @@ def line_quality(
     A line is normalised (lower case, single spaces), hashed, and counted once
     per document of its host (``source``). It is above the limits when more
     than ``max_docs`` documents of the host and more than ``max_share`` of
-    them have it, and as many differ in the rest: documents count as one here
-    when they agree on their smallest other line hash, so that copies of one
-    document do not make its own lines boilerplate. Such lines are removed.
+    them have it, and as many, and most of those that have it, differ in the
+    rest: documents count as one here when they agree on their smallest other
+    line hash, so that copies of one document, near ones too, do not make its
+    own lines boilerplate. Such lines are removed.
     A document is rejected when the base rules fail, when more than half of
     its words were in removed lines, or when fewer than ``min_words`` are left.
 
@@ -149,17 +150,15 @@ def keep_documents(
     docs: DataFrame, max_docs: int = 15, max_share: float = 0.01, min_words: int = 10
 ) -> DataFrame:
     """The documents that pass, without their removed lines; same columns, ``n_chars`` recounted."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "line-documents")
-    plain = numbered.select("_row", "text", "source").withColumnRenamed("_row", "doc_id")
+    numbered = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    numbered = materialize(numbered, "line-documents")
+    plain = numbered.select(F.col("_row").alias("doc_id"), "_doc.text", "_doc.source")
     verdict = _judged(plain, max_docs, max_share, min_words).where("kept").select(
         F.col("doc_id").alias("_row"), F.col("_gone")
     )
     norm = lambda x: hash60(F.trim(F.regexp_replace(F.lower(x), GAP, " ")))
     left = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", norm(x))), "\n"
+        F.filter(F.split("_doc.text", "\n"), lambda x: ~F.array_contains("_gone", norm(x))), "\n"
     )
-    joined = numbered.join(verdict, "_row")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = joined.select(*columns)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    text = F.when(F.col("_gone").isNull(), F.col("_doc.text")).otherwise(left)
+    return with_text(numbered.join(verdict, "_row").select("_doc", text.alias("_left")), docs.columns)

@@ -160,7 +160,9 @@ def mixture(
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them; same columns."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    plan = mixture(numbered, keep=("_row",), **parameters).where("copies > 0").select("_row", "copies")
-    repeated = numbered.join(plan, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    numbered = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    numbered = materialize(numbered, "mix-documents")
+    plain = numbered.select("_row", "_doc.doc_id", "_doc.text", "_doc.source")
+    plan = mixture(plain, keep=("_row",), **parameters).where("copies > 0").select("_row", "copies")
+    repeated = numbered.join(plan, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("_doc.*")

@@ -14,8 +14,10 @@ d AS (SELECT row_number() OVER () AS r, * FROM {source}),
 w AS (SELECT r, doc_id, coalesce(source, '') AS host, source IS NULL AS no_host, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
-spot AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w),
-gram AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i:i+4]) AS c FROM spot),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+spot AS (SELECT r, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS g
+    FROM word WINDOW o AS (PARTITION BY r ORDER BY i)),
+gram AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM spot WHERE g IS NOT NULL),
 gap AS (SELECT r, least(5, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i), i + 5) - i) AS s FROM gram WHERE c > 1),
 rep AS (SELECT r, sum(s)::BIGINT AS n_repeat_words FROM gap GROUP BY r),
 line0 AS (SELECT r, host, no_host, unnest(l) AS x FROM w),
@@ -27,7 +29,7 @@ low2 AS (SELECT *, min(h) FILTER (WHERE h > m) OVER (PARTITION BY r) AS m2 FROM
 lim AS (SELECT host, no_host, greatest({float(max_docs)}, count(*) * {max_share}) AS lim FROM w GROUP BY ALL),
 often AS (SELECT host, no_host, h, count(*) AS n, count(DISTINCT CASE WHEN h = m THEN coalesce(m2, -1) ELSE m END) AS rests
     FROM low2 GROUP BY ALL),
-hot AS (SELECT o.host, o.no_host, o.h FROM often o JOIN lim USING (host, no_host) WHERE n > lim AND rests > lim),
+hot AS (SELECT o.host, o.no_host, o.h FROM often o JOIN lim USING (host, no_host) WHERE n > lim AND rests > lim AND 2 * rests > n),
 cut AS (SELECT r, count(*) AS n_removed_lines, sum(line.n)::BIGINT AS n_removed_words, list(DISTINCT h) AS gone
     FROM line JOIN hot USING (host, no_host, h) GROUP BY r),
 fig AS (SELECT w.r, w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
