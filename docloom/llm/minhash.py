@@ -13,6 +13,8 @@ from docloom.llm.text import GOLDEN, byte_slices, mix, random_words, shingle_set
 from docloom.session import materialize
 
 BLOCK = 2048
+# Sets compared in one task.
+CELL = 1024
 
 
 def min_max(shingles: np.ndarray, permutations: int, seed: int = 21) -> np.ndarray:
@@ -114,20 +116,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("_common") >= percent * (F.col("_total") - F.col("_common"))).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 85, bands: int = 24, rows: int = 5, star_rounds: int = 3
-) -> DataFrame:
+def _cell_links(percent: int):
+    """Links among the sets of one cell (cid, root, shingles), between different roots.
+
+    The intersection sizes come from a matrix product over the shingles that
+    some but not all sets have. Of each component that the links make, only
+    links from one of its members to the others are returned.
+    """
+
+    def run(rows):
+        import pyarrow as pa
+
+        cid, root = (rows.column(c).to_numpy() for c in ("cid", "root"))
+        cid, once = np.unique(cid, return_index=True)
+        root, lists = root[once], rows.column("shingles").combine_chunks()
+        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(bounds)[once]
+        owner = np.repeat(np.arange(len(once)), size)
+        take = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in once])
+        shingle, column, count = np.unique(values[take], return_inverse=True, return_counts=True)
+        common = np.full((len(once), len(once)), float((count == len(once)).sum()), np.float32)
+        number = np.cumsum((count > 1) & (count < len(once))) - 1
+        some = ((count > 1) & (count < len(once)))[column]
+        owner, column = owner[some], number[column[some]]
+        for first in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+            inside = (column >= first) & (column < first + 4096)
+            part = np.zeros((len(once), 4096), np.float32)
+            part[owner[inside], column[inside] - first] = 1
+            common += part @ part.T
+        near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        near &= root[:, None] != root[None, :]
+        left, links = near.any(axis=1), []
+        for i in range(len(once)):
+            if not left[i]:
+                continue
+            left[i], reached = False, near[i] & left
+            while True:
+                left &= ~reached
+                links += [(cid[i], cid[j]) for j in np.flatnonzero(reached)]
+                reached = near[reached].any(axis=0) & left
+                if not reached.any():
+                    break
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 24, rows: int = 5) -> DataFrame:
     """Component of near-duplicates of every document: doc_id, n_shingles, component_id, kept.
 
     Texts with equal shingle sets form one class. Classes that share a band
     key of their min-max signature are candidates; a link needs
     ``100 * intersection >= percent * union`` on the full sets. A bucket is
-    never expanded into all its pairs: its members are compared with one
-    pivot, in ``star_rounds`` rounds with pivots of different components, and
-    only members that are then still in different components with each other.
-    So any two members of a bucket are either in one component or compared.
-    A pair at the limit shares no bucket with probability
-    ``(1 - s ** rows) ** bands``, below 1e-6 with the defaults.
+    never expanded into its pairs:
+
+    1. every member is compared with one pivot;
+    2. buckets that still hold several components are cut into blocks of about
+       ``CELL`` members, and each block is linked up in one task;
+    3. members outside their bucket's largest component are compared with all
+       blocks of the bucket.
+
+    Tasks return at most one link per member, and any two members of a bucket
+    end up in one component or have been compared. A pair at the limit shares
+    no bucket with probability ``(1 - s ** rows) ** bands``, below 1e-6 with
+    the defaults.
 
     Empty, null and white-space texts have no shingles, are linked with
     nothing and stay. A row without ``doc_id`` cannot be named, so it is linked
@@ -140,54 +193,59 @@ def near_duplicates(
     named = rows_.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
     classes = named.groupBy("set_id", "n_shingles", "bands").agg(F.min("doc_id").alias("first_id"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "minmax-classes")
+    bucket = ["band", "key"]
     members = classes.select("cid", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    pivots = members.groupBy("band", "key").agg(F.min("cid").alias("pivot"), F.count("*").alias("_m"))
-    shared = members.join(pivots.where("_m > 1"), ["band", "key"]).select("band", "key", "cid", "n", "pivot")
+    pivots = members.groupBy(*bucket).agg(F.min("cid").alias("pivot"), F.count("*").alias("members"))
+    shared = members.join(pivots.where("members > 1"), bucket).select(*bucket, "cid", "n", "pivot", "members")
     shared = materialize(shared, "minmax-buckets")
 
     wanted = shared.select("cid").distinct().join(classes.select("cid", "set_id", "first_id"), "cid")
     sets = _sets(own.join(wanted, own.doc_id == wanted.first_id).select("cid", "set_id", "text"))
     sets = materialize(sets.dropDuplicates(["cid"]), "minmax-sets")
 
-    large, small = F.greatest("n", "_pn"), F.least("n", "_pn")
-    near = 100 * small >= percent * large
     count = classes.select(F.col("cid").alias("pivot"), F.col("n_shingles").alias("_pn"))
     pairs = shared.where("pivot != cid").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), "n").distinct()
-    pairs = pairs.join(count, pairs.a == count.pivot).where(near).select("a", "b")
-    tested = materialize(pairs, "minmax-pairs")
-    links = materialize(_confirmed(tested, sets, percent), "minmax-links")
+    large, small = F.greatest("n", "_pn"), F.least("n", "_pn")
+    pairs = pairs.join(count, pairs.a == count.pivot).where(100 * small >= percent * large).select("a", "b")
+    links = materialize(_confirmed(pairs, sets, percent), "minmax-links")
     roots = materialize(components(links), "minmax-roots")
 
-    for step in range(star_rounds + 1):
-        now = shared.join(roots, shared.cid == roots.node, "left").select(
-            "band", "key", "cid", "n", F.coalesce("root", "cid").alias("root")
+    def open_members() -> DataFrame:
+        """Members, with their roots, of the buckets that hold several components."""
+        now = shared.where("members > 2").join(roots, shared.cid == roots.node, "left").select(
+            *bucket, "cid", "members", F.coalesce("root", "cid").alias("root")
         )
-        split = now.groupBy("band", "key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-        split = split.where("_lo != _hi")
-        open_ = materialize(now.join(split, ["band", "key"]), "minmax-open")
-        if step < star_rounds:
-            # Each component of a bucket offers the member with the smallest draw; one of them is the pivot.
-            draw = F.min(F.struct(F.xxhash64("cid", F.lit(step)).alias("_draw"), "cid", "n", "root")).alias("p")
-            pivot = open_.groupBy("band", "key").agg(draw).select(
-                "band", "key", F.col("p.cid").alias("_pc"), F.col("p.n").alias("_pn"), F.col("p.root").alias("_pr")
-            )
-        else:
-            pivot = open_.select(
-                "band", "key", F.col("cid").alias("_pc"), F.col("n").alias("_pn"), F.col("root").alias("_pr")
-            )
-        fresh = open_.join(pivot, ["band", "key"]).where((F.col("root") != F.col("_pr")) & near)
-        if step == star_rounds:
-            fresh = fresh.where("cid > _pc")
-        fresh = fresh.select(F.least("cid", "_pc").alias("a"), F.greatest("cid", "_pc").alias("b")).distinct()
-        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "minmax-pairs")
-        if fresh.isEmpty():
-            if step == star_rounds:
-                break
-            continue
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(materialize(_confirmed(fresh, sets, percent), "minmax-links"))
+        split = now.groupBy(*bucket).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+        now = now.join(split.where("_lo != _hi").select(*bucket), bucket)
+        blocks = F.ceil(F.col("members") / CELL)
+        return materialize(
+            now.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("cid"), blocks)}), "minmax-open"
+        )
+
+    def linked(cells: DataFrame, keys: list[str]) -> None:
+        nonlocal links, roots
+        found = cells.join(sets, "cid").select(*keys, "cid", "root", "shingles")
+        found = found.groupBy(*keys).applyInArrow(_cell_links(percent), "a long, b long").distinct()
+        links = links.unionByName(materialize(found, "minmax-links"))
         roots = materialize(components(links), "minmax-roots")
 
+    linked(open_members(), [*bucket, "block"])
+    rest = open_members()
+    most = rest.groupBy(*bucket, "root").agg(F.count("*").alias("_n"))
+    most = most.groupBy(*bucket).agg(F.max_by("root", F.struct("_n", "root")).alias("_most"))
+    rest = rest.join(most, bucket)
+    outside = F.col("root") != F.col("_most")
+    chunks = rest.where(outside).groupBy(*bucket).agg(F.ceil(F.count("*") / CELL).alias("chunks"))
+    rest = materialize(rest.join(chunks, bucket), "minmax-outside")
+    up_to = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    inner = rest.withColumn("chunk", F.explode(up_to("chunks")))
+    outer = rest.where(outside).drop("block").withColumns(
+        {"chunk": F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")), "block": F.explode(up_to("blocks"))}
+    )
+    keys = [*bucket, "block", "chunk"]
+    cells = inner.select(*keys, "cid", "root").unionByName(outer.select(*keys, "cid", "root")).distinct()
+    linked(cells, keys)
+
     named_classes = classes.join(roots, classes.cid == roots.node, "left").select(
         "set_id", "n_shingles", "first_id", F.coalesce("root", "cid").alias("root")
     )
@@ -201,8 +259,8 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; those without an id stay as well."""
     kept = near_duplicates(docs, **parameters).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    nameless = docs.where("doc_id IS NULL")
-    return out.unionByName(nameless)
+    packed = docs.select(F.struct("*").alias("_doc"))
+    stay = packed.join(kept, F.col("_doc.doc_id") == F.col("_kept"), "left_semi")
+    return stay.unionByName(packed.where("_doc.doc_id IS NULL")).select("_doc.*")
