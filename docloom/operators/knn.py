@@ -1,19 +1,21 @@
 """k nearest nodes per query by squared Euclidean distance.
 
 Distances are rounded to 6 decimals and ties go to the smaller node id, so
-every way of computing the result gives the same rows.
-
-``scan``   The query vectors, whose number is checked against a bound, go to
-           every task as one matrix; each task reads its share of the nodes
-           once and keeps k hits per query. No shuffle of vectors.
-``cells``  For query sets beyond the bound: an equi-join on cells. Every
-           vector belongs to its nearest pivot. Cells and the queries probing
-           them are cut into blocks of bounded size, so a cell holding a third
-           of all rows becomes many tasks. Exact: the triangle inequality
-           tells which cells can hold a nearer node than those found in the
-           query's home cell, and exactly these are probed as well.
-
-Neither emits pairs: a task returns at most k hits per query it was given.
+every way of computing the result gives the same rows. The caller chooses by
+name; nothing is switched by size.
+
+``knn_scan``    Exact, for a query set that the caller knows to be small: it goes
+                to every task as one matrix. A first pass over a share of the
+                nodes bounds each query's k-th distance, so that the tasks of
+                the second pass return only rows within that bound.
+``knn_blocks``  Exact, for query sets of any size: queries and nodes are dealt
+                into blocks and every query block meets every node block.
+``knn_cells``   Approximate: a node lies in the cell of its nearest pivot, and a
+                query searches the cells of its nearest pivots. An index stores
+                the cells (``docloom.sources.index``), so a lookup reads only
+                those that are probed.
+
+None emits pairs: a task returns at most k hits per query it was given.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from ..functions import fixed
 from ..session import materialize
 
 DECIMALS = 6
-# Largest query matrix that is sent to every task.
+# Largest query matrix that ``knn_scan`` accepts.
 SCAN_BYTES = 64 << 20
-# Cells of the pivot partition; bounds everything that is kept on the driver.
-MIN_CELLS = 16
-MAX_CELLS = 1024
-# Rows per block of a cell.
+# Defaults of the stored cells: their number, and how many a lookup searches.
+CELLS = 16
+PROBES = 14
+# One node in so many is read for the first bound of ``knn_scan``.
+SAMPLE = 16
+# Rows per block.
 BLOCK_NODES = 8192
 BLOCK_QUERIES = 4096
 # Distances held at once while a task compares two blocks.
@@ -99,20 +103,26 @@ def _hits_schema(queries: DataFrame, nodes: DataFrame) -> T.StructType:
     )
 
 
-def _scan(queries: DataFrame, nodes: DataFrame, q: pd.DataFrame, k: int) -> DataFrame:
-    context = nodes.sparkSession.sparkContext
-    ids, matrix = q["query_id"].to_numpy(), _matrix(q["embedding"])
-    shared = context.broadcast((ids, matrix))
+def _usable(vectors: DataFrame, key: str) -> DataFrame:
+    """Rows with a vector; a NULL vector is near nothing."""
+    return vectors.select(key, "embedding").where(F.col("embedding").isNotNull())
+
+
+def _scan(queries: pd.DataFrame, nodes: DataFrame, schema: T.StructType, k: int, bound: np.ndarray) -> DataFrame:
+    """At most k hits per query and task, none beyond the query's bound."""
+    ids, matrix = queries["query_id"].to_numpy(), _matrix(queries["embedding"])
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, matrix, bound))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
+        ids, matrix, bound = shared.value
         best = None
         for batch in batches:
             if batch.empty:
                 continue
             batch = batch.sort_values("node_id", ignore_index=True)
             r, c, d = _nearest(matrix, _matrix(batch["embedding"]), k)
-            found = pd.DataFrame({"r": r, "node_id": batch["node_id"].to_numpy()[c], "distance": d})
+            near = d <= bound[r]
+            found = pd.DataFrame({"r": r[near], "node_id": batch["node_id"].to_numpy()[c[near]], "distance": d[near]})
             if best is not None:
                 found = pd.concat([best, found], ignore_index=True)
                 found = found.sort_values(["r", "distance", "node_id"]).groupby("r").head(k)
@@ -121,64 +131,112 @@ def _scan(queries: DataFrame, nodes: DataFrame, q: pd.DataFrame, k: int) -> Data
             best["query_id"] = ids[best["r"].to_numpy()]
             yield best[["query_id", "node_id", "distance"]]
 
-    return nodes.select("node_id", "embedding").mapInPandas(local, _hits_schema(queries, nodes))
+    return nodes.mapInPandas(local, schema)
+
+
+def knn_scan(queries: DataFrame, nodes: DataFrame, k: int = fixed.TOP_K, sample: int = SAMPLE) -> DataFrame:
+    """Exact ``query_id, node_id, distance, rank`` for a small query set.
+
+    More vectors than fit ``SCAN_BYTES`` are an error, not another algorithm.
+    One node in ``sample``, drawn by the hash of its id, is searched first;
+    its k-th distance bounds what the tasks of the whole search return: about
+    ``sample`` times k rows per query together, however many tasks there are.
+    """
+    schema = _hits_schema(queries, nodes)
+    queries, nodes = _usable(queries, "query_id"), _usable(nodes, "node_id")
+    first = queries.head()
+    if first is None:
+        return top_k(nodes.sparkSession.createDataFrame([], schema), k)
+    allowed = max(1, SCAN_BYTES // (8 * len(first["embedding"])))
+    small = queries.limit(allowed + 1).toPandas()
+    if len(small) > allowed:
+        raise ValueError(f"more than {allowed} queries: use knn_blocks or knn_cells")
+    draw = F.conv(F.substring(F.md5(F.col("node_id").cast("string")), 1, 8), 16, 10).cast("long") % sample
+    anything = np.full(len(small), np.inf)
+    seen = top_k(_scan(small, nodes.where(draw == 0), schema, k, anything), k)
+    kth = seen.where(F.col("rank") == k).select("query_id", "distance").toPandas()
+    bound = small["query_id"].map(dict(zip(kth["query_id"], kth["distance"]))).fillna(np.inf).to_numpy(dtype=float)
+    return top_k(_scan(small, nodes, schema, k, bound), k)
 
 
-def _pivots(nodes: DataFrame, cells: int | None) -> np.ndarray:
-    """Vectors of the ``cells`` nodes with the smallest id hashes: at most ``MAX_CELLS`` rows.
+def knn_blocks(queries: DataFrame, nodes: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
+    """Exact, for query sets of any size: all blocks of queries against all blocks of nodes.
 
-    Without a number, about one cell per full block of nodes.
+    The number of blocks follows from the counts; it decides how the work is
+    dealt, not what comes out.
     """
-    if cells is None:
-        cells = max(MIN_CELLS, nodes.count() // BLOCK_NODES)
+    schema = _hits_schema(queries, nodes)
+    one = F.lit(0).alias("cell")
+    queries, nodes = _usable(queries, "query_id"), _usable(nodes, "node_id")
+    found = _join_cells(queries.select("*", one), nodes.select("*", one), schema, k)
+    return top_k(found, k)
+
+
+def pivots(nodes: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """Vectors of the ``cells`` nodes with the smallest id hashes, each once, in order."""
     rows = (
-        nodes.select("node_id", "embedding")
+        _usable(nodes, "node_id")
         .orderBy(F.md5(F.col("node_id").cast("string")), "node_id")
-        .limit(min(cells, MAX_CELLS))
+        .limit(cells)
         .toPandas()
     )
-    return np.unique(_matrix(rows["embedding"]), axis=0)
+    return np.unique(_matrix(rows["embedding"]), axis=0) if len(rows) else np.zeros((0, 0))
 
 
-def _distances(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+def _distances(vectors: pd.Series, anchors: np.ndarray) -> np.ndarray:
+    """Squared distances to the anchors, rounded as all distances are."""
     v = _matrix(vectors)
-    d = (v * v).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (v @ pivots.T)
-    return np.sqrt(np.maximum(d, 0.0))
+    d = (v * v).sum(axis=1)[:, None] + (anchors * anchors).sum(axis=1)[None, :] - 2.0 * (v @ anchors.T)
+    return np.rint(np.maximum(d, 0.0) * 10.0**DECIMALS)
+
+
+def cell_column(anchors: np.ndarray, embedding: str = "embedding") -> Column:
+    """The number of the nearest anchor, the first of equally near ones; 0 without a vector."""
+
+    @F.pandas_udf("int")
+    def home(vectors: pd.Series) -> pd.Series:
+        out = np.zeros(len(vectors), dtype=np.int32)
+        some = vectors.notna().to_numpy()
+        if some.any() and len(anchors):
+            out[some] = _distances(vectors[some], anchors).argmin(axis=1)
+        return pd.Series(out)
+
+    return home(embedding)
 
 
-def _home(pivots: np.ndarray):
-    @F.pandas_udf("cell int, away double")
-    def home(vectors: pd.Series) -> pd.DataFrame:
-        if vectors.empty:
-            return pd.DataFrame({"cell": [], "away": []})
-        d = _distances(vectors, pivots)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell, "away": d[np.arange(len(d)), cell]})
+def _probed(anchors: np.ndarray, probes: int):
+    count = min(probes, len(anchors))
 
-    return home
+    @F.pandas_udf("array<int>")
+    def nearest_cells(vectors: pd.Series) -> pd.Series:
+        d = _distances(vectors, anchors)
+        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :count].astype(np.int32)))
 
+    return nearest_cells("embedding")
 
-def _per_cell(counts: dict[int, int], block: int, cell: Column) -> Column:
-    """Number of blocks of each cell, as a lookup over at most ``MAX_CELLS`` literals."""
+
+def _blocks(counts: dict[int, int], block: int, cell: Column) -> Column:
+    """Number of blocks of each cell, as a lookup over one literal per cell."""
     blocks = [F.lit(-(-counts.get(c, 0) // block) or 1) for c in range(max(counts, default=0) + 1)]
     return F.coalesce(F.try_element_at(F.array(*blocks), cell + 1), F.lit(1))
 
 
-def _counts(df: DataFrame, *aggs: Column) -> dict[int, tuple]:
-    """Aggregates per cell: at most ``MAX_CELLS`` rows."""
-    return {r["cell"]: r for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *aggs).collect()}
+def _counts(df: DataFrame) -> dict[int, int]:
+    """Rows per cell: one row for each."""
+    return {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
 
 
-def _join_cells(probes: DataFrame, placed: DataFrame, schema: T.StructType, node_counts: dict, k: int) -> DataFrame:
+def _join_cells(probes: DataFrame, placed: DataFrame, schema: T.StructType, k: int) -> DataFrame:
     """k hits per query and block, for every (query, cell) in ``probes``.
 
-    A cell of b node blocks and a query blocks gives a*b groups, each of
-    bounded size on both sides.
+    Only probed cells are read. A cell of b node blocks and a query blocks
+    gives a*b groups, each of bounded size on both sides.
     """
     cell = F.col("cell")
-    query_counts = {c: r["n"] for c, r in _counts(probes.select("cell")).items()}
-    node_blocks = _per_cell({c: r["n"] for c, r in node_counts.items()}, BLOCK_NODES, cell)
-    query_blocks = _per_cell(query_counts, BLOCK_QUERIES, cell)
+    query_counts = _counts(probes)
+    placed = placed.where(cell.isin(list(query_counts)) if query_counts else F.lit(False))
+    node_blocks = _blocks(_counts(placed), BLOCK_NODES, cell)
+    query_blocks = _blocks(query_counts, BLOCK_QUERIES, cell)
     left = probes.select(
         "query_id",
         "embedding",
@@ -186,8 +244,7 @@ def _join_cells(probes: DataFrame, placed: DataFrame, schema: T.StructType, node
         F.pmod(F.xxhash64("query_id"), query_blocks).alias("qb"),
         F.explode(F.sequence(F.lit(0), node_blocks - 1).cast("array<long>")).alias("nb"),
     )
-    probed = cell.isin(list(query_counts)) if query_counts else F.lit(False)
-    right = placed.where(probed).select(
+    right = placed.select(
         "node_id",
         "embedding",
         "cell",
@@ -208,78 +265,28 @@ def _join_cells(probes: DataFrame, placed: DataFrame, schema: T.StructType, node
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
 
 
-def _place(df: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
-    placed = df.withColumn("_home", _home(pivots)("embedding")).select("*", "_home.cell", "_home.away")
-    return materialize(placed.drop("_home"), name)
-
-
-def knn_cells(queries: DataFrame, nodes: DataFrame, k: int = fixed.TOP_K, cells: int | None = None) -> DataFrame:
-    """Exact k nearest nodes by the cell join."""
-    schema = _hits_schema(queries, nodes)
-    nodes = nodes.select("node_id", "embedding")
-    pivots = _pivots(nodes, cells)
-    placed = _place(nodes, pivots, "knn-nodes")
-    stats = _counts(placed, F.max("away").alias("radius"))
-    asked = _place(queries.select("query_id", "embedding"), pivots, "knn-queries")
-    seeds = materialize(top_k(_join_cells(asked, placed, schema, stats, k), k).drop("rank"), "knn-seeds")
-    reach = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-    radii = np.array([stats[c]["radius"] if c in stats else -np.inf for c in range(len(pivots))])
-
-    @F.pandas_udf("array<int>")
-    def reachable(vectors: pd.Series, home: pd.Series, limit: pd.Series) -> pd.Series:
-        # A node of cell c is at least d(query, pivot) - radius away.
-        nearest = np.maximum(_distances(vectors, pivots) - radii[None, :], 0.0)
-        bound = np.sqrt(limit.fillna(np.inf).to_numpy(dtype=float) + 10.0**-DECIMALS) + 1e-9
-        inside = nearest <= bound[:, None]
-        inside[np.arange(len(inside)), home.to_numpy()] = False
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in inside])
-
-    more = asked.join(reach, "query_id", "left").select(
-        "query_id",
-        "embedding",
-        F.explode(reachable("embedding", "cell", F.when(F.col("n") >= k, F.col("kth")))).alias("cell"),
-    )
-    probes = materialize(more, "knn-probes")
-    return top_k(seeds.unionByName(_join_cells(probes, placed, schema, stats, k)), k)
-
-
-def knn_probe(
-    queries: DataFrame, nodes: DataFrame, k: int = fixed.TOP_K, cells: int | None = None, probes: int = 8
+def knn_cells(
+    queries: DataFrame, placed: DataFrame, anchors: np.ndarray, k: int = fixed.TOP_K, probes: int = PROBES
 ) -> DataFrame:
-    """Approximate: only the ``probes`` cells with the nearest pivots are searched."""
-    schema = _hits_schema(queries, nodes)
-    nodes = nodes.select("node_id", "embedding")
-    pivots = _pivots(nodes, cells)
-    placed = _place(nodes, pivots, "knn-nodes")
-    stats = _counts(placed)
-    count = min(probes, len(pivots))
+    """The k nearest nodes in the ``probes`` cells with the nearest anchors; exact when these are all.
 
-    @F.pandas_udf("array<int>")
-    def nearest_cells(vectors: pd.Series) -> pd.Series:
-        d = _distances(vectors, pivots)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :count].astype(np.int32)))
-
-    probed = queries.select("query_id", "embedding", F.explode(nearest_cells("embedding")).alias("cell"))
-    return top_k(_join_cells(materialize(probed, "knn-probes"), placed, schema, stats, k), k)
-
-
-def knn(
-    queries: DataFrame, nodes: DataFrame, k: int = fixed.TOP_K, scan_bytes: int = SCAN_BYTES, cells: int | None = None
-) -> DataFrame:
-    """Exact ``query_id, node_id, distance, rank`` with rank 1..k.
-
-    The query set is read up to the row count that ``scan_bytes`` allows; if
-    it is larger, the cell join is used instead.
+    ``placed`` has ``node_id, embedding, cell``; where it is partitioned by
+    cell, only the probed partitions are read.
     """
-    queries = queries.select("query_id", "embedding")
-    first = nodes.select(F.size("embedding")).head()
-    allowed = max(1, scan_bytes // (8 * first[0])) if first else 0
-    small = queries.limit(allowed + 1).toPandas() if first else None
-    if small is None or small.empty:
-        return top_k(nodes.sparkSession.createDataFrame([], _hits_schema(queries, nodes)), k)
-    if len(small) > allowed:
-        return knn_cells(queries, nodes, k, cells)
-    return top_k(_scan(queries, nodes, small, k), k)
+    schema = _hits_schema(queries, placed)
+    queries = _usable(queries, "query_id")
+    if not len(anchors):
+        return top_k(queries.sparkSession.createDataFrame([], schema), k)
+    probed = queries.select("query_id", "embedding", F.explode(_probed(anchors, probes)).alias("cell"))
+    nodes = placed.select("node_id", "embedding", "cell").where(F.col("embedding").isNotNull())
+    return top_k(_join_cells(materialize(probed, "knn-probes"), nodes, schema, k), k)
+
+
+def place(nodes: DataFrame, cells: int = CELLS) -> tuple[DataFrame, np.ndarray]:
+    """Nodes with their cells, written once, and the anchors: an index in one call."""
+    anchors = pivots(nodes, cells)
+    placed = nodes.select("node_id", "embedding").withColumn("cell", cell_column(anchors))
+    return materialize(placed, "knn-nodes"), anchors
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from ..functions import fixed
 from ..functions.text import WHITE_SPACE
 from .inputs import META_FAMILIES, META_MARKERS
 
+# The index parameters of the queries: cells, and cells searched per query.
+CELLS, PROBES_PER_QUERY = 16, 14
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -309,10 +312,19 @@ ANSWERED = (
     INDEX_NODES,
     vectors("q", "retrieval", "request_id", "question"),
     vectors("n", "index_nodes", "node_id", "text"),
-    """request_hits AS (
+    f"""index_pivots AS (
+  SELECT anchor, row_number() OVER (ORDER BY anchor) AS cell FROM (SELECT DISTINCT v AS anchor FROM (
+    SELECT v FROM n_vectors ORDER BY md5(k), k LIMIT {CELLS}))),
+index_homes AS (
+  SELECT k, v, cell FROM n_vectors, index_pivots
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(list_distance(v, anchor) ** 2, 6), cell) = 1),
+index_probes AS (
+  SELECT k, v, cell FROM q_vectors, index_pivots
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(list_distance(v, anchor) ** 2, 6), cell) <= {PROBES_PER_QUERY}),
+request_hits AS (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, node_id) AS rank FROM (
     SELECT q.k AS request_id, n.k AS node_id, round(list_distance(q.v, n.v) ** 2, 6) AS distance
-    FROM q_vectors q, n_vectors n)
+    FROM index_probes q JOIN index_homes n USING (cell))
   QUALIFY rank <= 4),
 request_cited AS (
   SELECT request_id, list_sort(list(DISTINCT citation)) AS citations, count(*) AS source_nodes_count,
@@ -463,15 +475,16 @@ generated AS (
   SELECT *, CASE WHEN length(prompt) % 7 <> 3 THEN 'Ergebnis zu ' || length(prompt) || ' Zeichen: '
     || substr(prompt, greatest(length(prompt) - 29, 1)) END AS made FROM prompted)"""
 
-# Probed cells: 16 pivots for tables of this size, the 8 nearest searched.
-PROBES = """pivots AS (
-  SELECT embedding AS anchor, row_number() OVER (ORDER BY md5(node_id)) AS cell FROM nodes QUALIFY cell <= 16),
+PROBES = f"""pivots AS (
+  SELECT anchor, row_number() OVER (ORDER BY anchor) AS cell FROM (SELECT DISTINCT embedding AS anchor FROM (
+    SELECT embedding FROM nodes ORDER BY md5(node_id), node_id LIMIT {CELLS}))),
 homes AS (
   SELECT node_id, embedding, cell FROM nodes, pivots
-  QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY list_distance(embedding, anchor)) = 1),
+  QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY round(list_distance(embedding, anchor) ** 2, 6), cell) = 1),
 probes AS (
   SELECT vec_id AS query_id, embedding AS asked, cell FROM nodes, pivots
-  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding, anchor)) <= 8),
+  QUALIFY row_number() OVER (
+    PARTITION BY vec_id ORDER BY round(list_distance(embedding, anchor) ** 2, 6), cell) <= {PROBES_PER_QUERY}),
 probe_hits AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS rank FROM (
     SELECT query_id, node_id, round(list_distance(asked, embedding) ** 2, 6) AS distance
@@ -619,6 +632,7 @@ SELECT k AS doc_id, dim, round(weight::DOUBLE, 5) AS weight FROM t_weights""",
     "q_embed_model": with_(vectors("t", "documents", "doc_id", "text")) + """
 SELECT k AS doc_id, dim, round(weight::DOUBLE, 5) AS weight FROM t_weights""",
     "q_knn_exact": with_(NODES, HITS) + "SELECT query_id, node_id, distance, rank FROM hits",
+    "q_knn_blocks": with_(NODES, HITS) + "SELECT query_id, node_id, distance, rank FROM hits",
     "q_knn_cells": with_(NODES, HITS) + "SELECT query_id, node_id, distance, rank FROM hits",
     "q_knn_scores": with_(NODES, HITS) + """
 SELECT query_id, rank, round(exp(-distance), 6) AS score, printf('%.4f', exp(-distance)) AS score_text FROM hits""",

@@ -466,7 +466,7 @@ def q_embed_model(spark, d):
 
 
 def _hits(spark, d):
-    return N.knn(inputs.questions(spark, d), inputs.nodes(spark, d))
+    return N.knn_blocks(inputs.questions(spark, d), inputs.nodes(spark, d))
 
 
 def _hit_columns(hits):
@@ -475,23 +475,32 @@ def _hit_columns(hits):
 
 @query
 def q_knn_exact(spark, d):
+    return _hit_columns(N.knn_scan(inputs.questions(spark, d), inputs.nodes(spark, d)))
+
+
+@query
+def q_knn_blocks(spark, d):
     return _hit_columns(_hits(spark, d))
 
 
 @query
 def q_knn_cells(spark, d):
-    return _hit_columns(N.knn_cells(inputs.questions(spark, d), inputs.nodes(spark, d)))
+    """Every cell probed: exact."""
+    return _hit_columns(N.knn_cells(inputs.questions(spark, d), *N.place(inputs.nodes(spark, d)), probes=N.CELLS))
+
+
+def _probe(spark, d):
+    return N.knn_cells(inputs.questions(spark, d), *N.place(inputs.nodes(spark, d)))
 
 
 @query
 def q_knn_probe(spark, d):
-    return _hit_columns(N.knn_probe(inputs.questions(spark, d), inputs.nodes(spark, d)))
+    return _hit_columns(_probe(spark, d))
 
 
 @query
 def q_knn_recall(spark, d):
-    q, n = inputs.questions(spark, d), inputs.nodes(spark, d)
-    return N.recall(N.knn_probe(q, n), N.knn(q, n))
+    return N.recall(_probe(spark, d), _hits(spark, d))
 
 
 @query
@@ -680,7 +689,7 @@ def _answered(spark, d):
     """The whole job: documents to an index, requests to cited answers."""
     index = Collection(spark, scratch_path(spark, "answer"), "documents")
     index.rebuild(_document_nodes(spark, d, embed_model))
-    return P.answer_requests(inputs.requests(spark, d), ingest.index_rows(index.read()), embed_model)
+    return P.answer_requests(inputs.requests(spark, d), index, embed_model)
 
 
 @query
@@ -716,9 +725,9 @@ def _example_generator():
 @query
 def q_generate(spark, d):
     """Prompts from retrieved passages through the generator hook, errors included."""
-    nodes = ingest.index_rows(_collection(spark, d, embed_model).read())
+    index = _collection(spark, d, embed_model)
     prepared = materialize(P.prepare(inputs.requests(spark, d)).drop("answer"), "prepared")
-    found = materialize(P.retrieve(prepared, nodes, embed_model), "found")
+    found = materialize(P.retrieve(prepared, index, embed_model), "found")
     asked = with_generated(P.prompts(prepared, found), generator_column(_example_generator))
     answered = P.answer(materialize(asked, "generated"), A.citations(found))
     return answered.select(
@@ -729,9 +738,9 @@ def q_generate(spark, d):
 
 @query
 def q_debug_text(spark, d):
-    nodes = ingest.index_rows(_collection(spark, d, embed_model).read())
+    index = _collection(spark, d, embed_model)
     prepared = materialize(P.prepare(inputs.requests(spark, d)), "prepared")
-    found = materialize(P.retrieve(prepared, nodes, embed_model), "found")
+    found = materialize(P.retrieve(prepared, index, embed_model), "found")
     answered = materialize(P.answer(prepared, A.citations(found)), "answered")
     lines = source_lines(N.with_scores(found)).withColumnRenamed("query_id", "request_id")
     records = P.audit(answered).withColumn("logged_at", F.timestamp_seconds(_created()))

@@ -1,17 +1,24 @@
-"""The vector index: one Parquet table per collection, partitioned by level.
-
-``<root>/<collection>/gen=<n>/level=<l>/…``. A rebuild or a delete writes the
-next generation completely before readers see it: the current generation is
-the highest one with a success marker, so a job lost half-way leaves the old
-index in place. Adding appends to the current generation.
+"""The vector index: one Parquet table per collection, partitioned by level and cell.
+
+``<root>/<collection>/gen=<n>/level=<l>/cell=<c>/…``, and the pivots of the
+cells in ``pivots/gen=<n>``. A rebuild or a delete writes the next generation
+completely before readers see it: the current generation is the highest one
+with a success marker, so a job lost half-way leaves the old index in place.
+Then older generations go, but for the one that running readers may still
+use. Adding appends to the current generation and its cells.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import fixed
+from ..operators import knn
 from ..schemas import NODE
+from ..session import materialize
 
 
 def _generations(spark: SparkSession, folder: str) -> list[int]:
@@ -43,27 +50,75 @@ class Collection:
     def exists(self) -> bool:
         return bool(_generations(self.spark, self.folder))
 
+    def placed(self) -> DataFrame:
+        """The stored nodes with the number of their cell."""
+        done = _generations(self.spark, self.folder)
+        schema = T.StructType([*NODE.fields, T.StructField("cell", T.IntegerType())])
+        if not done:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._path(done[-1]))
+
     def read(self) -> DataFrame:
         """The stored nodes; empty when there is no collection yet."""
+        return self.placed().drop("cell")
+
+    def pivots(self) -> np.ndarray:
+        """The pivots of the current generation, in the order of their cells."""
         done = _generations(self.spark, self.folder)
         if not done:
-            return self.spark.createDataFrame([], NODE)
-        return self.spark.read.schema(NODE).parquet(self._path(done[-1]))
+            return np.zeros((0, 0))
+        rows = self.spark.read.parquet(f"{self.folder}/pivots/gen={done[-1]}").orderBy("cell").collect()
+        return np.array([r["embedding"] for r in rows], dtype=np.float64)
+
+    def lookup(self, queries: DataFrame, k: int = fixed.TOP_K, probes: int = knn.PROBES) -> DataFrame:
+        """The k nearest stored nodes in the ``probes`` cells nearest to each query."""
+        return knn.knn_cells(queries, self.placed(), self.pivots(), k, probes)
 
-    def _write(self, nodes: DataFrame, generation: int, mode: str) -> None:
+    def _write(self, nodes: DataFrame, generation: int, mode: str, pivots: np.ndarray) -> None:
         shaped = nodes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODE.fields])
-        shaped.write.mode(mode).partitionBy("level").parquet(self._path(generation))
+        shaped = shaped.withColumn("cell", knn.cell_column(pivots))
+        shaped.write.mode(mode).partitionBy("level", "cell").parquet(self._path(generation))
 
-    def rebuild(self, nodes: DataFrame) -> None:
-        """Replace everything."""
+    def rebuild(self, nodes: DataFrame, cells: int = knn.CELLS) -> None:
+        """Replace everything; ``cells`` is the number of pivots to search by.
+
+        The nodes are written once before their pivots are drawn, so nothing
+        is parsed or embedded twice.
+        """
+        done = _generations(self.spark, self.folder)
+        generation = (done[-1] if done else 0) + 1
+        staged = materialize(nodes, "index-nodes")
+        pivots = knn.pivots(staged, cells)
+        rows = [(i, [float(x) for x in v]) for i, v in enumerate(pivots)]
+        table = self.spark.createDataFrame(rows, "cell int, embedding array<double>").coalesce(1)
+        table.write.mode("overwrite").parquet(f"{self.folder}/pivots/gen={generation}")
+        self._write(staged, generation, "overwrite", pivots)
+        self.vacuum()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the last ``keep`` complete generations, and unfinished older ones."""
         done = _generations(self.spark, self.folder)
-        self._write(nodes, (done[-1] if done else 0) + 1, "overwrite")
+        first = done[-keep] if len(done) >= keep else 0
+        for folder in (self.folder, f"{self.folder}/pivots"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for status in fs.listStatus(path):
+                name = status.getPath().getName()
+                if name.startswith("gen=") and int(name[4:]) < first:
+                    fs.delete(status.getPath(), True)
 
     def add(self, nodes: DataFrame, dedupe: bool = False) -> None:
-        """Append; nodes already stored are stored again unless ``dedupe`` is set."""
+        """Append; nodes already stored are stored again unless ``dedupe`` is set.
+
+        An empty collection has no cells yet and is built from the nodes.
+        """
         done = _generations(self.spark, self.folder)
         nodes = self.unknown(nodes) if dedupe else nodes
-        self._write(nodes, done[-1] if done else 1, "append")
+        pivots = self.pivots()
+        if not len(pivots):
+            self.rebuild(nodes)
+        else:
+            self._write(nodes, done[-1], "append", pivots)
 
     def unknown(self, nodes: DataFrame) -> DataFrame:
         """The nodes whose ids are not stored yet, each id once.

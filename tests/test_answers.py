@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed
 from docloom.operators import citations as A
 from docloom.operators.embed import embedder, hash_model
+from docloom.operators.knn import knn_blocks
 from docloom.operators.records import (
     AUDIT,
     audit_lines,
@@ -15,7 +16,8 @@ from docloom.operators.records import (
     stamp_text,
 )
 from docloom.plans import answer as P
-from docloom.schemas import CHAT_REQUEST
+from docloom.schemas import CHAT_REQUEST, NODE
+from docloom.sources.index import Collection
 
 
 embed_model = embedder(hash_model())
@@ -91,7 +93,7 @@ def test_stamp(spark):
 
 
 @pytest.fixture(scope="module")
-def answered(spark):
+def answered(spark, tmp_path_factory):
     """Five requests of one chat: answered, meta, failed generator, answered again, rejected."""
     meta = " ".join(fixed.TITLE_MARKERS)
     rows = [
@@ -111,7 +113,16 @@ def answered(spark):
             "node_id string, text string, filename string, page_number int",
         )
     )
-    return P.answer_requests(requests, nodes, embed_model, k=1)
+    metadata = F.struct(F.lit("p").alias("file_path"), F.lit("d").alias("file_directory"), "filename", "page_number")
+    nodes = nodes.withColumns({"metadata": metadata, "level": F.lit(0), **{
+        f.name: F.lit(None) for f in NODE.fields if f.name not in (*nodes.columns, "metadata", "level")
+    }})
+    index = Collection(spark, str(tmp_path_factory.mktemp("index")), "c")
+    index.rebuild(nodes)
+    exact = P.retrieve(P.prepare(requests), index, embed_model, 1, lambda q, k: knn_blocks(q, nodes, k))
+    found = P.retrieve(P.prepare(requests), index, embed_model, 1)
+    assert sorted(map(str, found.collect())) == sorted(map(str, exact.collect()))
+    return P.answer_requests(requests, index, embed_model, k=1)
 
 
 def test_answers(answered):

@@ -66,3 +66,31 @@ def test_level_filter_prunes_partitions(spark, nodes, tmp_path):
     leaves = index.read().where("level = 2").select("node_id")
     plan = leaves._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(level" in plan and "embedding" not in plan.split("ReadSchema")[1]
+
+
+def test_lookup_reads_only_probed_cells(spark, nodes, tmp_path):
+    from docloom.operators import knn
+
+    index = Collection(spark, str(tmp_path), "c")
+    index.rebuild(nodes, cells=6)
+    asked = nodes.where("level = 2").limit(1).select(F.col("node_id").alias("query_id"), "embedding")
+    one = knn.knn_cells(asked, index.placed(), index.pivots(), probes=1)
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in text or "PartitionFilters: [cell" in text
+    hits = index.lookup(asked, probes=6).collect()
+    exact = knn.knn_blocks(asked, nodes).collect()
+    assert sorted(map(str, hits)) == sorted(map(str, exact))
+    index.add(nodes)
+    assert index.placed().select("node_id", "cell").distinct().count() == nodes.count()
+
+
+def test_old_generations_go(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    for _ in range(4):
+        index.rebuild(nodes)
+    names = sorted(p.name for p in (tmp_path / "c").iterdir() if p.name.startswith("gen="))
+    assert names == ["gen=3", "gen=4"] and index.count() == nodes.count()
+    index.delete_all()
+    index.vacuum(keep=1)
+    assert [p.name for p in (tmp_path / "c").iterdir() if p.name.startswith("gen=")] == ["gen=5"]
+    assert index.count() == 0

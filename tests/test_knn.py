@@ -50,52 +50,67 @@ def test_strategies_equal_brute_force(spark, data, monkeypatch):
     queries, nodes = data
     q, n = frames(spark, queries, nodes)
     expected = brute(queries, nodes, 4)
-    same(result(N.knn(q, n, 4)), expected)
+    same(result(N.knn_scan(q, n, 4)), expected)
+    same(result(N.knn_scan(q, n, 4, sample=3)), expected)
     monkeypatch.setattr(N, "BLOCK_NODES", 16)
     monkeypatch.setattr(N, "BLOCK_QUERIES", 8)
+    same(result(N.knn_blocks(q, n, 4)), expected)
     for cells in (1, 7, 64):
-        same(result(N.knn_cells(q, n, 4, cells)), expected)
-    # More queries than the bound allows: the cell join takes over.
-    same(result(N.knn(q, n, 4, scan_bytes=6 * 8 * 10)), expected)
+        same(result(N.knn_cells(q, *N.place(n, cells), 4, probes=cells)), expected)
+    # More queries than the scan accepts: an error, not another algorithm.
+    monkeypatch.setattr(N, "SCAN_BYTES", 6 * 8 * 10)
+    with pytest.raises(ValueError, match="knn_blocks"):
+        N.knn_scan(q, n, 4)
+
+
+def test_null_vectors_are_near_nothing(spark, data):
+    queries, nodes = data
+    q, n = frames(spark, queries[:5], nodes[:20])
+    expected = brute(queries[:5], nodes[:20], 4)
+    q = spark.createDataFrame([("none", None)], q.schema).unionByName(q)
+    n = spark.createDataFrame([("none", None)], n.schema).unionByName(n)
+    for found in (N.knn_scan(q, n, 4), N.knn_blocks(q, n, 4), N.knn_cells(q, *N.place(n, 3), 4, probes=3)):
+        same(result(found), expected)
 
 
 def test_fewer_nodes_than_k(spark, data):
     queries, nodes = data
     q, n = frames(spark, queries, nodes[:3])
     expected = brute(queries, nodes[:3], 4)
-    same(result(N.knn(q, n, 4)), expected)
-    same(result(N.knn_cells(q, n, 4, 2)), expected)
+    same(result(N.knn_scan(q, n, 4)), expected)
+    same(result(N.knn_cells(q, *N.place(n, 2), 4, probes=2)), expected)
 
 
 def test_no_queries(spark, data):
     q, n = frames(spark, *data)
-    assert N.knn(q.limit(0), n).count() == 0
+    assert N.knn_scan(q.limit(0), n).count() == 0 and N.knn_blocks(q.limit(0), n).count() == 0
 
 
 def test_self_query_is_first(spark, data):
     _, nodes = data
     unique = list({tuple(v): (n, v) for n, v in reversed(nodes)}.values())
     q, n = frames(spark, unique, unique)
-    for query_id, hits in result(N.knn(q, n, 1)).items():
+    for query_id, hits in result(N.knn_scan(q, n, 1)).items():
         assert hits == [(query_id, 0.0)]
 
 
 def test_probing_every_cell_is_exact(spark, data):
     queries, nodes = data
     q, n = frames(spark, queries, nodes)
-    same(result(N.knn_probe(q, n, 4, cells=8, probes=8)), brute(queries, nodes, 4))
+    same(result(N.knn_cells(q, *N.place(n, 8), 4, probes=8)), brute(queries, nodes, 4))
 
 
 def test_recall(spark, small):
     from docloom.plans import inputs
 
     q, n = inputs.questions(spark, small), inputs.nodes(spark, small)
-    exact = N.knn(q, n)
+    exact = N.knn_scan(q, n)
     row = N.recall(exact, exact).first()
     assert (row.n_hits, row.recall) == (2000, 1.0)
-    some = N.recall(N.knn_probe(q, n, cells=16, probes=8), exact).first().recall
-    more = N.recall(N.knn_probe(q, n, cells=16, probes=14), exact).first().recall
-    assert 0.5 < some < more
+    placed = N.place(n)
+    some = N.recall(N.knn_cells(q, *placed, probes=8), exact).first().recall
+    default = N.recall(N.knn_cells(q, *placed), exact).first().recall
+    assert 0.5 < some < 0.9 <= default
 
 
 def test_blocks_stay_bounded(spark, data, monkeypatch):
@@ -113,5 +128,6 @@ def test_blocks_stay_bounded(spark, data, monkeypatch):
         return real(a, b, k)
 
     monkeypatch.setattr(N, "_nearest", watched)
-    N.knn_cells(q, n, 4, 1).collect()
+    N.knn_cells(q, *N.place(n, 1), 4).collect()
+    N.knn_blocks(q, n, 4).collect()
     assert seen.value == 0
