@@ -9,20 +9,20 @@ from . import fixed
 from .text import contains_any, count_contained, let
 
 
-def _share(text: Column, markers: list[str]) -> Column:
-    return count_contained(F.lower(text), markers).cast("double") / F.lit(float(len(markers)))
+def _share(lowered: Column, markers: list[str]) -> Column:
+    return count_contained(lowered, markers).cast("double") / F.lit(float(len(markers)))
 
 
 def title_score(text: Column) -> Column:
-    return _share(text, fixed.TITLE_MARKERS)
+    return _share(F.lower(text), fixed.TITLE_MARKERS)
 
 
 def tags_score(text: Column) -> Column:
-    return _share(text, fixed.TAGS_MARKERS)
+    return _share(F.lower(text), fixed.TAGS_MARKERS)
 
 
 def general_score(text: Column) -> Column:
-    return _share(text, fixed.GENERAL_MARKERS)
+    return _share(F.lower(text), fixed.GENERAL_MARKERS)
 
 
 def verdict(title: Column, tags: Column, general: Column) -> Column:
@@ -50,12 +50,16 @@ def verdict(title: Column, tags: Column, general: Column) -> Column:
 
 def meta_verdict(text: Column) -> Column:
     """The verdict as a single expression, for use inside other expressions."""
-    scores = F.struct(
-        title_score(text).alias("title"),
-        tags_score(text).alias("tags"),
-        general_score(text).alias("general"),
-    )
-    return let(scores, lambda s: verdict(s["title"], s["tags"], s["general"]))
+
+    def scores(lowered: Column) -> Column:
+        return F.struct(
+            _share(lowered, fixed.TITLE_MARKERS).alias("title"),
+            _share(lowered, fixed.TAGS_MARKERS).alias("tags"),
+            _share(lowered, fixed.GENERAL_MARKERS).alias("general"),
+        )
+
+    found = let(F.lower(text), scores)
+    return let(found, lambda s: verdict(s["title"], s["tags"], s["general"]))
 
 
 def with_verdict(df: DataFrame, text: str) -> DataFrame:

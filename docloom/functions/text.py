@@ -22,7 +22,11 @@ def strip(text: Column) -> Column:
 
 def contains_any(text: Column, needles: list[str]) -> Column:
     """True when any needle is a substring of the lower-cased text."""
-    lowered = F.lower(text)
+    return any_contained(F.lower(text), needles)
+
+
+def any_contained(lowered: Column, needles: list[str]) -> Column:
+    """True when any needle is a substring of the already lower-cased text."""
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(n)) for n in needles])
 
 

@@ -12,24 +12,18 @@ from ..functions import fixed
 from ..functions.text import one_line, preview_always
 
 
-# Parts the hits of one node are spread over.
-SALTS = 16
-
-
-def hits_with_metadata(hits: DataFrame, nodes: DataFrame, salts: int = SALTS) -> DataFrame:
+def hits_with_metadata(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """Inner equi-join on the node id; the vectors are not read again.
 
     ``hits`` is read twice, so pass a written frame, not a search still to be
     run. The nodes are first reduced to those that were hit, with each id once on
-    both sides. The hits, where one passage may be found by very many
-    queries, are then joined in salted parts against copies of these few.
+    both sides. A passage found by very many queries makes a large partition
+    of short rows, which adaptive execution splits; nothing is copied for the
+    others.
     """
     kept = [c for c in nodes.columns if c != "embedding"]
     found = nodes.select(*kept).join(hits.select("node_id").distinct(), "node_id", "left_semi")
-    parts = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")
-    copies = found.withColumn("_salt", F.explode(parts))
-    salt = F.pmod(F.xxhash64("query_id"), F.lit(salts).cast("long"))
-    return hits.withColumn("_salt", salt).join(copies, ["node_id", "_salt"]).drop("_salt")
+    return hits.join(found, "node_id")
 
 
 def page_text(page: Column) -> Column:

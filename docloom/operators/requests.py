@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.classify import is_flagged, is_suspicious, meta_verdict
-from ..functions.text import let, numbered_rows, strip
+from ..functions.classify import is_flagged, meta_verdict
+from ..functions.text import any_contained, let, numbered_rows, strip
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
@@ -73,6 +73,11 @@ def last_of(texts: Column) -> Column:
     return F.try_element_at(texts, F.lit(-1))
 
 
+def _suspicious(text: Column) -> Column:
+    """``is_suspicious`` inside a lambda: the text is lower-cased once, not once per keyword."""
+    return let(F.lower(text), lambda lowered: any_contained(lowered, fixed.SUSPICIOUS_KEYWORDS))
+
+
 def alternative(texts: Column) -> Column:
     """``struct<content, idx>`` of the newest user message that is long enough and clean.
 
@@ -83,7 +88,7 @@ def alternative(texts: Column) -> Column:
         texts, lambda text, i: F.struct(text.alias("content"), (i + 1).alias("idx"))
     )
     usable = F.filter(
-        numbered, lambda m: (F.length(m["content"]) > 10) & ~is_suspicious(m["content"])
+        numbered, lambda m: (F.length(m["content"]) > 10) & ~_suspicious(m["content"])
     )
     return last_of(usable)
 
@@ -101,7 +106,7 @@ def _choose(texts: Column, last: Column, meta: Column) -> Column:
             F.coalesce(s["alternative"]["content"], last).alias("question"),
         )
 
-    doubted = ~meta["is_meta"] & F.coalesce(is_suspicious(last), F.lit(False))
+    doubted = ~meta["is_meta"] & F.coalesce(_suspicious(last), F.lit(False))
     looked = let(
         doubted,
         lambda d: F.struct(d.alias("suspicious"), F.when(d, alternative(texts)).alias("alternative")),

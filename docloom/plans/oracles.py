@@ -666,11 +666,11 @@ FROM documents""",
 SELECT page_id, regexp_extract(url, '^https?://([^:/?#]+)', 1) AS host, split_part(url, '?', 1) AS prefix,
   regexp_replace(url, '^(https?://)[^:/?#]+', '\1localhost') AS local_url FROM pages""",
     "q_response_ids": with_(*RES) + f"SELECT request_id, {RESPONSE_ID} AS response_id FROM resolved WHERE status_code = 200",
-    "q_openai_response": with_(*RES, ANSWER_TEXT) + f"""
+    "q_openai_response": with_(*ANSWERED) + f"""
 SELECT request_id, to_json({{'id': {RESPONSE_ID}, 'object': 'chat.completion', 'created': 1700000000 + req_no,
   'model': model, 'choices': [{{'index': 0, 'message': {{'role': 'assistant', 'content': response_text}},
   'finish_reason': 'stop'}}], 'usage': {{'prompt_tokens': 0, 'completion_tokens': 0, 'total_tokens': 0}},
-  'chat_id': chat_id}})::VARCHAR AS response FROM answer_texts""",
+  'chat_id': chat_id}})::VARCHAR AS response FROM answered WHERE status_code = 200""",
     "q_ollama_to_internal": with_(CHAT_LOG, MESSAGES, REQUESTS.split(",\nrequests AS")[0], OLLAMA) + f"""
 SELECT request_id, coalesce(asked_model, 'llama3.2:1b') AS model,
   coalesce(CASE WHEN conv_id % 2 = 0 THEN asked_temperature END, 0.7::DOUBLE) AS temperature,

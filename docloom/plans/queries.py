@@ -626,21 +626,9 @@ def _created():
     return F.lit(1700000000).cast("long") + F.col("req_no")
 
 
-def _uncited(spark, d):
-    """Requests answered without retrieval hits, for the record queries."""
-    prepared = P.prepare(inputs.requests(spark, d))
-    none = spark.createDataFrame(
-        [],
-        T.StructType(
-            [T.StructField("query_id", T.StringType()), T.StructField("citations", T.ArrayType(T.StringType()))]
-        ),
-    )
-    return P.answer(prepared, none)
-
-
 @query
 def q_openai_response(spark, d):
-    responses = P.respond(_uncited(spark, d), _created())
+    responses = P.respond(_answered(spark, d), _created())
     return responses.select("request_id", F.to_json("response").alias("response"))
 
 
@@ -657,7 +645,7 @@ def q_ollama_to_internal(spark, d):
 @query
 def q_ollama_response(spark, d):
     answered = P.answer(
-        P.prepare(from_ollama(inputs.ollama_requests(spark, d))),
+        materialize(P.prepare(from_ollama(inputs.ollama_requests(spark, d))), "prepared"),
         spark.createDataFrame([], "query_id string, citations array<string>"),
     )
     responses = P.respond(answered, _created())

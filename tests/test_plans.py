@@ -37,7 +37,16 @@ def test_resolution_is_evaluated_once(spark, small):
     assert filtered.count("### chat history:") <= 2 * text.count("### chat history:")
 
 
-@pytest.mark.parametrize("name", ["q_history_merge", "q_context_history"])
+def test_a_message_is_lower_cased_a_few_times(spark, small):
+    assert plan(QUERIES["q_resolved_message"](spark, small)).count("lower(") <= 8
+
+
+def test_pages_are_scanned_once(spark, small):
+    text = plan(QUERIES["q_pages_per_file"](spark, small))
+    assert "documents.parquet" not in text and "split(" not in text
+
+
+@pytest.mark.parametrize("name", ["q_history_merge"])
 def test_history_is_hash_aggregated(spark, small, name):
     text = plan(QUERIES[name](spark, small))
     merge = [line for line in text.splitlines() if "Aggregate" in line and "content" in line and "collect_list" not in line]
