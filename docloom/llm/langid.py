@@ -72,7 +72,8 @@ def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, n
     centroids = rows[chosen]
     for _ in range(rounds):
         own = np.argmax(rows @ centroids.T, axis=1)
-        centroids = np.stack([rows[own == c].sum(axis=0) if (own == c).any() else centroids[c] for c in range(len(centroids))])
+        sums = [rows[own == c].sum(axis=0) if (own == c).any() else centroids[c] for c in range(len(centroids))]
+        centroids = np.stack(sums)
         centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     return centroids, (rows @ centroids.T).max(axis=1)
 
@@ -99,8 +100,10 @@ def fit(training: DataFrame, centroids: int = 4, fit_docs: int = 400):
 
         for batch in batches:
             pairs = [vector(gram_counts(raw), idf) for raw in _each(batch)]
+            places = pa.array([p[0] for p in pairs], pa.list_(pa.int64()))
+            weights = pa.array([p[1] for p in pairs], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.float64()))],
+                [batch.column("lang"), places, weights],
                 names=["lang", "at", "weight"],
             )
 
@@ -160,8 +163,9 @@ def identify(docs: DataFrame, centroids: int = 4, fit_docs: int = 400) -> DataFr
                 score = min(max(float(cosine[best]), 0.0), 1.0)
                 out.append((names[own[best]], score, score < least[own[best]]))
             kinds = [pa.string(), pa.float64(), pa.bool_()]
+            columns = zip(*out) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), *[pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, kinds)]],
+                [batch.column("doc_id"), batch.column("held_out"), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
                 names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
             )
 

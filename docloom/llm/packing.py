@@ -16,18 +16,17 @@ END = 0
 _encoders: dict[int, object] = {}
 
 
-def _encoder(vocabulary: bytes):
+def _encoder(vocabulary: bytes, pattern: str):
     """One encoder per Python worker."""
-    key = hash(vocabulary)
+    key = hash((vocabulary, pattern))
     if key not in _encoders:
         import base64
 
-        import public_tokenizers
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         _encoders[key] = tiktoken.Encoding(
-            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         )
     return _encoders[key]
 
@@ -46,12 +45,15 @@ def pieces(docs: DataFrame, limit: int = 2048, vocabulary: bytes | None = None)
     A document is its ids and the end id. Longer ones are cut from the end,
     so only the first piece is shorter than ``limit``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or read_vocabulary())
+    import public_tokenizers
+
+    # Sent to the tasks, which need no tokenizer files: about a megabyte, whatever the corpus.
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary or read_vocabulary(), public_tokenizers.PATTERN))
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = _encoder(shared.value)
+        encoder = _encoder(*shared.value)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             rows = []
