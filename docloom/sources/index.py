@@ -1,17 +1,22 @@
 """The vector index: one Parquet table per collection, partitioned by level and cell.
 
-``<root>/<collection>/gen=<n>/level=<l>/cell=<c>/…``, and the pivots of the
-cells in ``pivots/gen=<n>``. A rebuild or a delete writes the next generation
-completely before readers see it: the current generation is the highest one
-with a success marker, so a job lost half-way leaves the old index in place.
-Then older generations go, but for the one that running readers may still
-use. Adding appends to the current generation and its cells.
+``<root>/<collection>/gen=<n>/batch=<b>/level=<l>/cell=<c>/…`` holds the nodes,
+``ids/gen=<n>/batch=<b>/bucket=<k>/…`` the ids of their documents, and
+``pivots/gen=<n>`` the pivots of the cells. The pivots are written last and
+make a generation complete: readers see the highest complete one, so a
+rebuild that is lost half-way leaves the old index in place. After a rebuild
+older generations go, but for the one that running readers may still use.
+
+Every addition is a batch with a folder of its own, which it replaces: one that
+runs a second time under the same name stores nothing twice.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,20 +26,26 @@ from ..schemas import NODE
 from ..session import materialize
 
 
-def _generations(spark: SparkSession, folder: str) -> list[int]:
+BUCKETS = 256
+
+
+def _listing(spark: SparkSession, folder: str):
+    """File system and generation folders below ``folder``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = []
-    for status in fs.listStatus(path):
-        child, marker = status.getPath(), "_SUCCESS"
-        name = child.getName()
-        if name.startswith("gen=") and fs.exists(
-            spark._jvm.org.apache.hadoop.fs.Path(child, marker)
-        ):
-            done.append(int(name[4:]))
-    return sorted(done)
+    found = fs.listStatus(path) if fs.exists(path) else []
+    return fs, [status.getPath() for status in found if status.getPath().getName().startswith("gen=")]
+
+
+def _generations(spark: SparkSession, folder: str) -> list[int]:
+    """The complete generations: those whose pivots are written."""
+    fs, folders = _listing(spark, f"{folder}/pivots")
+    marker = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(path.getName()[4:]) for path in folders if fs.exists(marker(path, "_SUCCESS")))
+
+
+def bucket(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
 
 
 class Collection:
@@ -56,7 +67,8 @@ class Collection:
         schema = T.StructType([*NODE.fields, T.StructField("cell", T.IntegerType())])
         if not done:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(done[-1]))
+        stored = T.StructType([T.StructField("batch", T.StringType()), *schema.fields])
+        return self.spark.read.schema(stored).parquet(self._path(done[-1])).select(*schema.names)
 
     def read(self) -> DataFrame:
         """The stored nodes; empty when there is no collection yet."""
@@ -74,12 +86,15 @@ class Collection:
         """The k nearest stored nodes in the ``probes`` cells nearest to each query."""
         return knn.knn_cells(queries, self.placed(), self.pivots(), k, probes)
 
-    def _write(self, nodes: DataFrame, generation: int, mode: str, pivots: np.ndarray) -> None:
+    def _write(self, nodes: DataFrame, generation: int, batch: str, pivots: np.ndarray) -> None:
+        """Replace one batch of a generation; ``nodes`` is read twice."""
         shaped = nodes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODE.fields])
-        shaped = shaped.withColumn("cell", knn.cell_column(pivots))
-        shaped.write.mode(mode).partitionBy("level", "cell").parquet(self._path(generation))
+        placed = shaped.withColumn("cell", knn.cell_column(pivots))
+        placed.write.mode("overwrite").partitionBy("level", "cell").parquet(f"{self._path(generation)}/batch={batch}")
+        ids = shaped.select("doc_id").distinct().withColumn("bucket", bucket())
+        ids.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/ids/gen={generation}/batch={batch}")
 
-    def rebuild(self, nodes: DataFrame, cells: int = knn.CELLS) -> None:
+    def rebuild(self, nodes: DataFrame, cells: int = knn.CELLS, batch: str = "rebuild") -> None:
         """Replace everything; ``cells`` is the number of pivots to search by.
 
         The nodes are written once before their pivots are drawn, so nothing
@@ -87,38 +102,60 @@ class Collection:
         """
         done = _generations(self.spark, self.folder)
         generation = (done[-1] if done else 0) + 1
+        self._drop(lambda number: number == generation)  # the rest of a rebuild that was lost
         staged = materialize(nodes, "index-nodes")
         pivots = knn.pivots(staged, cells)
+        self._write(staged, generation, batch, pivots)
         rows = [(i, [float(x) for x in v]) for i, v in enumerate(pivots)]
         table = self.spark.createDataFrame(rows, "cell int, embedding array<double>").coalesce(1)
         table.write.mode("overwrite").parquet(f"{self.folder}/pivots/gen={generation}")
-        self._write(staged, generation, "overwrite", pivots)
         self.vacuum()
 
+    def _drop(self, chosen) -> None:
+        """Remove the chosen generations; the pivots go first, so that no reader sees a part."""
+        for folder in (f"{self.folder}/pivots", f"{self.folder}/ids", self.folder):
+            fs, folders = _listing(self.spark, folder)
+            for path in folders:
+                if chosen(int(path.getName()[4:])):
+                    fs.delete(path, True)
+
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last ``keep`` complete generations, and unfinished older ones."""
+        """Remove what is older than the last ``keep`` complete generations."""
         done = _generations(self.spark, self.folder)
-        first = done[-keep] if len(done) >= keep else 0
-        for folder in (self.folder, f"{self.folder}/pivots"):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            for status in fs.listStatus(path):
-                name = status.getPath().getName()
-                if name.startswith("gen=") and int(name[4:]) < first:
-                    fs.delete(status.getPath(), True)
-
-    def add(self, nodes: DataFrame, dedupe: bool = False) -> None:
+        if len(done) >= keep:
+            self._drop(lambda number: number < done[-keep])
+
+    def add(self, nodes: DataFrame, dedupe: bool = False, batch: str | None = None) -> None:
         """Append; nodes already stored are stored again unless ``dedupe`` is set.
 
-        An empty collection has no cells yet and is built from the nodes.
+        ``batch`` names the addition: a second one of the same name replaces
+        the first. An empty collection has no cells yet and is built from the
+        nodes.
         """
         done = _generations(self.spark, self.folder)
         nodes = self.unknown(nodes) if dedupe else nodes
+        batch = batch or f"add-{uuid.uuid4().hex}"
         pivots = self.pivots()
         if not len(pivots):
-            self.rebuild(nodes)
+            self.rebuild(nodes, batch=batch)
         else:
-            self._write(nodes, done[-1], "append", pivots)
+            self._write(materialize(nodes, "index-nodes"), done[-1], batch, pivots)
+
+    def unknown_documents(self, docs: DataFrame, batch: str) -> DataFrame:
+        """The documents that no other batch has stored, each id once.
+
+        Reads document ids only, and of these only the buckets that ``docs``
+        falls into; no node file is touched.
+        """
+        once = docs.dropDuplicates(["doc_id"])
+        done = _generations(self.spark, self.folder)
+        if not done:
+            return once
+        wanted = [r["b"] for r in once.select(bucket().alias("b")).distinct().collect()]
+        schema = "doc_id string, batch string, bucket int"
+        ids = self.spark.read.schema(schema).parquet(f"{self.folder}/ids/gen={done[-1]}")
+        ids = ids.where(F.col("bucket").isin(wanted) & (F.col("batch") != batch)).select("doc_id").distinct()
+        return once.join(ids, "doc_id", "left_anti")
 
     def unknown(self, nodes: DataFrame) -> DataFrame:
         """The nodes whose ids are not stored yet, each id once.

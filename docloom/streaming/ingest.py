@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 
 from ..operators.chunks import ChunkParser, hierarchical_parser
 from ..operators.embed import embed_hash
 from ..plans.ingest import element_documents
-from ..session import spread
+from ..session import materialize
 from ..sources.index import Collection
 from .sink import run_batches
 
@@ -21,13 +23,16 @@ def ingest_stream(
 ) -> None:
     """Chunk, embed and add the elements that arrived since the last run.
 
-    Node ids are hashes of what a node is, and known ids are left out before
-    the embedding, so a micro-batch that runs twice stores nothing twice and
-    nothing is embedded twice.
+    Documents that another batch has stored are left out before chunking,
+    by their ids alone, and a micro-batch has its own folder in the index, so
+    one that runs twice stores nothing twice and nothing is embedded twice.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def add(batch: DataFrame, _: int) -> None:
-        nodes = (parser or hierarchical_parser())(spread(element_documents(batch), "doc_id"))
-        collection.add(embed(collection.unknown(nodes), "text"))
+    def add(batch: DataFrame, number: int) -> None:
+        name = f"{stream}-{number}"
+        docs = materialize(element_documents(batch), "ingest")
+        nodes = (parser or hierarchical_parser())(collection.unknown_documents(docs, name))
+        collection.add(embed(nodes, "text"), batch=name)
 
     run_batches(elements, add, checkpoint)

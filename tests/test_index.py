@@ -88,9 +88,29 @@ def test_old_generations_go(spark, nodes, tmp_path):
     index = Collection(spark, str(tmp_path), "c")
     for _ in range(4):
         index.rebuild(nodes)
-    names = sorted(p.name for p in (tmp_path / "c").iterdir() if p.name.startswith("gen="))
-    assert names == ["gen=3", "gen=4"] and index.count() == nodes.count()
+    for folder in (tmp_path / "c", tmp_path / "c" / "ids", tmp_path / "c" / "pivots"):
+        assert sorted(p.name for p in folder.iterdir() if p.name.startswith("gen=")) == ["gen=3", "gen=4"]
+    assert index.count() == nodes.count()
     index.delete_all()
     index.vacuum(keep=1)
     assert [p.name for p in (tmp_path / "c").iterdir() if p.name.startswith("gen=")] == ["gen=5"]
     assert index.count() == 0
+
+
+def test_a_batch_replaces_itself_and_reads_ids_only(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    half = nodes.where("doc_id < 'd15'")
+    index.rebuild(half)
+    first = index.count()
+    rest = nodes.where("doc_id >= 'd15'")
+    for _ in range(2):
+        index.add(rest, batch="s-1")
+        assert index.count() == nodes.count() > first
+    docs = nodes.select("doc_id").distinct()
+    fresh = index.unknown_documents(docs, "s-1")
+    assert {r.doc_id for r in fresh.collect()} == {r.doc_id for r in rest.select("doc_id").distinct().collect()}
+    assert index.unknown_documents(docs, "s-2").count() == 0
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    files = fresh.inputFiles()
+    assert files and all("/c/ids/gen=1/" in name for name in files)
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
