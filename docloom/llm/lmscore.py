@@ -116,7 +116,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
         ((F.max("quality") >= 1) & (F.coalesce(F.max("toxic"), F.lit(0)) < 1)).alias("target")
     ).where("target")
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left")
+    # Always the same join: labels grow with the documents, so they are never broadcast.
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     model = fit(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")))
     shared = spark.sparkContext.broadcast(model)
 
