@@ -111,7 +111,7 @@ def _judged(docs: DataFrame, max_docs: int, max_share: float, min_words: int) ->
     )
     lost = F.aggregate("_cut", F.lit(0).cast("long"), lambda a, x: a + x["line_words"])
     return out.select(
-        "_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_gone",
+        "_row", "doc_id", *host, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_gone",
         F.size("_cut").cast("long").alias("n_removed_lines"), lost.alias("n_removed_words"),
     ).withColumn(
         "base_failed",
@@ -143,22 +143,24 @@ def line_quality(
     is a host of its own. Rows with a repeated or null id are judged each for
     itself. An empty table gives no rows; further columns are ignored.
     """
-    return _judged(docs, max_docs, max_share, min_words).drop("_row", "_gone")
+    return _judged(docs, max_docs, max_share, min_words).drop("_row", "host", "no_host", "_gone")
 
 
 def keep_documents(
     docs: DataFrame, max_docs: int = 15, max_share: float = 0.01, min_words: int = 10
 ) -> DataFrame:
     """The documents that pass, without their removed lines; same columns, ``n_chars`` recounted."""
-    numbered = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    numbered = materialize(numbered, "line-documents")
-    plain = numbered.select(F.col("_row").alias("doc_id"), "_doc.text", "_doc.source")
-    verdict = _judged(plain, max_docs, max_share, min_words).where("kept").select(
-        F.col("doc_id").alias("_row"), F.col("_gone")
-    )
+    # The verdict is a function of text and host, so these are the key; the texts are not written.
+    key = ["_mark", "host", "no_host"]
+    host = [F.coalesce("source", F.lit("")).alias("host"), F.isnull("source").alias("no_host")]
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    plain = docs.select(mark.alias("doc_id"), "text", "source")
+    verdict = _judged(plain, max_docs, max_share, min_words).where("kept").withColumnRenamed("doc_id", "_mark")
+    verdict = verdict.select(*key, "_gone").dropDuplicates(key)
+    packed = docs.select(F.struct("*").alias("_doc"), mark.alias("_mark"), *host)
     norm = lambda x: hash60(F.trim(F.regexp_replace(F.lower(x), GAP, " ")))
     left = F.array_join(
         F.filter(F.split("_doc.text", "\n"), lambda x: ~F.array_contains("_gone", norm(x))), "\n"
     )
     text = F.when(F.col("_gone").isNull(), F.col("_doc.text")).otherwise(left)
-    return with_text(numbered.join(verdict, "_row").select("_doc", text.alias("_left")), docs.columns)
+    return with_text(packed.join(verdict, key).select("_doc", text.alias("_left")), docs.columns)
