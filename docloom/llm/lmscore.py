@@ -7,103 +7,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.text import GOLDEN, byte_slices, mix, string_buffers, word_hashes
+from docloom.session import materialize
 
+# Words that the uniform distribution covers at least.
 WORD_BITS = 18
-PAIR_BITS = 21
 START = np.uint64(0x243F6A8885A308D3)
 
 
 def _classes(raw: np.ndarray, bounds: np.ndarray):
-    """Word class, class of the word before (or the start), pair class, and offsets of the texts."""
+    """64-bit hashes of each word, the word before it (or the start) and the pair, and offsets of the texts."""
     words, at = word_hashes(raw, bounds)
     before = np.empty_like(words)
     before[1:] = words[:-1]
     firsts = at[:-1][np.diff(at) > 0]
     before[firsts] = START
-    pair = mix(before * GOLDEN + words) >> np.uint64(64 - PAIR_BITS)
-    shift = np.uint64(64 - WORD_BITS)
-    return (words >> shift).astype(np.int64), (before >> shift).astype(np.int64), pair.astype(np.int64), at
+    pair = mix(before * GOLDEN + words)
+    return words.view(np.int64), before.view(np.int64), pair.view(np.int64), at
 
 
-def _slices(batch):
+def _slices(batch, limit: int):
     raw, bounds = string_buffers(batch.column("text"))
-    for first, last in byte_slices(bounds, 1 << 21):
+    for first, last in byte_slices(bounds, limit):
         part = bounds[first : last + 1]
         yield first, last, _classes(raw[part[0] : part[-1]], part - part[0])
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(kind, class, background, target): how often each class occurs in all and in the target documents.
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """(before, word, background, target): how often each word pair occurs in all and in the target documents.
 
-    Kind 0: words, 1: words as context, 2: pairs. Every task sends the classes
-    it saw once; Spark adds them up. All words of all documents count.
+    Tasks add up the pairs of some megabytes of text at a time; Spark adds up
+    the rest. The table grows with the distinct pairs and stays in Spark.
     """
-    sizes = [1 << WORD_BITS, 1 << WORD_BITS, 1 << PAIR_BITS]
 
     def run(batches):
         import pyarrow as pa
 
-        total = [np.zeros((2, n), np.int64) for n in sizes]
         for batch in batches:
             wanted = np.array(batch.column("target").to_pylist(), bool)
-            for first, last, (word, before, pair, at) in _slices(batch):
+            for first, last, (word, before, pair, at) in _slices(batch, 1 << 23):
                 inside = np.repeat(wanted[first:last], np.diff(at))
-                for k, c in enumerate((word, before, pair)):
-                    total[k][0] += np.bincount(c, minlength=sizes[k])
-                    total[k][1] += np.bincount(c[inside], minlength=sizes[k])
-        for k, (background, target) in enumerate(total):
-            seen = np.flatnonzero(background)
-            for i in range(0, len(seen), 1 << 16):
-                part = seen[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)), pa.array(background[part]), pa.array(target[part])],
-                    names=["kind", "class", "background", "target"],
-                )
-
-    rows = docs.select("text", "target").mapInArrow(run, "kind int, class int, background long, target long")
-    return rows.groupBy("kind", "class").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def fit(docs: DataFrame) -> list[np.ndarray]:
-    """Background and target counts of words, contexts and pairs, the background scaled to the target.
-
-    The number of classes is fixed, so the tables have a fixed size (19 MB);
-    words and pairs that share a class share its counts in both models.
-    """
-    counts = count_grams(docs).toArrow()
-    kind, place = counts.column("kind").to_numpy(), counts.column("class").to_numpy()
-    out = []
-    for k, bits in enumerate((WORD_BITS, WORD_BITS, PAIR_BITS)):
-        table = np.zeros((2, 1 << bits), np.float32)
-        here = kind == k
-        for side, name in enumerate(("background", "target")):
-            table[side, place[here]] = counts.column(name).to_numpy()[here]
-        out.append(table)
-    totals = out[0].sum(axis=1, dtype=np.float64)
-    for table in out:
-        table[0] *= np.float32(totals[1] / totals[0] if totals[0] else 1.0)
-    return out
-
-
-def losses(model: list[np.ndarray], side: int, word, before, pair, strength: float = 64.0) -> np.ndarray:
-    """Minus log probability of each word after the word before it.
+                _, once, which = np.unique(pair, return_index=True, return_inverse=True)
+                background = np.bincount(which, minlength=len(once))
+                target = np.bincount(which[inside], minlength=len(once))
+                for i in range(0, len(once), 1 << 16):
+                    cut = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (before[once[cut]], word[once[cut]], background[cut], target[cut])],
+                        names=["before", "word", "background", "target"],
+                    )
+
+    rows = docs.select("text", "target").mapInArrow(run, "before long, word long, background long, target long")
+    return rows.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def pair_losses(pairs: DataFrame, strength: float = 64.0) -> DataFrame:
+    """(pair, target_loss, background_loss): minus log probability of the word after the word before it.
 
     The pair's counts are mixed with the word's own frequency as ``strength``
-    pseudo-counts; that frequency with the uniform one over all word classes.
+    pseudo-counts; that frequency with the uniform one over all words.
     """
-    words, contexts, pairs = (table[side] for table in model)
-    total = words.sum(dtype=np.float64)
-    single = (words[word] + 0.5) / (total + 0.5 * len(words))
-    return -np.log((pairs[pair] + strength * single) / (contexts[before] + strength))
+    both = ("background", "target")
+    words = pairs.groupBy("word").agg(*[F.sum(c).alias(f"_w_{c}") for c in both])
+    contexts = pairs.groupBy("before").agg(*[F.sum(c).alias(f"_c_{c}") for c in both])
+    words = materialize(words, "lm-words")
+    n, background, target = words.agg(F.count("*"), F.sum("_w_background"), F.sum("_w_target")).first()
+    total, size = target or 0, max(n, 1 << WORD_BITS)
+    # The background's counts are scaled to the target's total.
+    scale = {"background": total / background if background else 1.0, "target": 1.0}
+
+    def loss(side: str):
+        pair, word, context = (F.col(c) * F.lit(scale[side]) for c in (side, f"_w_{side}", f"_c_{side}"))
+        single = (word + 0.5) / F.lit(total + 0.5 * size)
+        return -F.log((pair + strength * single) / (context + strength))
+
+    return pairs.join(words, "word").join(contexts, "before").select(
+        F.xxhash64("before", "word").alias("pair"),
+        loss("target").alias("target_loss"), loss("background").alias("background_loss"),
+    )
+
+
+def document_pairs(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, pair, n): how often each pair occurs in each document; a document without words has one row of n = 0."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, ids = batch.column("_row"), batch.column("doc_id")
+            for first, last, (word, before, pair, at) in _slices(batch, 1 << 21):
+                owner = np.repeat(np.arange(first, last), np.diff(at))
+                order = np.lexsort((pair, owner))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(owner[order]) != 0) | (np.diff(pair[order]) != 0)
+                begin = np.flatnonzero(new)
+                once = order[begin]
+                blank = first + np.flatnonzero(np.diff(at) == 0)
+                # Keys of their own, so that documents without words meet nowhere.
+                own = rows.to_numpy()[blank]
+                n = np.concatenate([np.diff(np.append(begin, len(order))), np.zeros(len(blank), np.int64)])
+                take = np.concatenate([owner[once], blank])
+                before_, word_ = np.concatenate([before[once], own]), np.concatenate([word[once], own])
+                for i in range(0, len(take), 1 << 16):
+                    cut = slice(i, i + (1 << 16))
+                    spot = pa.array(take[cut])
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.take(spot), ids.take(spot), pa.array(before_[cut]), pa.array(word_[cut]), pa.array(n[cut])],
+                        names=["_row", "doc_id", "before", "word", "n"],
+                    )
+
+    small = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = small.mapInArrow(run, "_row long, doc_id long, before long, word long, n long")
+    return found.select("_row", "doc_id", F.xxhash64("before", "word").alias("pair"), "n")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Cross-entropy difference: doc_id, n_tokens, target_loss, background_loss, score.
 
     The target are the documents labelled as good and not toxic, the
-    background all documents; both models are word pair models over one shared
-    set of word classes, with the same smoothing, and the background's counts
-    are scaled to the target's total. Losses are means per word, ``score`` is
+    background all documents; both models are word pair models over all words
+    of all documents, with the same smoothing, and the background's counts
+    are scaled to the target's total. Words are told apart by 64-bit hashes. Losses are means per word, ``score`` is
     target minus background: the lower, the more like the target.
 
     Null, empty and white-space texts have no words: losses and score are
@@ -112,30 +135,19 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     any is toxic. Repeated rows are scored each for itself; an empty table
     gives no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
         ((F.max("quality") >= 1) & (F.coalesce(F.max("toxic"), F.lit(0)) < 1)).alias("target")
     ).where("target")
     # Always the same join: labels grow with the documents, so they are never broadcast.
     marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    model = fit(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")))
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for first, last, (word, before, pair, at) in _slices(batch):
-                n = np.diff(at)
-                means = []
-                for side in (1, 0):
-                    sums = np.concatenate([[0.0], np.cumsum(losses(shared.value, side, word, before, pair))])
-                    means.append(np.where(n > 0, (sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1), np.nan))
-                arrays = [pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), pa.array(n), *arrays],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return small.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    pairs = count_pairs(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")))
+    losses = pair_losses(materialize(pairs, "lm-pairs"))
+    found = document_pairs(docs).join(losses, "pair", "left")
+    means = found.groupBy("_row", "doc_id").agg(
+        F.sum("n").alias("n_tokens"),
+        *[F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(c))).alias(c) for c in ("target_loss", "background_loss")],
+    )
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c)
+    return means.select("doc_id", "n_tokens", mean("target_loss"), mean("background_loss")).withColumn(
+        "score", F.col("target_loss") - F.col("background_loss")
+    )

@@ -414,3 +414,22 @@ def test_scores_of_odd_rows(spark, odd, odd_rows, empty):
     assert all((r.score is None) == (r.n_tokens == 0) for r in got)
     assert lmscore.score(odd, labels.limit(0)).count() == len(odd_rows)
     assert lmscore.score(empty, labels).count() == 0
+
+
+def test_scores_do_not_share_counts_between_words(spark, make_docs):
+    """Many rare words change nothing for the words that others use, and losses are of probabilities."""
+    rng = random.Random(13)
+    few = [(i, "oak elm fir ash " * 10, "en", "a") for i in range(20)]
+    rare = [(100 + i, " ".join(f"w{rng.randrange(1 << 60)}" for _ in range(20_000)), "en", "a") for i in range(30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lmscore.score(make_docs(few + rare), labels).collect()}
+    assert all(r.target_loss >= 0 and r.background_loss >= 0 for r in got.values())
+    total, words = 400, 4 + len({w for _, t, *_ in rare for w in t.split()})
+    assert words > 1 << lmscore.WORD_BITS
+
+    def loss(pair, word, context):
+        return -np.log((pair + 64 * (word + 0.5) / (total + 0.5 * words)) / (context + 64))
+
+    wanted = (loss(10, 100, 10) + 9 * loss(90, 100, 90) + 30 * loss(100, 100, 100)) / 40
+    assert abs(got[0].target_loss - wanted) < 1e-9
+    assert got[0].n_tokens == 40 and got[100].n_tokens == 20_000
