@@ -27,6 +27,19 @@ class Node:
     split: int = 0
 
 
+def _id_place(docs: DataFrame) -> Column:
+    """The id as a place in 31 bits: its distance from the smallest id, halved until the largest fits.
+
+    Null ids take part as 0. Ids that share a place are divided by the hash.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    low, high = docs.agg(F.min(key), F.max(key)).first()
+    shift = max(0, ((high or 0) - (low or 0)).bit_length() - BITS)
+    # As decimals: the distance may pass 2^63.
+    wide = key.cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")
+    return F.floor(wide / F.lit(1 << shift).cast("decimal(20,0)")).cast("long")
+
+
 def _positions(docs: DataFrame) -> DataFrame:
     """Id, size, checksum, and each metadata value as a place in 31 bits."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -40,7 +53,7 @@ def _positions(docs: DataFrame) -> DataFrame:
         F.floor(F.log2(size) / 40 * F.lit(top)).cast("long").alias("by_size"),
         place(F.col("lang")).cast("long").alias("by_lang"),
         place(F.col("source")).cast("long").alias("by_source"),
-        F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("by_id"),
+        _id_place(docs).alias("by_id"),
         F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS).alias("_tie"),
     )
 

@@ -159,6 +159,19 @@ def test_shards_by_target_and_odd_rows(odd, odd_rows, empty):
     assert kdtree.kd_shards(empty, shards=24).count() == 0
 
 
+@pytest.mark.parametrize("ids", [
+    lambda i, rng: (1 << 33) + 7 * i, lambda i, rng: -i - 1, lambda i, rng: rng.randrange(-(1 << 63), 1 << 63), lambda i, rng: (-1) ** i * ((1 << 63) - 1 - i),
+])
+def test_shards_of_wide_and_negative_ids(make_docs, ids):
+    rng = random.Random(9)
+    rows = [(ids(i, rng), "ten letters each time", "en", "a") for i in range(2000)]
+    size = collections.Counter()
+    for r in kdtree.kd_shards(make_docs(rows), shards=8).collect():
+        size[r.shard] += r.size
+    assert set(size) == set(range(8))
+    assert max(size.values()) - min(size.values()) < 0.03 * sum(size.values()) / 8
+
+
 # --- op 6 ---
 
 
