@@ -94,3 +94,16 @@ def test_whole_pipeline(spark, make_docs, corpus, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     wanted = ("doc_id", "piece", "start", "length", "ids_crc32")
     assert sorted(tuple(r[c] for c in wanted) for r in again) == sorted(tuple(r[c] for c in wanted) for r in pieces)
+
+
+def test_near_duplicates_from_a_similarity_of_80_percent(spark, make_docs):
+    rng = random.Random(21)
+    rows = []
+    for i in range(20):
+        w = [f"w{rng.randrange(1 << 40)}" for _ in range(104)]  # 100 shingles; an edit changes five
+        for k in range(4):
+            rows.append((10 * i + k, " ".join(w), "en", "a"))
+            w = [f"edit{i}-{k}" if j in {0: (20, 60), 1: (30, 40, 50, 70, 80, 90), 2: (25, 35, 45)}.get(k, ()) else x for j, x in enumerate(w)]
+    stay = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, make_docs(rows), "").collect()}
+    # 90 / 110 is near; 70 / 130 and 85 / 115 or less are not.
+    assert stay == {i for i, *_ in rows if i % 10 != 1}
