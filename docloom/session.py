@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -58,12 +61,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 
     Cuts the lineage and makes later passes read the same rows even when
-    executors are lost in between.
+    executors are lost in between. The shuffle files of the write go when it
+    has ended: whatever reads the table needs none of them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if kept is None else spark.conf.set(CLEANUP, kept)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing will read again.
+
+    Only for tables whose readers have all been written themselves: a lost
+    task of an unwritten reader would look for the files.
+    """
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
