@@ -64,4 +64,97 @@ comp AS (SELECT nw.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, nw.d
 
 OP4 = f"WITH RECURSIVE {near('documents')} SELECT doc_id, n_shingles, component_id, kept FROM comp"
 
-ORACLES = {"op3_line_quality": OP3, "op4_minmax_near_duplicates": OP4}
+
+
+def clustering(k: int = 16, rounds: int = 3) -> str:
+    """Plain rounds over all pairs of vectors and centroids."""
+    out = [
+        """p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM p ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"""d{r} AS (SELECT vec_id, c, p.v, list_sum(list_transform(list_zip(p.v, x.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM p, c{r} x)""")
+        out.append(f"a{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)")
+        if r < rounds:
+            out.append(f"u{r} AS (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r})")
+            out.append(f"s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM u{r} GROUP BY c, i)")
+            out.append(f"m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c)")
+            out.append(f"c{r + 1} AS (SELECT c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN m{r} m USING (c))")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(x.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} x USING (c)"""
+
+
+def repeated_words(window: int = 20) -> str:
+    """Every window but the first of its words takes its words away."""
+    return rf"""WITH
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS s FROM d),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + {window - 1}], ' ') AS g FROM starts),
+again AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {window})) AS i FROM again),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _levels(name: str, depth: int, fan: int) -> list[str]:
+    """CTEs of the levels above ``<name>0`` and of the siblings on each of them."""
+    out = []
+    for r in range(depth):
+        run = f"PARTITION BY seq, pos // {fan} ORDER BY pos ROWS BETWEEN"
+        out.append(f"""{name}s{r} AS (SELECT seq, pos,
+    coalesce(string_agg(hash, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+    coalesce(string_agg(hash, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS f FROM {name}{r} WHERE n > 1)""")
+        out.append(f"""{name}{r + 1} AS (SELECT seq, pos // {fan} AS pos, n // {fan} + (n % {fan} > 0)::BIGINT AS n, sha256(string_agg(hash, '' ORDER BY pos)) AS hash
+    FROM {name}{r} WHERE n > 1 GROUP BY ALL)""")
+    ends = " UNION ALL ".join(f"SELECT seq, hash FROM {name}{r} WHERE n = 1" for r in range(depth + 1))
+    return [*out, f"{name}_end AS ({ends})"]
+
+
+def _walk(name: str, state: str, depth: int, fan: int) -> list[str]:
+    """CTEs that take (seq, pos, proof, fold) of ``<state>0`` up all levels."""
+    return [
+        f"""{state}{r + 1} AS (SELECT x.* REPLACE (x.pos // {fan} AS pos, proof || coalesce(b || f, '') AS proof,
+    CASE WHEN b IS NULL THEN fold ELSE sha256(b || fold || f) END AS fold) FROM {state}{r} x LEFT JOIN {name}s{r} USING (seq, pos))"""
+        for r in range(depth)
+    ]
+
+
+def merkle(fan: int = 16, depth: int = 6, top: int = 4) -> str:
+    """Trees of ``depth`` levels for the sources and ``top`` levels above them."""
+
+    def shown(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+    crc = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+    lower = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+    out = [
+        f"""leaf AS (SELECT doc_id, coalesce(':' || source, '') AS seq, {shown('text')} AS hash,
+    CASE WHEN {crc} % 5 = 0 THEN {shown(lower)} ELSE {shown('text')} END AS now FROM documents)""",
+        """l0 AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id NULLS FIRST, hash) - 1 AS pos, count(*) OVER (PARTITION BY seq) AS n FROM leaf)""",
+        *_levels("l", depth, fan),
+        "t0 AS (SELECT '' AS seq, seq AS source, row_number() OVER (ORDER BY seq) - 1 AS pos, count(*) OVER () AS n, hash FROM l_end)",
+        *_levels("t", top, fan),
+        "v0 AS (SELECT doc_id, seq, pos, hash AS leaf, '' AS proof, now AS fold FROM l0)",
+        *_walk("l", "v", depth, fan),
+        f"""w0 AS (SELECT doc_id, '' AS seq, t0.pos, leaf, proof, fold, t0.hash AS subroot, t_end.hash AS root
+    FROM v{depth} v JOIN t0 ON t0.source = v.seq, t_end)""",
+        *_walk("t", "w", top, fan),
+    ]
+    return "WITH " + ",\n".join(out) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM w{top}"""
+
+
+ORACLES = {
+    "op3_line_quality": OP3,
+    "op4_minmax_near_duplicates": OP4,
+    "op11_heap_bounds": clustering(),
+    "op12_block_anchors": repeated_words(),
+    "op13_merkle_manifest": merkle(),
+}

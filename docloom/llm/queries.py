@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bwt, forest, kdtree, langid, licenses, lines, lmscore, minhash, mixing, packing
+from docloom.llm import anchors, bwt, forest, kdtree, kmeans, langid, licenses, lines, lmscore, merkle, minhash, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return lmscore.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,5 +76,8 @@ QUERIES = {
         op8_pivotal_mixing,
         op9_license_scan,
         op10_cross_entropy_difference,
+        op11_heap_bounds,
+        op12_block_anchors,
+        op13_merkle_manifest,
     )
 }
