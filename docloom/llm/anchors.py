@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,11 @@ from docloom.session import discard, materialize
 
 # Bytes of text hashed at once, words gathered before they are dealt out, words meant for a bucket.
 SLICE = 1 << 20
-GATHER = 1 << 21
+GATHER = 1 << 19
 BUCKET = 1 << 20
 # Stands for a null id: before all others.
 NO_ID = -(1 << 63)
 PACKED = "bucket int, done boolean, docs array<long>, counts array<int>, at binary, more binary, low binary, high binary"
-KINDS = [pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4]
-NAMES = ["bucket", "done", "docs", "counts", "at", "more", "low", "high"]
 _WORD = re.compile(WORD)
 
 
@@ -57,118 +56,122 @@ def rolled(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
 
 
 class Packer:
-    """Occurrences (document, place, hash) of a task, dealt into buckets."""
+    """Occurrences (document, place, hashes) of a task, dealt into buckets."""
 
-    def __init__(self, buckets: int, wide: bool):
-        self.buckets, self.wide = buckets, wide
+    def __init__(self, buckets: int):
+        self.buckets = buckets
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        self.held.append((doc, at, low, high))
+    def add(self, doc: np.ndarray, at: np.ndarray, *hashes: np.ndarray) -> None:
+        self.held.append((doc, at, *hashes))
         self.size += len(doc)
 
     def flush(self, choose):
         """Packed rows of all that was added.
 
         ``choose(doc, at, group)`` sees the occurrences ordered by hash and
-        place, with the number of their hash, and says which are sent, with a
-        mark for those that have more of their kind, and which are decided here.
+        place, with the number of their hash, and says which are sent, which
+        have more of their kind, and which are decided here.
         """
         if not self.size:
             return
-        doc, at, low, high = (np.concatenate(c) for c in zip(*self.held))
-        self.held, self.size = [], 0
-        order = np.lexsort((at, doc, high, low)) if self.wide else np.lexsort((at, doc, low))
-        doc, at, low, high = doc[order], at[order], low[order], high[order]
-        sent, more, done = choose(doc, at, _groups(low, high))
-        mark = np.zeros(len(doc), np.uint8)
-        mark[more] = 1
+        columns, self.held, self.size = [np.concatenate(c) for c in zip(*self.held)], [], 0
+        order = np.lexsort((columns[1], columns[0], *columns[2:]))
+        doc, at, *hashes = (c[order] for c in columns)
+        del columns, order
+        sent, more, done = choose(doc, at, _groups(hashes))
         for chosen, decided in ((sent, False), (done, True)):
             if chosen.any():
-                yield self._packed(doc[chosen], at[chosen], low[chosen], high[chosen], mark[chosen], decided)
+                yield self._packed(doc[chosen], at[chosen], [h[chosen] for h in hashes], more[chosen], decided)
 
-    def _packed(self, doc, at, low, high, mark, decided: bool) -> pa.RecordBatch:
-        share = mix(doc.view(np.uint64)) if decided else low
+    def _packed(self, doc, at, hashes, more, decided: bool) -> pa.RecordBatch:
+        share = mix(doc.view(np.uint64)) if decided else hashes[0]
         bucket = ((share >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((at, doc, bucket))
-        doc, at, low, high, mark, bucket = (x[order] for x in (doc, at, low, high, mark, bucket))
-        fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))
-        runs = np.flatnonzero(fresh)
-        counts = np.diff(np.append(runs, len(doc)))
+        doc, at, bucket = doc[order], at[order], bucket[order]
+        runs = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])))
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        last = np.append(first[1:], len(doc))
-        edge = pa.array(np.append(np.searchsorted(runs, first), len(runs)), pa.int32())
-        # The bucket fixes some bits of the hash; 32 others tell its members apart.
-        keys = low if self.wide else low.astype(np.uint32)
+        edge = np.append(first, len(doc))
+
+        def lists(values, kind, ends):
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
         def cut(values):
-            return pa.array([values[a:b].tobytes() for a, b in zip(first, last)], pa.binary())
+            return pa.array([values[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())
 
         none = pa.nulls(len(first), pa.binary())
+        by_run = np.append(np.searchsorted(runs, first), len(runs))
+        # The bucket stands for some bits of a single hash; 32 others tell its members apart.
+        keys = [h[order].astype(np.uint32) if len(hashes) == 1 else h[order] for h in hashes]
+        keys = [none, none] if decided else [*map(cut, keys), none][:2]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[first], pa.int32()),
                 pa.array(np.full(len(first), decided)),
-                pa.ListArray.from_arrays(edge, pa.array(doc[runs])),
-                pa.ListArray.from_arrays(edge, pa.array(counts, pa.int32())),
+                lists(doc[runs], pa.int64(), by_run),
+                lists(np.diff(np.append(runs, len(doc))), pa.int32(), by_run),
                 cut(at.astype(np.uint32)),
-                none if decided else pa.array([np.packbits(mark[a:b]).tobytes() for a, b in zip(first, last)], pa.binary()),
-                none if decided else cut(keys),
-                cut(high) if self.wide and not decided else none,
+                none if decided else cut(more[order]),
+                *keys,
             ],
-            schema=pa.schema(list(zip(NAMES, KINDS))),
+            names=["bucket", "done", "docs", "counts", "at", "more", "low", "high"],
         )
 
 
-def _groups(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _groups(hashes: list[np.ndarray]) -> np.ndarray:
     """Numbers of equal neighbours."""
-    fresh = np.ones(len(low), bool)
-    fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    fresh = np.zeros(len(hashes[0]), bool)
+    fresh[:1] = True
+    for h in hashes:
+        fresh[1:] |= h[1:] != h[:-1]
     return np.cumsum(fresh) - 1
 
 
-def _unpacked(rows: list[dict], wide: bool):
-    """(doc, at, low, high, more) of the packed rows of one bucket."""
-    doc = np.concatenate([np.repeat(np.array(r["docs"], np.int64), r["counts"]) for r in rows])
-    at = np.concatenate([np.frombuffer(r["at"], np.uint32) for r in rows]).astype(np.int64)
-    low = np.concatenate([np.frombuffer(r["low"], np.uint64 if wide else np.uint32) for r in rows])
-    high = np.concatenate([np.frombuffer(r["high"], np.uint64) for r in rows]) if wide else np.zeros(len(low), np.uint64)
-    more = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8), count=len(r["at"]) // 4) for r in rows])
-    return doc, at, low, high, more.astype(bool)
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(string_buffers(column)[0].tobytes(), kind)
+
+
+def _places(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    doc = np.repeat(rows.column("docs").flatten().to_numpy(), rows.column("counts").flatten().to_numpy())
+    return doc, _numbers(rows.column("at"), np.uint32).astype(np.int64)
 
 
-def _bucketwise(packed: DataFrame, wide: bool, judge) -> DataFrame:
+def _bucketwise(packed: DataFrame, judge, kinds: list) -> DataFrame:
     """(doc, at) of what was decided in the tasks and of what ``judge`` chooses in each bucket.
 
-    ``judge(doc, at, group, more)`` sees a bucket's occurrences ordered by hash and place.
+    ``judge(doc, at, group, more)`` sees a bucket's occurrences ordered by hash
+    and place. ``kinds`` are the types of the hashes.
     """
 
-    def run(batches):
-        def solve(rows):
-            for r in rows:
-                if r["done"]:
-                    yield np.repeat(np.array(r["docs"], np.int64), r["counts"]), np.frombuffer(r["at"], np.uint32).astype(np.int64)
-            rows = [r for r in rows if not r["done"]]
-            if rows:
-                doc, at, low, high, more = _unpacked(rows, wide)
-                order = np.lexsort((at, doc, high, low))
-                doc, at, low, high, more = (x[order] for x in (doc, at, low, high, more))
-                chosen = judge(doc, at, _groups(low, high), more)
-                yield doc[chosen], at[chosen]
-
-        def out(rows):
-            for doc, at in solve(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at, pa.int32())], names=["doc", "at"])
+    def solve(rows: pa.RecordBatch):
+        done = rows.column("done")
+        yield _places(rows.filter(done))
+        rows = rows.filter(pa.compute.invert(done))
+        if rows.num_rows:
+            doc, at = _places(rows)
+            hashes = [_numbers(rows.column(c), kind) for c, kind in zip(("low", "high"), kinds)]
+            order = np.lexsort((at, doc, *hashes))
+            doc, at, hashes = doc[order], at[order], [h[order] for h in hashes]
+            chosen = judge(doc, at, _groups(hashes), _numbers(rows.column("more"), bool)[order])
+            yield doc[chosen], at[chosen]
+
+    def out(held):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        for doc, at in (x for r in rows for x in solve(r)):
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at, pa.int32())], names=["doc", "at"])
 
+    def run(batches):
         held, bucket = [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] != bucket and held:
+            own = batch.column("bucket").to_numpy()
+            edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
+            for a, b in zip(edge, [*edge[1:], len(own)]):
+                if own[a] != bucket and held:
                     yield from out(held)
                     held = []
-                bucket = r["bucket"]
-                held.append(r)
+                bucket = own[a]
+                held.append(batch.slice(a, b - a))
         if held:
             yield from out(held)
 
@@ -209,14 +212,14 @@ def blocks(texts: DataFrame, block: int, buckets: int) -> DataFrame:
         return sent, many, ~sent
 
     def run(batches):
-        packer = Packer(buckets, wide=False)
+        packer = Packer(buckets)
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for row, hashes, place in _pieces(batch, block):
                 key = rolled(hashes, block, int(GOLDEN))
                 n = len(key)
                 whole = row[:n] == row[block - 1 :] if n else np.zeros(0, bool)
-                packer.add(ids[row[:n][whole]], place[:n][whole], key[whole], np.zeros(int(whole.sum()), np.uint64))
+                packer.add(ids[row[:n][whole]], place[:n][whole], key[whole])
                 if packer.size >= GATHER:
                     yield from packer.flush(choose)
         yield from packer.flush(choose)
@@ -234,7 +237,7 @@ def hits(packed: DataFrame, block: int) -> DataFrame:
         np.minimum.at(lead, group[index], np.flatnonzero(index))
         return (n[group] > 1) & (np.arange(len(doc)) >= lead[group])
 
-    return _bucketwise(packed, False, judge)
+    return _bucketwise(packed, judge, [np.uint32])
 
 
 def _joined_places(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -296,7 +299,7 @@ def extended(live: DataFrame, block: int, window: int, buckets: int) -> DataFram
         return sent, np.zeros(len(doc), bool), later
 
     def run(batches):
-        packer = Packer(buckets, wide=True)
+        packer = Packer(buckets)
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             lists = batch.column("at")
@@ -333,7 +336,7 @@ def repeats(packed: DataFrame) -> DataFrame:
         lead = np.flatnonzero(_first_of_each(doc, at, group))[group]
         return (doc != doc[lead]) | (at != at[lead])
 
-    return _bucketwise(packed, True, judge)
+    return _bucketwise(packed, judge, [np.uint64, np.uint64])
 
 
 def _buckets(texts: DataFrame) -> int:
