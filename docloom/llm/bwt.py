@@ -328,8 +328,6 @@ def repeated_spans(docs: DataFrame, width: int = 400, hot: int = 4096) -> DataFr
     rows = rows.join(groups, "_t").withColumnRenamed("_t", "_k")
     here = texts.join(rows, (F.col("_t") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_first")))
     segments = materialize(_segments(here, width), "repeat-segments")
-    # The texts were shuffled for this step alone; let Spark's cleaner drop these files before the next one.
-    docs.sparkSession.sparkContext._jvm.System.gc()
     merged = _merged(segments.where("other IS NULL"), width).select("_t", F.array(F.struct("start", "end")).alias("spans"))
     windows = segments.where("other IS NOT NULL")
     again = windows.groupBy("key", "other").agg(F.count("*").alias("_n")).where("_n > 1").select("key", "other")

@@ -79,28 +79,24 @@ def _judged(docs: DataFrame, max_docs: int, max_share: float, min_words: int) ->
     base = materialize(text_features(table, ["_row", "doc_id", "host", "no_host"]), "line-features")
     host = ["host", "no_host"]
 
-    # Two smallest line hashes name the document: copies and near copies agree on them.
-    rest = F.array_sort(F.array_distinct("line_hash"))
+    # Documents with one set of lines count once, so copies don't make their own lines frequent.
     lines = base.select(
-        "_row", *host, F.get(rest, F.lit(0)).alias("_m1"), F.get(rest, F.lit(1)).alias("_m2"),
+        "_row", *host, F.xxhash64(F.array_sort(F.array_distinct("line_hash"))).alias("_set"),
         F.explode(F.array_distinct("line_hash")).alias("line"),
     )
     sizes = base.groupBy(*host).agg(F.count("*").alias("_docs")).withColumn(
         "_limit", F.greatest(F.lit(float(max_docs)), F.col("_docs") * F.lit(max_share))
     )
     often = lines.groupBy(*host, "line").agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs)
-    often = often.join(sizes, host).where(F.col("_n") > F.col("_limit")).select(*host, "line", "_limit", "_n")
-    hits = lines.join(often, [*host, "line"]).withColumn(
-        "_rest", F.when(F.col("_m1") == F.col("line"), F.col("_m2")).otherwise(F.col("_m1"))
-    )
-    hits = materialize(hits.select("_row", *host, "line", "_limit", "_n", "_rest"), "line-hits")
-    spread_lines = (
-        hits.select(*host, "line", "_limit", "_n", F.coalesce("_rest", F.lit(-1)).alias("_rest")).distinct()
-        .groupBy(*host, "line", "_limit", "_n").agg(F.count("*").alias("_rests"))
-        .where((F.col("_rests") > F.col("_limit")) & (2 * F.col("_rests") > F.col("_n"))).select(*host, "line")
+    often = often.join(sizes, host).where(F.col("_n") > F.col("_limit")).select(*host, "line", "_limit")
+    hits = materialize(lines.join(often, [*host, "line"]), "line-hits")
+    frequent = (
+        hits.select(*host, "line", "_limit", "_set").distinct()
+        .groupBy(*host, "line", "_limit").agg(F.count("*").alias("_sets"))
+        .where(F.col("_sets") > F.col("_limit")).select(*host, "line")
     )
     removed = (
-        hits.select("_row", *host, "line").join(spread_lines, [*host, "line"])
+        hits.select("_row", *host, "line").join(frequent, [*host, "line"])
         .groupBy("_row").agg(F.collect_set("line").alias("_gone"))
     )
     gone = F.filter(
@@ -130,12 +126,10 @@ def line_quality(
     """Word and line figures of each document and the verdict of the line-frequency rule.
 
     A line is normalised (lower case, single spaces), hashed, and counted once
-    per document of its host (``source``). It is above the limits when more
-    than ``max_docs`` documents of the host and more than ``max_share`` of
-    them have it, and as many, and most of those that have it, differ in the
-    rest: documents count as one here when they agree on their smallest other
-    line hash, so that copies of one document, near ones too, do not make its
-    own lines boilerplate. Such lines are removed.
+    per document of its host (``source``). It is above the limits, and goes,
+    when more than ``max_docs`` distinct documents of the host and more than
+    ``max_share`` of its rows have it. Documents are distinct when their sets
+    of lines are, so copies count once.
     A document is rejected when the base rules fail, when more than half of
     its words were in removed lines, or when fewer than ``min_words`` are left.
 
@@ -149,7 +143,13 @@ def line_quality(
 def keep_documents(
     docs: DataFrame, max_docs: int = 15, max_share: float = 0.01, min_words: int = 10
 ) -> DataFrame:
-    """The documents that pass, without their removed lines; same columns, ``n_chars`` recounted."""
+    """The documents that pass, without their removed lines; same columns, ``n_chars`` recounted.
+
+    Null and empty texts go, as the base rules fail. Rows that agree on text
+    and source share one verdict, so repeated rows and ties all stay or all
+    go; a null source is a host of its own. An empty table stays empty.
+    Columns of any name travel along and can't clash with inner ones.
+    """
     # The verdict is a function of text and host, so these are the key; the texts are not written.
     key = ["_mark", "host", "no_host"]
     host = [F.coalesce("source", F.lit("")).alias("host"), F.isnull("source").alias("no_host")]

@@ -22,16 +22,13 @@ gap AS (SELECT r, least(5, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i), i
 rep AS (SELECT r, sum(s)::BIGINT AS n_repeat_words FROM gap GROUP BY r),
 line0 AS (SELECT r, host, no_host, unnest(l) AS x FROM w),
 line1 AS (SELECT r, host, no_host, trim(regexp_replace(lower(x), '{GAP}', ' ', 'g')) AS x FROM line0),
-line AS (SELECT r, host, no_host, x, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h, len(string_split(x, ' ')) AS n FROM line1),
-uniq AS (SELECT DISTINCT r, host, no_host, h FROM line),
-low AS (SELECT r, host, no_host, h, min(h) OVER (PARTITION BY r) AS m FROM uniq),
-low2 AS (SELECT *, min(h) FILTER (WHERE h > m) OVER (PARTITION BY r) AS m2 FROM low),
+line AS (SELECT r, host, no_host, x, len(string_split(x, ' ')) AS n FROM line1),
+doc AS (SELECT r, host, no_host, list_sort(list(DISTINCT x)) AS own FROM line GROUP BY ALL),
 lim AS (SELECT host, no_host, greatest({float(max_docs)}, count(*) * {max_share}) AS lim FROM w GROUP BY ALL),
-often AS (SELECT host, no_host, h, count(*) AS n, count(DISTINCT CASE WHEN h = m THEN coalesce(m2, -1) ELSE m END) AS rests
-    FROM low2 GROUP BY ALL),
-hot AS (SELECT o.host, o.no_host, o.h FROM often o JOIN lim USING (host, no_host) WHERE n > lim AND rests > lim AND 2 * rests > n),
-cut AS (SELECT r, count(*) AS n_removed_lines, sum(line.n)::BIGINT AS n_removed_words, list(DISTINCT h) AS gone
-    FROM line JOIN hot USING (host, no_host, h) GROUP BY r),
+spread AS (SELECT host, no_host, unnest(own) AS x FROM (SELECT DISTINCT host, no_host, own FROM doc)),
+often AS (SELECT host, no_host, x FROM spread JOIN lim USING (host, no_host) GROUP BY host, no_host, x, lim HAVING count(*) > lim),
+cut AS (SELECT r, count(*) AS n_removed_lines, sum(line.n)::BIGINT AS n_removed_words, list(DISTINCT x) AS gone
+    FROM line JOIN often USING (host, no_host, x) GROUP BY r),
 fig AS (SELECT w.r, w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,

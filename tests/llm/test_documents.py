@@ -42,7 +42,7 @@ def boilerplate_rows():
     rows += [(100 + i, "accept all cookies\n" * 8 + "end of text here", "en", "a") for i in range(3)]
     copied = "\n".join(sentence(rng, 12) for _ in range(5))
     rows += [(200 + i, copied, "en", "a") for i in range(40)]
-    rows += [(300 + i, copied + f"\nlast line number {i}", "en", "a") for i in range(40)]
+    rows += [(300 + i, "\n".join(sentence(rng, 12) for _ in range(4)), "en", "a") for i in range(40)]
     rows += [(400, "a b c d e f g h i j\n" * 3, "en", "b"), (401, "w " * 500, "en", "b")]
     return rows
 
@@ -54,8 +54,26 @@ def test_line_rule_equals_sql(make_docs):
     kept, cut = names.index("kept"), names.index("n_removed_lines")
     assert got[1][cut] == 1 and got[1][kept]
     assert got[100][cut] == 8 and not got[100][kept]
-    # Copies of one document, near or exact, do not make its lines boilerplate.
-    assert all(got[200 + i][kept] and got[300 + i][kept] for i in range(40))
+    # Copies of one document do not make its lines boilerplate.
+    assert all(got[200 + i][kept] and got[300 + i][kept] and not got[200 + i][cut] for i in range(40))
+
+
+@pytest.mark.parametrize("shared, own", [(6, 1), (3, 3), (1, 9)])
+def test_different_documents_lose_what_they_share(make_docs, shared, own):
+    rng = random.Random(shared)
+    common = [sentence(rng, 8) for _ in range(shared)]
+    rows = []
+    for i in range(120):
+        lines_ = common + [sentence(rng, 8) for _ in range(own)]
+        rng.shuffle(lines_)
+        rows.append((i, "\n".join(lines_), "en", "a"))
+    # The same lines stay where few documents of a host have them.
+    rows += [(500 + i, "\n".join(common + [sentence(rng, 60)]), "en", "b") for i in range(15)]
+    got = same(lines.line_quality(make_docs(rows)), rows, oracles.OP3)
+    names, _ = by_sql(rows, oracles.OP3)
+    cut, kept, i = names.index("n_removed_lines"), names.index("kept"), names.index("doc_id")
+    assert all(r[cut] == (shared if r[i] < 500 else 0) for r in got)
+    assert all(r[kept] == (r[i] >= 500 or shared <= own) for r in got)
 
 
 def test_line_rule_on_odd_rows(odd, odd_rows, empty):
