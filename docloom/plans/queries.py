@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.classify import general_score, is_suspicious, meta_answer, tags_score, title_score, with_verdict
+from ..operators import cells
 from ..operators import chunks as K
 from ..operators import citations as A
 from ..operators import conversation as C
@@ -32,7 +33,7 @@ from ..session import materialize, scratch_path
 from ..sources import elements as E
 from ..sources import files, logs
 from ..sources.chat import from_ollama
-from ..sources.index import Collection, reconcile
+from ..sources.index import Collection
 from ..streaming import history as SH
 from ..streaming.classify import classify
 from ..streaming.ingest import ingest_stream
@@ -643,11 +644,8 @@ def q_ollama_to_internal(spark, d):
 
 @query
 def q_ollama_response(spark, d):
-    answered = P.answer(
-        materialize(P.prepare(from_ollama(inputs.ollama_requests(spark, d))), "prepared"),
-        spark.createDataFrame([], "query_id string, citations array<string>"),
-    )
-    responses = P.respond(answered, _created())
+    """Adapter requests through the whole chat job, retrieval and sources included."""
+    responses = P.respond(_answered(spark, d, from_ollama(inputs.ollama_requests(spark, d))), _created())
     response, model = F.col("response"), F.col("model")
     at = F.lit("2025-01-01T00:00:00Z")
     return responses.select(
@@ -672,11 +670,17 @@ def _document_nodes(spark, d, embed=embed_hash):
     return embed(K.chunk_hierarchical(docs))
 
 
-def _answered(spark, d):
+def _exact(index):
+    """Search that compares each request with every stored node."""
+    return lambda queries, k: N.knn_blocks(queries, index.read(), k)
+
+
+def _answered(spark, d, requests=None):
     """The whole job: documents to an index, requests to cited answers."""
     index = Collection(spark, scratch_path(spark, "answer"), "documents")
     index.rebuild(_document_nodes(spark, d, embed_model))
-    return P.answer_requests(inputs.requests(spark, d), index, embed_model)
+    requests = inputs.requests(spark, d) if requests is None else requests
+    return P.answer_requests(requests, index, embed_model, search=_exact(index))
 
 
 @query
@@ -714,7 +718,7 @@ def q_generate(spark, d):
     """Prompts from retrieved passages through the generator hook, errors included."""
     index = _collection(spark, d, embed_model)
     prepared = materialize(P.prepare(inputs.requests(spark, d)).drop("answer"), "prepared")
-    found = materialize(P.retrieve(prepared, index, embed_model), "found")
+    found = materialize(P.retrieve(prepared, index, embed_model, search=_exact(index)), "found")
     asked = with_generated(P.prompts(prepared, found), generator_column(_example_generator))
     answered = P.answer(materialize(asked, "generated"), A.citations(found))
     return answered.select(
@@ -727,7 +731,7 @@ def q_generate(spark, d):
 def q_debug_text(spark, d):
     index = _collection(spark, d, embed_model)
     prepared = materialize(P.prepare(inputs.requests(spark, d)), "prepared")
-    found = materialize(P.retrieve(prepared, index, embed_model), "found")
+    found = materialize(P.retrieve(prepared, index, embed_model, search=_exact(index)), "found")
     answered = materialize(P.answer(prepared, A.citations(found)), "answered")
     lines = source_lines(N.with_scores(found)).withColumnRenamed("query_id", "request_id")
     records = P.audit(answered).withColumn("logged_at", F.timestamp_seconds(_created()))
@@ -791,7 +795,65 @@ def q_index_count(spark, d):
 
 @query
 def q_index_reconcile(spark, d):
-    return reconcile(_document_nodes(spark, d), _collection(spark, d).read())
+    """Nodes observed while they were written, against those stored."""
+    return _collection(spark, d).reconciled()
+
+
+@query
+def q_index_contents(spark, d):
+    """Every stored column after a rebuild, an addition that replaces nothing and a compaction."""
+    nodes = materialize(_document_nodes(spark, d), "nodes")
+    first = F.col("doc_id").cast("long") % 3 == 0
+    index = Collection(spark, scratch_path(spark, "index"), "documents")
+    index.rebuild(nodes.where(first))
+    for batch in ("a", "a", "b"):
+        index.add(nodes.where(~first & (F.col("doc_id").cast("long") % 3 == (1 if batch == "a" else 2))), batch=batch)
+    index.compact()
+    shown = X.numbered_rows(index.read(), ["node_id"], F.col("embedding"), "dim", "w").where(F.col("w") != 0)
+    weight = F.format_string("%d:%.4f", F.col("dim"), F.round(F.col("w").cast("double"), 4))
+    vectors = shown.groupBy("node_id").agg(F.array_join(F.sort_array(F.collect_list(weight)), " ").alias("vector"))
+    return index.read().join(vectors, "node_id", "left").select(
+        "node_id", "doc_id", long("level").alias("level"), long("chunk_idx").alias("chunk_idx"), long("tok_start").alias("tok_start"),
+        long("tok_end").alias("tok_end"), "text", "parent_id", "prev_id", "next_id", "metadata.file_path", "metadata.file_directory",
+        "metadata.filename", long("metadata.page_number").alias("page_number"), "vector",
+    )
+
+
+@query
+def q_index_add_known(spark, d):
+    """Additions of known, partly known and new nodes: what the sketches and ids let through."""
+    nodes = materialize(_document_nodes(spark, d), "nodes")
+    index = Collection(spark, scratch_path(spark, "index"), "documents")
+    doc = F.col("doc_id").cast("long")
+    index.rebuild(nodes.where(doc % 2 == 0))
+    index.add(nodes.where(doc % 3 == 0), dedupe=True)
+    known = index.known(nodes.select(F.col("node_id").alias("id")).distinct(), "node")
+    kept = nodes.join(known, nodes["node_id"] == known["id"], "left_semi")
+    stored = index.read().groupBy("node_id").agg(F.count(F.lit(1)).alias("times"))
+    return kept.select("node_id").join(stored, "node_id", "full")
+
+
+def _clustered(spark, d):
+    """The vectors, those of one label moved together: (node_id, embedding)."""
+    axis = F.transform(F.col("embedding"), lambda x, i: x + F.when(i == F.col("label"), 3.0).otherwise(0.0))
+    moved = inputs.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), axis.alias("embedding"))
+    return moved.withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+
+@query
+def q_knn_trained(spark, d):
+    """Trained cells and codes on clustered vectors: recall, and the share of the nodes that a query goes through."""
+    nodes = _clustered(spark, d)
+    asked = nodes.select(F.col("node_id").alias("query_id"), "embedding")
+    model = cells.fit(nodes, cells=24)
+    placed = materialize(cells.with_cells(nodes, model), "placed")
+    found = N.recall(cells.lookup(asked, placed, model, probes=4), N.knn_blocks(asked, nodes))
+    read = cells.share_read(asked, placed, model, probes=4)
+    rows = found.select("n_hits", "recall", F.lit(None).cast("double").alias("share"), F.lit(None).cast("long").alias("n_nodes")).unionByName(
+        read.select(F.lit(None).cast("long").alias("n_hits"), F.lit(None).cast("double").alias("recall"), "share", "n_nodes")
+    )
+    one = rows.agg(F.max("n_hits").alias("n_hits"), F.max("n_nodes").alias("n_nodes"), F.max("recall").alias("recall"), F.max("share").alias("share"))
+    return one.select("n_hits", "n_nodes", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("share") <= 0.25).alias("quarter_read"))
 
 
 @query

@@ -1,51 +1,73 @@
-"""The vector index: one Parquet table per collection, partitioned by level and cell.
-
-``<root>/<collection>/gen=<n>/batch=<b>/level=<l>/cell=<c>/…`` holds the nodes,
-``ids/gen=<n>/batch=<b>/bucket=<k>/…`` the ids of their documents, and
-``pivots/gen=<n>`` the pivots of the cells. The pivots are written last and
-make a generation complete: readers see the highest complete one, so a
-rebuild that is lost half-way leaves the old index in place. After a rebuild
-older generations go, but for the one that running readers may still use.
-
-Every addition is a batch with a folder of its own, which it replaces: one that
-runs a second time under the same name stores nothing twice.
+"""The vector index: Parquet segments of a collection, named by a manifest.
+
+``<root>/<collection>/manifests/<version>.json`` lists the segments that make
+up the collection and its cells. A write makes new files first and then one
+manifest, which appears by a rename: a reader takes the highest version and
+sees all of a write or nothing, also while it runs or when it was lost.
+There is one writer at a time; readers need no lock.
+
+A segment has
+
+``nodes/segment=<id>``  the nodes of a rebuild or compaction, clustered: folders
+                        by level and cell, so that a lookup reads only the
+                        cells it searches; or
+``loose/segment=<id>``  the nodes of an addition: a few files by level.
+``ids/<id>``            the ids of its documents and nodes, by kind and bucket.
+``sketch/<id>``         a Bloom filter of them: 64-bit words, four bits an id.
+
+Files are written after a rebalancing exchange, so their number follows from
+the bytes (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) and not from the
+tasks. Small segments are merged when there are many (``compact``).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..operators import knn
+from ..operators import cells as C
 from ..schemas import NODE
 from ..session import materialize
 
+# Ids that share a bucket, and ids that share a word of the sketch.
+BUCKET_IDS = 1 << 20
+WORD_IDS = 4
+# An addition that makes more segments than this merges the small ones.
+SEGMENTS = 8
+STORED = T.StructType(
+    [*NODE.fields, T.StructField("batch", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType())]
+)
+SEGMENT = T.StructType([T.StructField("segment", T.StringType()), *STORED.fields])
+EMPTY = {"version": 0, "cells": None, "segments": []}
 
-BUCKETS = 256
 
+def _mask(column: str) -> Column:
+    """Four of 64 bits, drawn from the hash of an id."""
+    bits = [F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({column}, 1L), {6 * i}) & 63 AS INT))") for i in range(4)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
-def _listing(spark: SparkSession, folder: str):
-    """File system and generation folders below ``folder``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.listStatus(path) if fs.exists(path) else []
-    return fs, [status.getPath() for status in found if status.getPath().getName().startswith("gen=")]
 
+def _slot(column: str, slots: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(slots)).cast("long")
 
-def _generations(spark: SparkSession, folder: str) -> list[int]:
-    """The complete generations: those whose pivots are written."""
-    fs, folders = _listing(spark, f"{folder}/pivots")
-    marker = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(path.getName()[4:]) for path in folders if fs.exists(marker(path, "_SUCCESS")))
 
+def _counted(seen: Observation, path: str, spark: SparkSession) -> int:
+    """Rows observed while ``path`` was written.
 
-def bucket(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+    Adaptive execution drops the observation with a frame that it finds to be
+    empty; the files then say how many rows there are.
+    """
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return spark.read.schema("level int").parquet(path).count()
 
 
 class Collection:
@@ -55,126 +77,271 @@ class Collection:
         self.spark = spark
         self.folder = f"{root.rstrip('/')}/{name}"
 
-    def _path(self, generation: int) -> str:
-        return f"{self.folder}/gen={generation}"
+    # --- files and manifests ---
+
+    def _file(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
+
+    def _listed(self, folder: str) -> list[str]:
+        fs, path = self._file(f"{self.folder}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def versions(self) -> list[int]:
+        return [int(name[:-5]) for name in self._listed("manifests") if name.endswith(".json")]
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The manifest of a version, the newest by default."""
+        known = self.versions()
+        if not known:
+            return EMPTY
+        fs, path = self._file(f"{self.folder}/manifests/{version or known[-1]:012d}.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, segments: list[dict], cells: str | None) -> None:
+        """Make the segments the collection, by one rename."""
+        version = max([0, *self.versions()]) + 1
+        text = json.dumps({"version": version, "cells": cells, "segments": segments})
+        fs, draft = self._file(f"{self.folder}/manifests/{uuid.uuid4().hex}.draft")
+        stream = fs.create(draft)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        _, final = self._file(f"{self.folder}/manifests/{version:012d}.json")
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"another writer has committed version {version} of {self.folder}")
+        self.vacuum()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove what none of the last ``keep`` manifests names, then the manifests before them.
+
+        Readers that began with one of the kept versions find their files.
+        """
+        known = self.versions()
+        last = [self.manifest(v) for v in known[-keep:]]
+        named = {s["id"] for m in last for s in m["segments"]} | {m["cells"] for m in last}
+        gone = [f"manifests/{v:012d}.json" for v in known[:-keep]]
+        gone += [f"manifests/{name}" for name in self._listed("manifests") if name.endswith(".draft")]
+        kinds = ("nodes", "loose", "ids", "sketch", "cells")
+        gone += [f"{kind}/{name}" for kind in kinds for name in self._listed(kind) if name.removeprefix("segment=") not in named]
+        for name in gone:
+            fs, path = self._file(f"{self.folder}/{name}")
+            fs.delete(path, True)
+
+    def _tree(self, clustered: bool) -> str:
+        return f"{self.folder}/{'nodes' if clustered else 'loose'}"
+
+    def _path(self, segment: dict) -> str:
+        return f"{self._tree(segment['clustered'])}/segment={segment['id']}"
+
+    def _ids_path(self, segment: dict, table: str) -> str:
+        return f"{self.folder}/{table}/{segment['id']}"
+
+    # --- reading ---
 
     def exists(self) -> bool:
-        return bool(_generations(self.spark, self.folder))
+        return bool(self.versions())
+
+    def _nodes(self, segments: list[dict]) -> DataFrame:
+        """The rows of the segments, without batches that a later one has replaced."""
+        parts = []
+        for clustered in (True, False):
+            same = [s for s in segments if s["clustered"] == clustered and s["batches"]]
+            if same:
+                reader = self.spark.read.schema(SEGMENT).option("basePath", self._tree(clustered))
+                rows = reader.parquet(*[self._path(s) for s in same])
+                for s in same:
+                    if s["replaced"]:
+                        rows = rows.where((F.col("segment") != s["id"]) | ~F.col("batch").isin(s["replaced"]))
+                parts.append(rows.select(*STORED.names))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], STORED)
 
     def placed(self) -> DataFrame:
-        """The stored nodes with the number of their cell."""
-        done = _generations(self.spark, self.folder)
-        schema = T.StructType([*NODE.fields, T.StructField("cell", T.IntegerType())])
-        if not done:
-            return self.spark.createDataFrame([], schema)
-        stored = T.StructType([T.StructField("batch", T.StringType()), *schema.fields])
-        return self.spark.read.schema(stored).parquet(self._path(done[-1])).select(*schema.names)
+        """The stored nodes with the number of their cell and their code."""
+        return self._nodes(self.manifest()["segments"]).drop("batch")
 
     def read(self) -> DataFrame:
         """The stored nodes; empty when there is no collection yet."""
-        return self.placed().drop("cell")
-
-    def pivots(self) -> np.ndarray:
-        """The pivots of the current generation, in the order of their cells."""
-        done = _generations(self.spark, self.folder)
-        if not done:
-            return np.zeros((0, 0))
-        rows = self.spark.read.parquet(f"{self.folder}/pivots/gen={done[-1]}").orderBy("cell").collect()
-        return np.array([r["embedding"] for r in rows], dtype=np.float64)
-
-    def lookup(self, queries: DataFrame, k: int = fixed.TOP_K, probes: int = knn.PROBES) -> DataFrame:
-        """The k nearest stored nodes in the ``probes`` cells nearest to each query."""
-        return knn.knn_cells(queries, self.placed(), self.pivots(), k, probes)
-
-    def _write(self, nodes: DataFrame, generation: int, batch: str, pivots: np.ndarray) -> None:
-        """Replace one batch of a generation; ``nodes`` is read twice."""
-        shaped = nodes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODE.fields])
-        placed = shaped.withColumn("cell", knn.cell_column(pivots))
-        placed.write.mode("overwrite").partitionBy("level", "cell").parquet(f"{self._path(generation)}/batch={batch}")
-        ids = shaped.select("doc_id").distinct().withColumn("bucket", bucket())
-        ids.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/ids/gen={generation}/batch={batch}")
-
-    def rebuild(self, nodes: DataFrame, cells: int = knn.CELLS, batch: str = "rebuild") -> None:
-        """Replace everything; ``cells`` is the number of pivots to search by.
-
-        The nodes are written once before their pivots are drawn, so nothing
-        is parsed or embedded twice.
-        """
-        done = _generations(self.spark, self.folder)
-        generation = (done[-1] if done else 0) + 1
-        self._drop(lambda number: number == generation)  # the rest of a rebuild that was lost
-        staged = materialize(nodes, "index-nodes")
-        pivots = knn.pivots(staged, cells)
-        self._write(staged, generation, batch, pivots)
-        rows = [(i, [float(x) for x in v]) for i, v in enumerate(pivots)]
-        table = self.spark.createDataFrame(rows, "cell int, embedding array<double>").coalesce(1)
-        table.write.mode("overwrite").parquet(f"{self.folder}/pivots/gen={generation}")
-        self.vacuum()
+        return self.placed().select(*NODE.names)
 
-    def _drop(self, chosen) -> None:
-        """Remove the chosen generations; the pivots go first, so that no reader sees a part."""
-        for folder in (f"{self.folder}/pivots", f"{self.folder}/ids", self.folder):
-            fs, folders = _listing(self.spark, folder)
-            for path in folders:
-                if chosen(int(path.getName()[4:])):
-                    fs.delete(path, True)
+    def cells(self) -> C.Cells | None:
+        """The trained cells; None without a vector."""
+        name = self.manifest()["cells"]
+        return C.Cells.of_rows(self.spark.read.parquet(f"{self.folder}/cells/{name}")) if name else None
 
-    def vacuum(self, keep: int = 2) -> None:
-        """Remove what is older than the last ``keep`` complete generations."""
-        done = _generations(self.spark, self.folder)
-        if len(done) >= keep:
-            self._drop(lambda number: number < done[-keep])
+    def lookup(
+        self, queries: DataFrame, k: int = fixed.TOP_K, probes: int = C.PROBES, rerank: int = C.RERANK
+    ) -> DataFrame:
+        """The k nearest stored nodes in the ``probes`` cells nearest to each query (``cells.lookup``)."""
+        return C.lookup(queries, self.placed(), self.cells(), k, probes, rerank)
+
+    def count(self) -> int:
+        """The number of nodes, as counted when they were written."""
+        return sum(n for s in self.manifest()["segments"] for n in s["batches"].values())
+
+    def reconciled(self) -> DataFrame:
+        """One row: nodes that went into the writes, nodes stored, and whether the numbers differ.
+
+        The first were observed on the rows that were parsed and written; only
+        the stored ones are counted now.
+        """
+        stored = self._nodes(self.manifest()["segments"]).agg(F.count(F.lit(1)).alias("n_stored"))
+        parsed = F.lit(self.count()).cast("long")
+        return stored.select(parsed.alias("n_parsed"), "n_stored", (parsed != F.col("n_stored")).alias("differs"))
+
+    # --- writing ---
+
+    def _segment(self, nodes: DataFrame, model: C.Cells | None, batch: str | None, clustered: bool) -> dict:
+        """Write one segment; ``nodes`` is read once. Without ``batch`` the rows are placed and name theirs."""
+        out = {"id": uuid.uuid4().hex, "clustered": clustered, "replaced": []}
+        at = self._path(out)
+        if batch is not None:
+            shaped = nodes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODE.fields])
+            nodes = C.with_cells(shaped, model).withColumn("batch", F.lit(batch))
+        seen = Observation()
+        rows = nodes.select(*STORED.names).observe(seen, F.count(F.lit(1)).alias("n"))
+        by = ["level", "cell"] if clustered else ["level"]
+        rows.hint("rebalance", *by).write.partitionBy(*by).parquet(at)
+        n = _counted(seen, at, self.spark)
+        if batch is not None:
+            batches = {batch: n} if n else {}
+        else:
+            counts = self.spark.read.schema(STORED).parquet(at).groupBy("batch").count()
+            batches = {r["batch"]: r["count"] for r in counts.collect()}
+        out |= {"batches": batches, "rows": n, "buckets": n // BUCKET_IDS + 1, "words": n // WORD_IDS + 1}
+        if n:
+            self._write_ids(out)
+        return out
+
+    def _write_ids(self, segment: dict) -> None:
+        """The segment's ids by bucket, and their sketch."""
+        stored = self.spark.read.schema(STORED).parquet(self._path(segment))
+        docs = stored.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "batch").distinct()
+        nodes = stored.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "batch")
+        ids = docs.unionByName(nodes).withColumn("bucket", _slot("id", segment["buckets"]))
+        ids.hint("rebalance", "kind", "bucket").write.partitionBy("kind", "bucket").parquet(self._ids_path(segment, "ids"))
+        ids = self._ids(segment).select("kind", _slot("id", segment["words"]).alias("word"), _mask("id").alias("bits"))
+        words = ids.groupBy("kind", "word").agg(F.bit_or("bits").alias("bits"))
+        words.hint("rebalance", "kind").write.partitionBy("kind").parquet(self._ids_path(segment, "sketch"))
+
+    def _ids(self, segment: dict) -> DataFrame:
+        schema = "id string, batch string, kind string, bucket long"
+        return self.spark.read.schema(schema).parquet(self._ids_path(segment, "ids"))
+
+    def rebuild(self, nodes: DataFrame, cells: int = C.CELLS, batch: str = "rebuild") -> None:
+        """Replace everything; ``cells`` is the number of cells to train.
+
+        The nodes are written once before their cells are trained, so nothing
+        is parsed or embedded twice.
+        """
+        seen = Observation()
+        staged = materialize(nodes.observe(seen, F.count(F.lit(1)).alias("n")), "index-nodes")
+        model = C.fit(staged, cells, _counted(seen, staged._scratch_path, self.spark))
+        name = None
+        if model is not None:
+            name = uuid.uuid4().hex
+            model.rows(self.spark).write.parquet(f"{self.folder}/cells/{name}")
+        segment = self._segment(staged, model, batch, True)
+        self._commit([segment] if segment["rows"] else [], name)
 
     def add(self, nodes: DataFrame, dedupe: bool = False, batch: str | None = None) -> None:
         """Append; nodes already stored are stored again unless ``dedupe`` is set.
 
         ``batch`` names the addition: a second one of the same name replaces
-        the first. An empty collection has no cells yet and is built from the
-        nodes.
+        the first. A collection without cells is built from the nodes.
         """
-        done = _generations(self.spark, self.folder)
         nodes = self.unknown(nodes) if dedupe else nodes
         batch = batch or f"add-{uuid.uuid4().hex}"
-        pivots = self.pivots()
-        if not len(pivots):
+        now = self.manifest()
+        if now["cells"] is None:
             self.rebuild(nodes, batch=batch)
-        else:
-            self._write(materialize(nodes, "index-nodes"), done[-1], batch, pivots)
+            return
+        segment = self._segment(nodes, self.cells(), batch, False)
+        kept = []
+        for s in now["segments"]:
+            if batch in s["batches"]:
+                rest = {b: n for b, n in s["batches"].items() if b != batch}
+                s = s | {"batches": rest, "replaced": [*s["replaced"], batch]}
+            if s["batches"]:
+                kept.append(s)
+        self._commit([*kept, *([segment] if segment["rows"] else [])], now["cells"])
+        if len(kept) + 1 > SEGMENTS:
+            self.compact()
+
+    def compact(self, share: float = 0.25) -> None:
+        """Merge the segments that hold less than ``share`` of the largest one's rows into one clustered segment.
+
+        Merged segments grow in steps, so a row is written again only a few
+        times however many additions follow. If no two are that small, all are merged.
+        """
+        now = self.manifest()
+        most = max((s["rows"] for s in now["segments"]), default=0)
+        small = [s for s in now["segments"] if s["rows"] < share * most]
+        small = small if len(small) > 1 else now["segments"]
+        if len(small) < 2:
+            return
+        merged = self._segment(self._nodes(small), None, None, True)
+        chosen = {s["id"] for s in small}
+        kept = [s for s in now["segments"] if s["id"] not in chosen]
+        self._commit([*kept, *([merged] if merged["rows"] else [])], now["cells"])
 
-    def unknown_documents(self, docs: DataFrame, batch: str) -> DataFrame:
-        """The documents that no other batch has stored, each id once.
+    def delete_all(self) -> None:
+        """Empty the collection; a missing one is not an error."""
+        if self.exists():
+            self._commit([], None)
+
+    # --- membership ---
 
-        Reads document ids only, and of these only the buckets that ``docs``
-        falls into; no node file is touched.
+    def known(self, ids: DataFrame, kind: str, but: str | None = None) -> DataFrame:
+        """The ``id``s that are stored as ids of documents or nodes (``kind``), in another batch than ``but``.
+
+        Each segment's sketch is asked first; ids are read only from the
+        buckets of those that it may hold.
         """
-        once = docs.dropDuplicates(["doc_id"])
-        done = _generations(self.spark, self.folder)
-        if not done:
+        segments = [s for s in self.manifest()["segments"] if set(s["batches"]) - {but}]
+        none = self.spark.createDataFrame([], "id string")
+        if not segments:
+            return none
+        maybe = []
+        for at, s in enumerate(segments):
+            sketch = self.spark.read.schema("word long, bits long, kind string").parquet(self._ids_path(s, "sketch"))
+            sketch = sketch.where(F.col("kind") == kind).select("word", "bits")
+            asked = ids.select("id", _slot("id", s["words"]).alias("word"), _mask("id").alias("_mask"), _slot("id", s["buckets"]).alias("bucket"))
+            hit = asked.join(sketch, "word").where(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+            maybe.append(hit.select("id", "bucket", F.lit(at).alias("segment")))
+        maybe = materialize(reduce(DataFrame.unionByName, maybe), "index-maybe")
+        buckets: dict[int, list[int]] = {}
+        for r in maybe.select("segment", "bucket").distinct().collect():
+            buckets.setdefault(r["segment"], []).append(r["bucket"])
+        found = []
+        for at, wanted in buckets.items():
+            stored = self._ids(segments[at]).where((F.col("kind") == kind) & F.col("bucket").isin(sorted(wanted)))
+            gone = [*segments[at]["replaced"], *([but] if but else [])]
+            stored = stored.where(~F.col("batch").isin(gone)) if gone else stored
+            found.append(stored.select("id").join(maybe.where(F.col("segment") == at).select("id"), "id", "left_semi"))
+        return reduce(DataFrame.unionByName, found).distinct() if found else none
+
+    def _unknown(self, rows: DataFrame, column: str, kind: str, but: str | None) -> DataFrame:
+        once = rows.dropDuplicates([column])
+        if not self.exists():
             return once
-        wanted = [r["b"] for r in once.select(bucket().alias("b")).distinct().collect()]
-        schema = "doc_id string, batch string, bucket int"
-        ids = self.spark.read.schema(schema).parquet(f"{self.folder}/ids/gen={done[-1]}")
-        ids = ids.where(F.col("bucket").isin(wanted) & (F.col("batch") != batch)).select("doc_id").distinct()
-        return once.join(ids, "doc_id", "left_anti")
+        once = materialize(once, "index-new")
+        stored = self.known(once.select(F.col(column).alias("id")), kind, but)
+        return once.join(stored.withColumnRenamed("id", "_stored"), F.col(column) == F.col("_stored"), "left_anti")
+
+    def unknown_documents(self, docs: DataFrame, batch: str) -> DataFrame:
+        """The documents that no other batch has stored, each id once."""
+        return self._unknown(docs, "doc_id", "doc", batch)
 
     def unknown(self, nodes: DataFrame) -> DataFrame:
         """The nodes whose ids are not stored yet, each id once.
 
         Both sides of the anti join hold an id once, so no id is a hot key.
-        Only the id column of the stored nodes is read.
         """
-        once = nodes.dropDuplicates(["node_id"])
-        if not self.exists():
-            return once
-        return once.join(self.read().select("node_id").distinct(), "node_id", "left_anti")
-
-    def delete_all(self) -> None:
-        """Empty the collection; a missing one is not an error."""
-        if self.exists():
-            self.rebuild(self.spark.createDataFrame([], NODE))
-
-    def count(self) -> int:
-        return self.read().count()
+        return self._unknown(nodes, "node_id", "node", None)
 
 
 def reconcile(parsed: DataFrame, stored: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from ..operators.chunks import ChunkParser, hierarchical_parser
 from ..operators.embed import embed_hash
 from ..plans.ingest import element_documents
-from ..session import materialize
 from ..sources.index import Collection
 from .sink import run_batches
 
@@ -31,8 +30,8 @@ def ingest_stream(
 
     def add(batch: DataFrame, number: int) -> None:
         name = f"{stream}-{number}"
-        docs = materialize(element_documents(batch), "ingest")
-        nodes = (parser or hierarchical_parser())(collection.unknown_documents(docs, name))
+        fresh = collection.unknown_documents(element_documents(batch), name)
+        nodes = (parser or hierarchical_parser())(fresh)
         collection.add(embed(nodes, "text"), batch=name)
 
     run_batches(elements, add, checkpoint)

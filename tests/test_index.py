@@ -1,8 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators.chunks import chunk_hierarchical
 from docloom.operators.embed import embed_hash
+from docloom.operators import cells, knn
+from docloom.sources import index as I
 from docloom.sources.index import Collection, reconcile
 
 
@@ -34,6 +38,7 @@ def test_lifecycle(spark, nodes, tmp_path):
     index.rebuild(nodes)
     assert index.count() == n
     assert tuple(reconcile(nodes, index.read()).first()) == (n, n, False)
+    assert tuple(index.reconciled().first()) == (n, n, False)
     index.delete_all()
     assert index.exists() and index.count() == 0
     assert tuple(reconcile(nodes, index.read()).first()) == (n, 0, True)
@@ -43,7 +48,13 @@ def test_lifecycle(spark, nodes, tmp_path):
                                     "prev_id", "next_id", "metadata", "embedding", "level"]
 
 
-def test_unfinished_rebuild_is_not_seen(spark, nodes, tmp_path):
+def files(index, *trees):
+    from pathlib import Path
+
+    return [p for tree in trees or ("nodes", "loose") for p in Path(index.folder, tree).rglob("*.parquet")]
+
+
+def test_unfinished_writes_are_not_seen(spark, nodes, tmp_path):
     index = Collection(spark, str(tmp_path), "c")
     index.rebuild(nodes)
     n = index.count()
@@ -52,12 +63,24 @@ def test_unfinished_rebuild_is_not_seen(spark, nodes, tmp_path):
     def fails(text):
         raise RuntimeError("lost")
 
-    with pytest.raises(Exception, match="lost"):
-        index.rebuild(nodes.withColumn("text", fails("text")))
-    (tmp_path / "c" / "gen=7" / "level=0").mkdir(parents=True)
-    assert index.count() == n
+    broken = nodes.withColumn("text", fails("text"))
+    for write in (index.rebuild, index.add):
+        with pytest.raises(Exception, match="lost"):
+            write(broken)
+        assert index.count() == index.read().count() == n
+    (tmp_path / "c" / "manifests" / "x.draft").write_text("{")
+    assert index.versions() == [1] and index.read().count() == n
     index.rebuild(nodes)
-    assert index.count() == n
+    assert index.count() == index.read().count() == n
+    assert not (tmp_path / "c" / "manifests" / "x.draft").exists()
+
+
+def test_a_reader_keeps_its_version(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    index.rebuild(nodes.where("level = 0"))
+    before, n = index.read(), index.count()
+    index.rebuild(nodes)
+    assert before.count() == n < index.read().count()
 
 
 def test_level_filter_prunes_partitions(spark, nodes, tmp_path):
@@ -68,36 +91,71 @@ def test_level_filter_prunes_partitions(spark, nodes, tmp_path):
     assert "PartitionFilters: [isnotnull(level" in plan and "embedding" not in plan.split("ReadSchema")[1]
 
 
-def test_lookup_reads_only_probed_cells(spark, nodes, tmp_path):
-    from docloom.operators import knn
-
+def test_cell_filter_prunes_partitions_and_few_probes_few_cells(spark, nodes, tmp_path):
     index = Collection(spark, str(tmp_path), "c")
     index.rebuild(nodes, cells=6)
+    model = index.cells()
     asked = nodes.where("level = 2").limit(1).select(F.col("node_id").alias("query_id"), "embedding")
-    one = knn.knn_cells(asked, index.placed(), index.pivots(), probes=1)
-    text = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cell" in text or "PartitionFilters: [cell" in text
-    hits = index.lookup(asked, probes=6).collect()
+    cell = cells.probed(asked, model, 1).first()["cell"]
+    found = index.placed().where(F.col("cell") == cell)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan
+    hits = index.lookup(asked, probes=6, rerank=10_000).collect()
     exact = knn.knn_blocks(asked, nodes).collect()
     assert sorted(map(str, hits)) == sorted(map(str, exact))
     index.add(nodes)
-    assert index.placed().select("node_id", "cell").distinct().count() == nodes.count()
+    assert index.placed().select("node_id", "cell", "code").distinct().count() == nodes.count()
+    again = index.lookup(asked, probes=6, rerank=10_000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, exact))
+
 
+def test_files_follow_the_bytes(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    index.rebuild(nodes.repartition(40), cells=5)
+    assert len(files(index)) <= 3 * 5
+    assert len(files(index, "ids", "sketch")) <= 4
+    for i in range(3):
+        index.add(nodes.repartition(40), batch=str(i))
+    assert len(files(index, "loose")) <= 3 * 3
+    index.compact()
+    assert len(index.manifest()["segments"]) == 1
+    index.vacuum(keep=1)
+    assert len(files(index)) <= 3 * 5 and not files(index, "loose")
+    assert index.read().count() == index.count() == 4 * nodes.count()
 
-def test_old_generations_go(spark, nodes, tmp_path):
+
+def test_additions_are_merged(spark, nodes, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "SEGMENTS", 3)
+    index = Collection(spark, str(tmp_path), "c")
+    index.rebuild(nodes.where("level = 2"))
+    few = nodes.where("doc_id = 'd3' AND level = 0").cache()
+    for i in range(7):
+        index.add(few, batch=f"b{i}")
+        assert len(index.manifest()["segments"]) <= 4
+    index.add(nodes.where("level = 1"), batch="b2")  # replaces a batch that is merged already
+    n = {r["level"]: r["count"] for r in nodes.groupBy("level").count().collect()}
+    stored = {r["level"]: r["count"] for r in index.read().groupBy("level").count().collect()}
+    assert stored == {0: 6 * few.count(), 1: n[1], 2: n[2]} and index.count() == sum(stored.values())
+    assert tuple(index.reconciled().first())[2] is False
+    index.compact(share=2.0)
+    assert len(index.manifest()["segments"]) == 1
+    assert {r["level"]: r["count"] for r in index.read().groupBy("level").count().collect()} == stored
+
+
+def test_old_versions_go(spark, nodes, tmp_path):
     index = Collection(spark, str(tmp_path), "c")
     for _ in range(4):
         index.rebuild(nodes)
-    for folder in (tmp_path / "c", tmp_path / "c" / "ids", tmp_path / "c" / "pivots"):
-        assert sorted(p.name for p in folder.iterdir() if p.name.startswith("gen=")) == ["gen=3", "gen=4"]
-    assert index.count() == nodes.count()
+    assert index.versions() == [3, 4]
+    for tree in ("nodes", "ids", "sketch", "cells"):
+        assert len([p for p in (tmp_path / "c" / tree).iterdir() if p.is_dir()]) == 2
     index.delete_all()
     index.vacuum(keep=1)
-    assert [p.name for p in (tmp_path / "c").iterdir() if p.name.startswith("gen=")] == ["gen=5"]
-    assert index.count() == 0
+    assert index.versions() == [5] and not list((tmp_path / "c" / "nodes").iterdir())
+    assert index.exists() and index.count() == 0
 
 
-def test_a_batch_replaces_itself_and_reads_ids_only(spark, nodes, tmp_path):
+def test_a_batch_replaces_itself(spark, nodes, tmp_path):
     index = Collection(spark, str(tmp_path), "c")
     half = nodes.where("doc_id < 'd15'")
     index.rebuild(half)
@@ -110,7 +168,47 @@ def test_a_batch_replaces_itself_and_reads_ids_only(spark, nodes, tmp_path):
     fresh = index.unknown_documents(docs, "s-1")
     assert {r.doc_id for r in fresh.collect()} == {r.doc_id for r in rest.select("doc_id").distinct().collect()}
     assert index.unknown_documents(docs, "s-2").count() == 0
-    plan = fresh._jdf.queryExecution().executedPlan().toString()
-    files = fresh.inputFiles()
-    assert files and all("/c/ids/gen=1/" in name for name in files)
-    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def buckets(known):
+    """The buckets that the scan of the ids is pruned to."""
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[([^\]]*bucket[^\]]*)\]", plan)
+    assert filters or "ids" not in plan
+    return {n for f in filters for part in re.findall(r"bucket#\d+L (?:IN \(([\d,]+)\)|= (\d+))", f) for n in ",".join(part).split(",") if n}
+
+
+def test_known_ids_are_read_only_where_they_may_be(spark, nodes, tmp_path, monkeypatch):
+    """No id file is read for new ids, and only the buckets of known ones."""
+    monkeypatch.setattr(I, "BUCKET_IDS", 8)
+    index = Collection(spark, str(tmp_path), "c")
+    index.rebuild(nodes)
+    assert len(list((tmp_path / "c" / "ids").rglob("bucket=*"))) > 8
+    new = spark.range(500).select(F.concat(F.lit("new"), "id").alias("id"))
+    asked = buckets(index.known(new, "node"))
+    assert index.known(new, "node").count() == 0
+    one = nodes.where("level = 2").limit(1).select(F.col("node_id").alias("id"))
+    found = index.known(one, "node")
+    assert [r.id for r in found.collect()] == [one.first()["id"]]
+    assert len(buckets(found)) == 1
+    # False positives of the sketch are few: of 500 new ids hardly any bucket is looked into.
+    assert len(asked) <= 6
+
+
+def test_dedupe_with_repeated_and_null_ids(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    index.rebuild(nodes.where("level < 2"))
+    many = nodes.unionByName(nodes).repartition(5)
+    index.add(many, dedupe=True)
+    assert index.count() == nodes.count()
+    assert index.read().select("node_id").distinct().count() == nodes.count()
+    index.add(nodes, dedupe=True)
+    assert index.count() == nodes.count()
+
+
+def test_only_one_writer_commits_a_version(spark, nodes, tmp_path, monkeypatch):
+    index = Collection(spark, str(tmp_path), "c")
+    index.rebuild(nodes.where("level = 0"))
+    monkeypatch.setattr(index, "versions", lambda: [])
+    with pytest.raises(RuntimeError, match="another writer"):
+        index._commit([], None)
