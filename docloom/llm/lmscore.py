@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.text import GOLDEN, byte_slices, mix, string_buffers, word_hashes
@@ -60,34 +60,57 @@ def count_pairs(docs: DataFrame) -> DataFrame:
     return rows.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def pair_losses(pairs: DataFrame, strength: float = 64.0) -> DataFrame:
-    """(pair, target_loss, background_loss): minus log probability of the word after the word before it.
-
-    The pair's counts are mixed with the word's own frequency as ``strength``
-    pseudo-counts; that frequency with the uniform one over all words.
-    """
+def pair_counts(pairs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(pair, and the counts of the pair, its word and the word before it, by model), and totals for all pairs."""
     both = ("background", "target")
-    words = pairs.groupBy("word").agg(*[F.sum(c).alias(f"_w_{c}") for c in both])
-    contexts = pairs.groupBy("before").agg(*[F.sum(c).alias(f"_c_{c}") for c in both])
+    words = pairs.groupBy("word").agg(*[F.sum(c).alias(f"w_{c}") for c in both])
+    contexts = pairs.groupBy("before").agg(*[F.sum(c).alias(f"c_{c}") for c in both])
     words = materialize(words, "lm-words")
-    n, background, target = words.agg(F.count("*"), F.sum("_w_background"), F.sum("_w_target")).first()
-    total, size = target or 0, max(n, 1 << WORD_BITS)
-    # The background's counts are scaled to the target's total.
-    scale = {"background": total / background if background else 1.0, "target": 1.0}
-
-    def loss(side: str):
-        pair, word, context = (F.col(c) * F.lit(scale[side]) for c in (side, f"_w_{side}", f"_c_{side}"))
-        single = (word + 0.5) / F.lit(total + 0.5 * size)
-        return -F.log((pair + strength * single) / (context + strength))
-
-    return pairs.join(words, "word").join(contexts, "before").select(
-        F.xxhash64("before", "word").alias("pair"),
-        loss("target").alias("target_loss"), loss("background").alias("background_loss"),
+    n, background, target = words.agg(F.count("*"), F.sum("w_background"), F.sum("w_target")).first()
+    totals = {"size": max(n, 1 << WORD_BITS), "background": background or 0, "target": target or 0}
+    joined = pairs.join(words, "word").join(contexts, "before")
+    counts = [f"{kind}{c}" for c in both for kind in ("", "w_", "c_")]
+    return joined.select(F.xxhash64("before", "word").alias("pair"), *counts), totals
+
+
+def loss(side: str, own: bool, totals: dict[str, int], strength: float) -> Column:
+    """Minus log probability of a pair's word after the word before it, in a model without the document's ``own`` counts.
+
+    The pair's counts are mixed with the word's frequency as ``strength``
+    pseudo-counts; that frequency with the uniform one over all words. The
+    background's counts are scaled to the total that the target has.
+    """
+    less = (lambda count, mine: count - F.col(mine)) if own else (lambda count, mine: count)
+    pair, word, context = (
+        less(F.coalesce(f"{kind}{side}", F.lit(0)), mine) for kind, mine in (("", "n"), ("w_", "n_word"), ("c_", "n_before"))
     )
+    total = F.lit(float(totals["target"]))
+    scale = F.lit(1.0)
+    if side == "background":
+        rest = less(F.lit(totals["background"]), "n_all")
+        scale = F.when(rest > 0, total / rest).otherwise(1.0)
+    elif own:
+        total = total - F.col("n_all")
+    single = (word * scale + 0.5) / (total + 0.5 * totals["size"])
+    return -F.log((pair * scale + strength * single) / (context * scale + strength))
 
 
 def document_pairs(docs: DataFrame) -> DataFrame:
-    """(_row, doc_id, pair, n): how often each pair occurs in each document; a document without words has one row of n = 0."""
+    """Each pair of each document, with how often the document has the pair, its word, the word before it, and words.
+
+    (_row, doc_id, pair, n, n_word, n_before, n_all); a document without words
+    has one row of n = 0.
+    """
+    names = ["_row", "doc_id", "before", "word", "n", "n_word", "n_before", "n_all"]
+
+    def counted(owner, key):
+        """How often each place's key is in its document."""
+        order = np.lexsort((key, owner))
+        new = np.append(True, (np.diff(owner[order]) != 0) | (np.diff(key[order]) != 0))
+        n = np.diff(np.append(np.flatnonzero(new), len(order)))
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(n, n)
+        return out, order[np.flatnonzero(new)]
 
     def run(batches):
         import pyarrow as pa
@@ -95,38 +118,38 @@ def document_pairs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows, ids = batch.column("_row"), batch.column("doc_id")
             for first, last, (word, before, pair, at) in _slices(batch, 1 << 21):
-                owner = np.repeat(np.arange(first, last), np.diff(at))
-                order = np.lexsort((pair, owner))
-                new = np.ones(len(order), bool)
-                new[1:] = (np.diff(owner[order]) != 0) | (np.diff(pair[order]) != 0)
-                begin = np.flatnonzero(new)
-                once = order[begin]
-                blank = first + np.flatnonzero(np.diff(at) == 0)
+                many = np.diff(at)
+                owner = np.repeat(np.arange(first, last), many)
+                blank = first + np.flatnonzero(many == 0)
                 # Keys of their own, so that documents without words meet nowhere.
                 own = rows.to_numpy()[blank]
-                n = np.concatenate([np.diff(np.append(begin, len(order))), np.zeros(len(blank), np.int64)])
+                none = np.zeros(len(blank), np.int64)
+                once, counts = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3
+                if len(owner):
+                    n, once = counted(owner, pair)
+                    counts = [n[once], counted(owner, word)[0][once], counted(owner, before)[0][once]]
                 take = np.concatenate([owner[once], blank])
-                before_, word_ = np.concatenate([before[once], own]), np.concatenate([word[once], own])
+                columns = [np.concatenate(c) for c in ((before[once], own), (word[once], own), *((c, none) for c in counts))]
+                columns.append(many[take - first])
                 for i in range(0, len(take), 1 << 16):
                     cut = slice(i, i + (1 << 16))
                     spot = pa.array(take[cut])
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.take(spot), ids.take(spot), pa.array(before_[cut]), pa.array(word_[cut]), pa.array(n[cut])],
-                        names=["_row", "doc_id", "before", "word", "n"],
-                    )
+                    yield pa.RecordBatch.from_arrays([rows.take(spot), ids.take(spot), *[pa.array(c[cut]) for c in columns]], names=names)
 
     small = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = small.mapInArrow(run, "_row long, doc_id long, before long, word long, n long")
-    return found.select("_row", "doc_id", F.xxhash64("before", "word").alias("pair"), "n")
+    found = small.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found.select("_row", "doc_id", F.xxhash64("before", "word").alias("pair"), "n", "n_word", "n_before", "n_all")
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, strength: float = 64.0) -> DataFrame:
     """Cross-entropy difference: doc_id, n_tokens, target_loss, background_loss, score.
 
     The target are the documents labelled as good and not toxic, the
     background all documents; both models are word pair models over all words
     of all documents, with the same smoothing, and the background's counts
-    are scaled to the target's total. Words are told apart by 64-bit hashes. Losses are means per word, ``score`` is
+    are scaled to the target's total. No document is scored by its own counts:
+    they are taken out of the background, and of the target where it is one of
+    its documents, so a label alone changes no score. Words are told apart by 64-bit hashes. Losses are means per word, ``score`` is
     target minus background: the lower, the more like the target.
 
     Null, empty and white-space texts have no words: losses and score are
@@ -141,13 +164,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Always the same join: labels grow with the documents, so they are never broadcast.
     marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     pairs = count_pairs(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")))
-    losses = pair_losses(materialize(pairs, "lm-pairs"))
-    found = document_pairs(docs).join(losses, "pair", "left")
-    means = found.groupBy("_row", "doc_id").agg(
-        F.sum("n").alias("n_tokens"),
-        *[F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(c))).alias(c) for c in ("target_loss", "background_loss")],
-    )
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c)
-    return means.select("doc_id", "n_tokens", mean("target_loss"), mean("background_loss")).withColumn(
-        "score", F.col("target_loss") - F.col("background_loss")
+    counts, totals = pair_counts(materialize(pairs, "lm-pairs"))
+    found = document_pairs(docs).join(counts, "pair", "left")
+    losses = {"_in": loss("target", True, totals, strength), "_out": loss("target", False, totals, strength), "background_loss": loss("background", True, totals, strength)}
+    sums = found.groupBy("_row", "doc_id").agg(
+        F.sum("n").alias("n_tokens"), *[F.sum(F.when(F.col("n") > 0, F.col("n") * value)).alias(c) for c, value in losses.items()]
     )
+    sums = sums.join(good, F.col("doc_id") == F.col("_id"), "left")
+    target = F.when(F.col("target"), F.col("_in")).otherwise(F.col("_out"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
+    return sums.select(
+        "doc_id", "n_tokens", mean(target).alias("target_loss"), mean(F.col("background_loss")).alias("background_loss")
+    ).withColumn("score", F.col("target_loss") - F.col("background_loss"))

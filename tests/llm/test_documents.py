@@ -421,23 +421,39 @@ def test_scores_equal_counting(spark, make_docs):
             for step in steps(t):
                 for kind, c in enumerate(step):
                     counts[side][kind][c] += 1
-    totals = [sum(c[0].values()) for c in counts]
-    scale = [totals[1] / totals[0], 1.0]
     classes = 1 << lmscore.WORD_BITS
 
-    def loss(text, side):
-        out, (word, context, pair) = 0.0, counts[side]
+    def loss(i, text, side):
+        """In models without the document itself."""
+        own = [collections.Counter(c) for c in zip(*steps(text))]
+        less = lambda k, kind, c: counts[k][kind][c] - (own[kind][c] if k == 0 or i in target else 0)
+        total = sum(counts[1][0].values()) - (len(text.split()) if side and i in target else 0)
+        scale = 1.0 if side else total / (sum(counts[0][0].values()) - len(text.split()))
+        out = 0.0
         for w, b, p in steps(text):
-            single = (scale[side] * word[w] + 0.5) / (totals[1] + 0.5 * classes)
-            out -= np.log((scale[side] * pair[p] + 64 * single) / (scale[side] * context[b] + 64))
+            single = (scale * less(side, 0, w) + 0.5) / (total + 0.5 * classes)
+            out -= np.log((scale * less(side, 2, p) + 64 * single) / (scale * less(side, 1, b) + 64))
         return out / len(text.split())
 
     for i, t, *_ in rows:
-        assert abs(got[i].target_loss - loss(t, 1)) < 1e-5 and abs(got[i].background_loss - loss(t, 0)) < 1e-5
+        assert abs(got[i].target_loss - loss(i, t, 1)) < 1e-5 and abs(got[i].background_loss - loss(i, t, 0)) < 1e-5
         assert abs(got[i].score - (got[i].target_loss - got[i].background_loss)) < 1e-12
     assert max(got[i].score for i in range(61, 80, 2)) < min(got[i].score for i in range(60, 80, 2))
 
 
+def test_a_label_alone_changes_no_score(spark, make_docs):
+    """A random third of like documents as target: no gap between those with and those without a label."""
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, 80), "en", "a") for i in range(600)]
+    picked = set(rng.sample(range(600), 200))
+    labels = spark.createDataFrame([(i, int(i in picked), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in lmscore.score(make_docs(rows), labels).collect()}
+    inside, outside = [got[i] for i in picked], [got[i] for i in range(600) if i not in picked]
+    spread = np.std(inside + outside)
+    assert abs(np.mean(inside) - np.mean(outside)) < 0.25 * spread
+    assert min(outside) < np.median(inside) < max(outside)
+
+
 def test_scores_of_odd_rows(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     got = lmscore.score(odd, labels).collect()
@@ -455,12 +471,13 @@ def test_scores_do_not_share_counts_between_words(spark, make_docs):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in lmscore.score(make_docs(few + rare), labels).collect()}
     assert all(r.target_loss >= 0 and r.background_loss >= 0 for r in got.values())
-    total, words = 400, 4 + len({w for _, t, *_ in rare for w in t.split()})
+    total, words = 360, 4 + len({w for _, t, *_ in rare for w in t.split()})
     assert words > 1 << lmscore.WORD_BITS
 
     def loss(pair, word, context):
         return -np.log((pair + 64 * (word + 0.5) / (total + 0.5 * words)) / (context + 64))
 
-    wanted = (loss(10, 100, 10) + 9 * loss(90, 100, 90) + 30 * loss(100, 100, 100)) / 40
+    # Ten documents of the target, one of which is the one that is scored.
+    wanted = (loss(9, 90, 9) + 9 * loss(81, 90, 81) + 30 * loss(90, 90, 90)) / 40
     assert abs(got[0].target_loss - wanted) < 1e-9
     assert got[0].n_tokens == 40 and got[100].n_tokens == 20_000
