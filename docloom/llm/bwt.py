@@ -13,7 +13,7 @@ from docloom.llm.text import GOLDEN, MIX_A, MIX_B, mix, random_words, string_buf
 from docloom.session import materialize
 
 GRAM = 64
-SLICE = 1 << 20
+SLICE = 1 << 18
 _VALUE = random_words(256, 31)
 
 
@@ -237,7 +237,8 @@ def _segments(chosen: DataFrame, width: int) -> DataFrame:
     def run(batches):
         names = ["_t", "key", "other", "at", "before", "bytes"]
         for batch in batches:
-            for t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_t", "text", "runs"))):
+            for cells in zip(*(batch.column(c) for c in ("_t", "text", "runs"))):
+                t, text, runs = (cell.as_py() for cell in cells)
                 data, rows = text.encode(), []
                 for r in runs:
                     part = data[r["at"] : r["at"] + r["n"] + width - 1]
