@@ -6,6 +6,8 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def with_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block only."""
+    kept = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 
@@ -66,12 +81,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    kept = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with with_conf(spark, {CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if kept is None else spark.conf.set(CLEANUP, kept)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
