@@ -493,6 +493,11 @@ events AS (SELECT * FROM sent UNION ALL SELECT * FROM stored)"""
 STREAM_HISTORY = f"""history AS (
   SELECT * FROM ({first_arrivals('events')}) WHERE step = 0 UNION ALL SELECT * FROM stored)"""
 
+LAST_MESSAGES = """
+SELECT chat_id, count(*) AS history_length, arg_max(content, (req_no, step, pos)) FILTER (role = 'user') AS last_user
+FROM history GROUP BY chat_id"""
+AUDIT_COLUMNS = """request_id, meta_request_detected, meta_type, meta_confidence, processing_method,
+  suspicious_message_detected, alternative_question_used, chat_history_length, source_nodes_count, unique_sources_count"""
 ENTRY_COLUMNS = "chat_id, req_no, step, pos, role, content"
 
 ORACLES: dict[str, str] = {
@@ -692,9 +697,19 @@ SELECT request_id, length(prompt) AS prompt_length,
       WHEN len(list_filter(citations, lambda s: contains(lower(made), lower(s)))) > 0 THEN made
       ELSE made || {lit(fixed.SOURCES_HEADING)} || array_to_string(citations, chr(10)) END END AS response_text
 FROM generated""",
-    "q_debug_records": with_(*AUDITED) + """
-SELECT request_id, meta_request_detected, meta_type, meta_confidence, processing_method, suspicious_message_detected,
-  alternative_question_used, chat_history_length, source_nodes_count, unique_sources_count FROM audited""",
+    "q_debug_records": with_(*AUDITED) + f"SELECT {AUDIT_COLUMNS} FROM audited",
+    "q_stream_answers": with_(*AUDITED) + f"SELECT {AUDIT_COLUMNS} FROM audited",
+    "q_audit_log": with_(*AUDITED) + f"""
+SELECT {AUDIT_COLUMNS}, strftime(make_timestamp((1700000000 + req_no) * 1000000), '%Y-%m-%d') AS day FROM audited""",
+    "q_stream_live_sessions": with_(STREAM_ENTRIES, STREAM_HISTORY) + LAST_MESSAGES,
+    "q_stream_arrivals": with_(STREAM_ENTRIES) + """
+SELECT DISTINCT chat_id, content, CASE WHEN step = 1 THEN req_no END AS answered FROM events""",
+    "q_stream_requests": with_(*RES) + """
+SELECT CASE WHEN conv_id % 7 = 5 THEN '' ELSE request_id END AS request_id,
+  CASE WHEN conv_id % 7 IN (3, 4) THEN 'malformed' WHEN conv_id % 7 = 5 THEN 'no request_id' END AS problem,
+  CASE WHEN conv_id % 7 NOT IN (3, 4, 5) THEN route END AS route,
+  CASE WHEN conv_id % 7 NOT IN (3, 4, 5) THEN status_code END AS status_code,
+  CASE WHEN conv_id % 7 NOT IN (3, 4, 5) THEN question END AS question FROM resolved""",
     "q_debug_lines": with_(*AUDITED, DEBUG_LINES) + """
 SELECT request_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM debug_lines""",
     "q_debug_text": with_(*AUDITED, SOURCE_TEXT) + DEBUG_TEXT,
@@ -727,9 +742,7 @@ SELECT 4 * count(*) AS n_hits, count(*) AS n_nodes, true AS recall_reached, true
     "q_build_index": with_(ELEMENTS, ELEMENT_DOCS, tokenized("element_docs"), _chunks()) + LEVEL_STATS.format(times=""),
     "q_stream_history": with_(STREAM_ENTRIES, STREAM_HISTORY) + f"""
 SELECT {ENTRY_COLUMNS}, row_number() OVER (PARTITION BY chat_id ORDER BY req_no, step, pos) AS place FROM history""",
-    "q_stream_sessions": with_(STREAM_ENTRIES, STREAM_HISTORY) + """
-SELECT chat_id, count(*) AS history_length, arg_max(content, (req_no, step, pos)) FILTER (role = 'user') AS last_user
-FROM history GROUP BY chat_id""",
+    "q_stream_sessions": with_(STREAM_ENTRIES, STREAM_HISTORY) + LAST_MESSAGES,
     "q_stream_ingest": with_(
         "stream_docs AS (SELECT 'doc_' || doc_id || '.pdf#0' AS doc_id, text FROM documents)",
         tokenized("stream_docs"), _chunks()) + LEVEL_STATS.format(times=""),

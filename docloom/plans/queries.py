@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import text as X
@@ -32,11 +33,16 @@ from ..operators.records import (
 from ..session import materialize, scratch_path
 from ..sources import elements as E
 from ..sources import files, logs
-from ..sources.chat import from_ollama
+from ..schemas import CHAT_REQUEST
+from ..sources.chat import from_ollama, stream_lines
 from ..sources.index import Collection
 from ..streaming import history as SH
+from ..streaming import sessions as SS
+from ..streaming.answers import answer_stream
+from ..streaming.audit import audit_stream
 from ..streaming.classify import classify
 from ..streaming.ingest import ingest_stream
+from ..streaming.requests import run_requests
 from ..streaming.sink import run_once
 from . import answer as P
 from . import ingest, inputs
@@ -690,11 +696,14 @@ def q_answer_requests(spark, d):
     )
 
 
+def _audit_columns():
+    counts = ("_count", "_length")
+    return [long(c).alias(c) if c.endswith(counts) else F.col(c) for c in AUDIT]
+
+
 @query
 def q_debug_records(spark, d):
-    records = P.audit(_answered(spark, d))
-    counts = [long(c).alias(c) for c in AUDIT if c.endswith(("_count", "_length"))]
-    return records.select("request_id", *[c for c in AUDIT if not c.endswith(("_count", "_length"))], *counts)
+    return P.audit(_answered(spark, d)).select("request_id", *_audit_columns())
 
 
 @query
@@ -938,3 +947,89 @@ def q_stream_classify(spark, d):
         "conv_id", "turn", inputs.meta_text(conv, turn, F.col("text")).alias("content")
     )
     return run_once(classify(prompts), "stream-classify").drop("content")
+
+
+@query
+def q_stream_live_sessions(spark, d):
+    """Length and last user message of each chat from keyed state, no pass over the history."""
+    name = "live-sessions"
+    changes = SS.run_sessions(_stream_entries(spark, d), scratch_path(spark, name), scratch_path(spark, f"{name}-state"))
+    return SS.live_sessions(changes)
+
+
+@query
+def q_stream_arrivals(spark, d):
+    """Contents of each chat, first arrivals within a watermark that no row is later than."""
+    entries = _stream_entries(spark, d).withColumn("at", F.timestamp_seconds(F.lit(1700000000) + F.col("req_no")))
+    name = "arrivals"
+    changes = SH.run_arrivals(entries, "at", "3650 days", scratch_path(spark, name), scratch_path(spark, f"{name}-state"))
+    return changes.select("chat_id", "content", "answered").distinct()
+
+
+def _request_lines(spark, d):
+    """The requests as JSON lines: some cut off, some with a field of another type, some without an id."""
+    conv = F.col("conv_id")
+    named = [F.col(f.name) for f in CHAT_REQUEST if f.name != "request_id"]
+    identified = F.when(conv % 7 != 5, F.col("request_id")).alias("request_id")
+    made = inputs.requests(spark, d).select("conv_id", F.to_json(F.struct(identified, *named)).alias("line"))
+    line = F.col("line")
+    return made.select(
+        F.when(conv % 7 == 3, line.substr(F.lit(1), F.length(line) - 1))
+        .when(conv % 7 == 4, F.regexp_replace(line, r'"req_no":(\d+)', '"req_no":"no $1"'))
+        .otherwise(line)
+        .alias("value")
+    )
+
+
+@query
+def q_stream_requests(spark, d):
+    """JSON files to resolved requests, and the lines that were set aside."""
+    folder, name = scratch_path(spark, "request-lines"), "stream-requests"
+    _request_lines(spark, d).write.text(folder)
+    requests, quarantine = run_requests(
+        stream_lines(spark, folder), scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    )
+    kept = requests.select(
+        "request_id", "route", long("status_code").alias("status_code"), "question", F.lit(None).cast("string").alias("problem")
+    )
+    found = F.regexp_extract("line", r'"request_id":"([^"]*)"', 1)
+    text = F.lit(None).cast("string")
+    return kept.unionByName(
+        quarantine.select(
+            found.alias("request_id"), text.alias("route"), F.lit(None).cast("long").alias("status_code"),
+            text.alias("question"), "problem",
+        )
+    )
+
+
+@query
+def q_stream_answers(spark, d):
+    """The audit records of requests that come in three drops, each run against the stored index and history."""
+    index = _collection(spark, d, embed_model)
+    asked = materialize(inputs.requests(spark, d), "requests")
+    inbox, folder, state = (scratch_path(spark, f"answers-{part}") for part in ("in", "out", "state"))
+    n = F.col("req_no")
+    for drop in (n <= 1, n.between(2, 4), n > 4):
+        asked.where(drop).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(asked.schema).parquet(inbox)
+        answer_stream(stream, index, embed_model, folder, state, F.timestamp_seconds(_created()), search=_exact(index))
+    return logs.read_audit(spark, f"{folder}/audit", _audit_schema()).select("request_id", *_audit_columns())
+
+
+def _audit_schema():
+    types = {"meta_confidence": "double", "meta_type": "string", "processing_method": "string"}
+    kinds = [f"{c} {types.get(c, 'long' if c.endswith(('_count', '_length')) else 'boolean')}" for c in AUDIT]
+    return T.StructType.fromDDL(", ".join(["request_id string", "logged_at timestamp", *kinds]))
+
+
+@query
+def q_audit_log(spark, d):
+    """Audit records through the stream's sink, which runs again after its checkpoint is lost."""
+    records = P.audit(_answered(spark, d)).withColumn("logged_at", F.timestamp_seconds(_created()))
+    schema = _audit_schema()
+    inbox, path = scratch_path(spark, "audit-in"), scratch_path(spark, "audit-log")
+    records.select(*schema.names).write.parquet(inbox)
+    for _ in range(2):
+        audit_stream(spark.readStream.schema(schema).parquet(inbox), path, scratch_path(spark, "audit-state"))
+    log = logs.read_audit(spark, path, schema)
+    return log.select("request_id", F.col("day").cast("string").alias("day"), *_audit_columns())
