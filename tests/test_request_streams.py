@@ -1,0 +1,198 @@
+"""Request lines, audit sink, answers and first arrivals as streams."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.operators import conversation as C
+from docloom.operators.embed import embed_hash
+from docloom.operators.knn import knn_blocks
+from docloom.plans import answer as P
+from docloom.plans.ingest import build_nodes
+from docloom.sources import logs
+from docloom.sources.chat import parse_requests, stream_lines
+from docloom.sources.index import Collection
+from docloom.streaming import history as SH
+from docloom.streaming.answers import answer_stream
+from docloom.streaming.audit import audit_stream
+from docloom.streaming.requests import run_requests
+
+AT = "timestamp_seconds(1700000000 + req_no * 43200)"
+ELEMENT = "file_path string, file_directory string, filename string, elem_idx int, text string, page_number int"
+
+
+def request(i, **changes):
+    made = {"request_id": f"r{i}", "req_no": i, "chat_id": "c", "messages": [{"role": "user", "content": f"Frage nach Etage {i}"}]}
+    return {**made, **changes}
+
+
+def test_broken_lines(spark):
+    good = json.dumps(request(1))
+    cases = {
+        good: None,
+        good + " ": None,
+        json.dumps(request(2, extra={"a": 1})): None,
+        json.dumps(request(3, messages=[])): None,
+        good[:-1]: "malformed",
+        "kein JSON": "malformed",
+        "17": "malformed",
+        "null": "malformed",
+        good + good: "malformed",
+        good + ", " + good: "malformed",
+        f"[{good}]": "malformed",
+        json.dumps(request(4, req_no="vier")): "malformed",
+        json.dumps(request(5, messages="keine")): "malformed",
+        json.dumps(request(8, request_id="")): "no request_id",
+        json.dumps(request(6, request_id=None)): "no request_id",
+        "{}": "no request_id",
+        json.dumps(request(7, messages=None)): "no messages",
+    }
+    lines = spark.createDataFrame([(k, "f") for k in [*cases, "", " \t", None]], "value string, file string")
+    found = parse_requests(lines).collect()
+    assert len(found) == len(cases)
+    broken = {r.line: r.problem for r in found if r.problem}
+    assert broken == {k: v for k, v in cases.items() if v}
+    assert sorted(r.request_id for r in found if r.problem is None) == ["r1", "r1", "r2", "r3"]
+    assert all(r.request_id is None and r.messages is None for r in found if r.problem)
+    assert {r.file for r in found} == {"f"}
+
+
+def test_requests_and_quarantine(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        return run_requests(stream_lines(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state"))
+
+    (folder / "a.json").write_text(json.dumps(request(1)) + "\n" + json.dumps(request(2))[:-3] + "\n\n")
+    requests, quarantine = run()
+    assert [(r.request_id, r.route) for r in requests.collect()] == [("r1", "retrieval")]
+    assert [(r.line, r.problem) for r in quarantine.collect()] == [(json.dumps(request(2))[:-3], "malformed")]
+    (folder / "b.json").write_text(json.dumps(request(3)) + "\nx\n")
+    requests, quarantine = run()
+    requests, quarantine = run()
+    assert sorted(r.request_id for r in requests.collect()) == ["r1", "r3"]
+    assert sorted(r.file.rsplit("/", 1)[1] for r in quarantine.collect()) == ["a.json", "b.json"]
+
+
+AUDIT_ROW = "request_id string, logged_at timestamp, chat_history_length long"
+
+
+@pytest.mark.parametrize("lost", ["commit", "checkpoint"])
+def test_audit_batch_that_runs_twice(spark, tmp_path, lost):
+    rows = spark.range(6).select(
+        F.format_string("r%d", "id").alias("request_id"),
+        F.timestamp_seconds(F.lit(1700000000) + F.col("id") * 43200).alias("logged_at"),
+        F.col("id").alias("chat_history_length"),
+    )
+    folder, path, state = (str(tmp_path / name) for name in ("in", "log", "state"))
+    rows.coalesce(1).write.parquet(folder)
+
+    def run(state):
+        audit_stream(spark.readStream.schema(rows.schema).parquet(folder), path, state)
+        log = logs.read_audit(spark, path, rows.schema)
+        return sorted(map(str, log.collect()))
+
+    first = run(state)
+    assert len(first) == 6 and len({line.split("day=")[1] for line in first}) == 4
+    if lost == "commit":
+        for kept in (tmp_path / "state" / "commits").iterdir():
+            kept.unlink()
+    else:
+        state = str(tmp_path / "state-2")
+    assert run(state) == first
+
+
+def test_audit_streams_that_share_a_log(spark, tmp_path):
+    row = spark.sql("SELECT 'r' AS request_id, timestamp'2025-01-01' AS logged_at")
+    row.write.parquet(str(tmp_path / "in"))
+    for name in ("a", "b"):
+        stream = spark.readStream.schema(row.schema).parquet(str(tmp_path / "in"))
+        audit_stream(stream, str(tmp_path / "log"), str(tmp_path / name), name)
+    assert logs.read_audit(spark, str(tmp_path / "log"), row.schema).count() == 2
+
+
+def test_audit_without_batches_appends(spark, tmp_path):
+    row = spark.sql("SELECT 'r' AS request_id, timestamp'2025-01-01' AS logged_at")
+    for _ in range(2):
+        logs.write_audit(row, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def chat(i, chat_id, texts, answer):
+    messages = [{"role": r, "content": t} for r, t in texts]
+    return request(i, request_id=f"{chat_id}-{i}", chat_id=chat_id, messages=messages, answer=answer)
+
+
+def test_answers_equal_the_batch_job(spark, tmp_path):
+    schema = (
+        "request_id string, req_no long, chat_id string, model string, temperature double, max_tokens int, "
+        "messages array<struct<role:string,content:string>>, answer string"
+    )
+    asked = [
+        chat(1, "a", [("user", "Wo steht die Pumpe im Keller?")], "Im Keller."),
+        chat(1, "b", [("user", "Welche Farbe hat das Rohr?")], "Blau."),
+        chat(2, "a", [("user", "Wo steht die Pumpe im Keller?"), ("assistant", "Im Keller."), ("user", "Und der Tank dazu?")], "Im Hof."),
+        chat(3, "a", [("assistant", "ohne Frage")], None),
+        chat(4, "a", [("user", "Im Hof."), ("user", "Welche Farbe hat das Rohr?")], "Im Keller."),
+        chat(2, "b", [("user", "Welche Farbe hat das Rohr?"), ("user", "ok")], "nie"),
+    ]
+    elements = [("p/x.pdf", "p", "x.pdf", 0, "Die Pumpe steht im Keller", 1), ("p/y.pdf", "p", "y.pdf", 0, "Das Rohr ist blau", 2)]
+    index = Collection(spark, str(tmp_path / "index"), "c")
+    index.rebuild(build_nodes(spark.createDataFrame(elements, ELEMENT)))
+    search = lambda queries, k: knn_blocks(queries, index.read(), k)
+    inbox, folder = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    shown = ["request_id", "chat_history_length", "source_nodes_count", "processing_method"]
+    log_schema = "request_id string, chat_history_length long, source_nodes_count long, processing_method string, logged_at timestamp"
+
+    def run(state):
+        stream = spark.readStream.schema(schema).json(str(inbox))
+        answer_stream(stream, index, embed_hash, folder, str(tmp_path / state), F.expr(AT), search=search)
+
+    for name, part in (("a", asked[:2]), ("b", asked[2:4]), ("c", asked[4:])):
+        (inbox / f"{name}.json").write_text("".join(json.dumps(r) + "\n" for r in part))
+        run("state")
+    # The last micro-batch runs once more.
+    for kept in ("2", ".2.crc"):
+        (tmp_path / "state" / "commits" / kept).unlink()
+    run("state")
+
+    table = spark.read.schema(schema).json(str(inbox))
+    answered = P.answer_requests(table, index, embed_hash, search=search)
+    want = sorted(map(tuple, P.audit(answered).select(*shown).collect()))
+    reader = spark.createDataFrame([], log_schema).schema
+    got = sorted(map(tuple, logs.read_audit(spark, f"{folder}/audit", reader).select(*shown).collect()))
+    assert got == want and len(got) == 4
+    texts = lambda df: sorted((r.request_id, str(r.response_text)) for r in df.collect())
+    assert texts(spark.read.parquet(f"{folder}/answers")) == texts(answered)
+    history = SH.merged_history(spark.read.parquet(f"{folder}/history"))
+    assert sorted(map(tuple, history.select(*C.ENTRY).collect())) == sorted(map(tuple, P.history(answered).select(*C.ENTRY).collect()))
+
+
+ENTRY = "chat_id string, req_no long, step int, pos int, role string, content string, at timestamp"
+
+
+def test_first_arrivals_within_a_delay(spark, tmp_path):
+    """Copies within the delay go; forgotten ones pass and are reduced by the reader; late rows are lost."""
+    folder = str(tmp_path / "in")
+
+    def run(*rows):
+        made = [("c", n, step, 0, "assistant" if step else "user", text) for n, step, text, _ in rows]
+        frame = spark.createDataFrame(made, ENTRY.rsplit(",", 1)[0])
+        seconds = spark.createDataFrame([(n, step, text, s) for n, step, text, s in rows], "req_no long, step int, content string, s long")
+        frame = frame.join(seconds, ["req_no", "step", "content"]).withColumn("at", F.timestamp_seconds("s")).drop("s")
+        frame.select("chat_id", "req_no", "step", "pos", "role", "content", "at").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(ENTRY).parquet(folder)
+        return SH.run_arrivals(stream, "at", "10 seconds", str(tmp_path / "out"), str(tmp_path / "state"))
+
+    run((1, 0, "a", 100), (2, 0, "b", 101))
+    got = run((3, 0, "a", 105), (3, 1, "a", 105))
+    assert got.count() == 3
+    run((4, 0, "x", 200))
+    got = run((5, 0, "a", 201), (6, 0, "late", 120), (7, 0, "in time", 195))
+    assert sorted((r.content, r.answered) for r in got.collect() if r.content != "a") == [("b", None), ("in time", None), ("x", None)]
+    assert got.where("content = 'a' AND answered IS NULL").count() == 2
+    history = {(r.content, r.step): r.req_no for r in SH.merged_history(got).collect()}
+    assert history == {("a", 0): 1, ("a", 1): 3, ("b", 0): 2, ("x", 0): 4, ("in time", 0): 7}
