@@ -737,6 +737,8 @@ FROM chunks c JOIN documents d ON c.doc_id = d.doc_id LEFT JOIN (
     SELECT k, format('{}:{:.4f}', dim, round(weight::DOUBLE, 4)) AS w FROM n_weights) GROUP BY k) v ON v.k = c.node_id""",
     "q_index_add_known": with_(*CHUNKS) + """
 SELECT node_id, 1 AS times FROM chunks WHERE doc_id::BIGINT % 2 = 0 OR doc_id::BIGINT % 3 = 0""",
+    "q_index_fetch": with_(*ANSWERED) + """
+SELECT node_id, text, filename, page_number FROM index_nodes WHERE node_id IN (SELECT node_id FROM request_hits)""",
     "q_knn_trained": """
 SELECT 4 * count(*) AS n_hits, count(*) AS n_nodes, true AS recall_reached, true AS quarter_read FROM embeddings""",
     "q_build_index": with_(ELEMENTS, ELEMENT_DOCS, tokenized("element_docs"), _chunks()) + LEVEL_STATS.format(times=""),

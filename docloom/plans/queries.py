@@ -842,6 +842,21 @@ def q_index_add_known(spark, d):
     return kept.select("node_id").join(stored, "node_id", "full")
 
 
+@query
+def q_index_fetch(spark, d):
+    """The passages that the requests' questions hit, by id, from a rebuild and an addition."""
+    nodes = materialize(_document_nodes(spark, d, embed_model), "nodes")
+    index = Collection(spark, scratch_path(spark, "index"), "documents")
+    later = F.col("doc_id").cast("long") % 3 == 0
+    index.rebuild(nodes.where(~later))
+    index.add(nodes.where(later))
+    prepared = P.prepare(inputs.requests(spark, d)).where(F.col("route") == "retrieval")
+    asked = materialize(embed_model(prepared.select(F.col("request_id").alias("query_id"), "question"), "question"), "asked")
+    hits = N.knn_blocks(asked, index.read())
+    found = index.fetch(hits.select(F.col("node_id").alias("id")))
+    return found.select("node_id", "text", "metadata.filename", long("metadata.page_number").alias("page_number"))
+
+
 def _clustered(spark, d):
     """The vectors, those of one label moved together: (node_id, embedding)."""
     axis = F.transform(F.col("embedding"), lambda x, i: x + F.when(i == F.col("label"), 3.0).otherwise(0.0))

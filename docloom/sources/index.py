@@ -12,7 +12,9 @@ A segment has
                         by level and cell, so that a lookup reads only the
                         cells it searches; or
 ``loose/segment=<id>``  the nodes of an addition: a few files by level.
-``ids/<id>``            the ids of its documents and nodes, by kind and bucket.
+``ids/<id>``            the ids of its documents and nodes, by kind and bucket, with
+                        the level and cell of each node, so that few nodes are
+                        fetched by id from few folders.
 ``sketch/<id>``         a Bloom filter of them: 64-bit words, four bits an id.
 
 Files are written after a rebalancing exchange, so their number follows from
@@ -220,15 +222,15 @@ class Collection:
         """The segment's ids by bucket, and their sketch."""
         stored = self.spark.read.schema(STORED).parquet(self._path(segment))
         docs = stored.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "batch").distinct()
-        nodes = stored.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "batch")
-        ids = docs.unionByName(nodes).withColumn("bucket", _slot("id", segment["buckets"]))
+        nodes = stored.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "batch", "level", "cell")
+        ids = docs.unionByName(nodes, allowMissingColumns=True).withColumn("bucket", _slot("id", segment["buckets"]))
         ids.hint("rebalance", "kind", "bucket").write.partitionBy("kind", "bucket").parquet(self._ids_path(segment, "ids"))
         ids = self._ids(segment).select("kind", _slot("id", segment["words"]).alias("word"), _mask("id").alias("bits"))
         words = ids.groupBy("kind", "word").agg(F.bit_or("bits").alias("bits"))
         words.hint("rebalance", "kind").write.partitionBy("kind").parquet(self._ids_path(segment, "sketch"))
 
     def _ids(self, segment: dict) -> DataFrame:
-        schema = "id string, batch string, kind string, bucket long"
+        schema = "id string, batch string, level int, cell int, kind string, bucket long"
         return self.spark.read.schema(schema).parquet(self._ids_path(segment, "ids"))
 
     def rebuild(self, nodes: DataFrame, cells: int = C.CELLS, batch: str = "rebuild") -> None:
@@ -295,18 +297,19 @@ class Collection:
 
     # --- membership ---
 
-    def known(self, ids: DataFrame, kind: str, but: str | None = None) -> DataFrame:
-        """The ``id``s that are stored as ids of documents or nodes (``kind``), in another batch than ``but``.
+    def _stored_ids(self, segments: list[dict], ids: DataFrame, kind: str, but: str | None = None) -> DataFrame:
+        """Where the ``id``s are stored: ``id, at`` (a segment's place in the list), ``level, cell``.
 
         Each segment's sketch is asked first; ids are read only from the
         buckets of those that it may hold.
         """
-        segments = [s for s in self.manifest()["segments"] if set(s["batches"]) - {but}]
-        none = self.spark.createDataFrame([], "id string")
-        if not segments:
+        asked_at = [at for at, s in enumerate(segments) if set(s["batches"]) - {but}]
+        none = self.spark.createDataFrame([], "id string, at int, level int, cell int")
+        if not asked_at:
             return none
         maybe = []
-        for at, s in enumerate(segments):
+        for at in asked_at:
+            s = segments[at]
             sketch = self.spark.read.schema("word long, bits long, kind string").parquet(self._ids_path(s, "sketch"))
             sketch = sketch.where(F.col("kind") == kind).select("word", "bits")
             asked = ids.select("id", _slot("id", s["words"]).alias("word"), _mask("id").alias("_mask"), _slot("id", s["buckets"]).alias("bucket"))
@@ -321,8 +324,37 @@ class Collection:
             stored = self._ids(segments[at]).where((F.col("kind") == kind) & F.col("bucket").isin(sorted(wanted)))
             gone = [*segments[at]["replaced"], *([but] if but else [])]
             stored = stored.where(~F.col("batch").isin(gone)) if gone else stored
-            found.append(stored.select("id").join(maybe.where(F.col("segment") == at).select("id"), "id", "left_semi"))
-        return reduce(DataFrame.unionByName, found).distinct() if found else none
+            same = stored.join(maybe.where(F.col("segment") == at).select("id"), "id", "left_semi")
+            found.append(same.select("id", F.lit(at).alias("at"), "level", "cell"))
+        return reduce(DataFrame.unionByName, found) if found else none
+
+    def known(self, ids: DataFrame, kind: str, but: str | None = None) -> DataFrame:
+        """The ``id``s that are stored as ids of documents or nodes (``kind``), in another batch than ``but``."""
+        return self._stored_ids(self.manifest()["segments"], ids, kind, but).select("id").distinct()
+
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """The stored nodes whose ``node_id`` is one of ``ids.id``, each as often as it is stored.
+
+        For few ids in a large index: the id files say in which segments,
+        levels and cells they are, and only those folders are read. The driver gets
+        these numbers, at most segments x levels x cells, and no id. For ids
+        that are in most cells a join with ``read()`` costs less.
+        """
+        segments = self.manifest()["segments"]
+        wanted = materialize(ids.where("id IS NOT NULL").select("id").distinct(), "index-wanted")
+        found = materialize(self._stored_ids(segments, wanted, "node"), "index-found")
+        folders: dict[int, dict[int, set]] = {}
+        for r in found.select("at", "level", "cell").distinct().collect():
+            folders.setdefault(r["at"], {}).setdefault(r["level"], set()).add(r["cell"])
+        parts = [self.spark.createDataFrame([], STORED)]
+        for at, levels in sorted(folders.items()):
+            inside = F.lit(False)
+            for level, cells in sorted(levels.items()):
+                one = F.col("cell").isin(sorted(cells - {None}))
+                inside |= (F.col("level") == level) & (one | F.col("cell").isNull() if None in cells else one)
+            parts.append(self._nodes([segments[at]]).where(inside))
+        nodes = reduce(DataFrame.unionByName, parts).select(*NODE.names)
+        return nodes.join(wanted.withColumnRenamed("id", "node_id"), "node_id", "left_semi").select(*NODE.names)
 
     def _unknown(self, rows: DataFrame, column: str, kind: str, but: str | None) -> DataFrame:
         once = rows.dropDuplicates([column])

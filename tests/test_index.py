@@ -212,3 +212,51 @@ def test_only_one_writer_commits_a_version(spark, nodes, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "versions", lambda: [])
     with pytest.raises(RuntimeError, match="another writer"):
         index._commit([], None)
+
+
+def test_fetch_reads_only_where_the_ids_are(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    doc = F.substring("doc_id", 2, 9).cast("int")
+    index.rebuild(nodes.where(doc < 14), cells=6)
+    index.add(nodes.where(doc.between(14, 16)))
+    index.add(nodes.where(doc > 16))
+    columns = ["node_id", "level", "text", "prev_id", "metadata"]
+    stored = {r.node_id: r for r in index.read().select(*columns).collect()}
+    some = sorted(stored)[::97] + sorted(stored)[:1]
+    ids = spark.createDataFrame([(i,) for i in [*some, "nowhere", None]], "id string")
+    found = index.fetch(ids)
+    assert sorted(found.select(*columns).collect()) == sorted(stored[i] for i in set(some))
+    assert found.columns == index.read().columns
+    every = index.fetch(index.read().select(F.col("node_id").alias("id")))
+    assert every.count() == len(stored)
+    # With every other folder spoilt, the one that holds the node is enough.
+    home = index.placed().where("level = 2 AND doc_id = 'd5'").first()
+    kept = f"level={home.level}/cell={home.cell}/"
+    others = [f for tree in ("nodes", "loose") for f in (tmp_path / "c" / tree).rglob("*.parquet") if kept not in str(f)]
+    assert len(others) > 6
+    for file in others:
+        file.write_bytes(b"spoilt")
+    one = index.fetch(spark.createDataFrame([(home.node_id,)], "id string")).collect()
+    assert [r.text for r in one] == [home.text]
+
+
+def test_fetch_leaves_out_replaced_batches(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    assert index.fetch(spark.createDataFrame([("x",)], "id string")).count() == 0
+    index.rebuild(nodes.where("doc_id = 'd1'"))
+    for text in ("old", "new"):
+        index.add(nodes.where("doc_id = 'd2'").withColumn("text", F.lit(text)), batch="b")
+    index.add(nodes.where("doc_id = 'd1'"))
+    ids = nodes.where("doc_id IN ('d1', 'd2')").select(F.col("node_id").alias("id"))
+    got = index.fetch(ids).groupBy("node_id", "doc_id").agg(F.count("*").alias("n"), F.max("text").alias("text")).collect()
+    assert len(got) == ids.distinct().count()
+    assert {(r.doc_id, r.n) for r in got} == {("d1", 2), ("d2", 1)}
+    assert {r.text for r in got if r.doc_id == "d2"} == {"new"}
+
+
+def test_fetch_of_nodes_without_a_vector(spark, nodes, tmp_path):
+    index = Collection(spark, str(tmp_path), "c")
+    bare = nodes.where("doc_id = 'd3'").withColumn("embedding", F.lit(None).cast("array<float>"))
+    index.rebuild(nodes.where("doc_id <> 'd3'").unionByName(bare))
+    ids = bare.select(F.col("node_id").alias("id"))
+    assert index.fetch(ids).count() == ids.count()
