@@ -46,7 +46,7 @@ class SessionSlice(StatefulProcessor):
         self.summary = handle.getValueState("summary", SUMMARY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self.summary.get() if self.summary.exists() else (0, 0, None, None, None)
+        kept = self.summary.get() or (0, 0, None, None, None)
         version, length, *last = kept
         last = tuple(last)
         for part in rows:
@@ -68,7 +68,7 @@ class SessionSlice(StatefulProcessor):
     def _merge(self, row, last: tuple) -> tuple[int, tuple]:
         """Take in the earliest entry of a content; by how much the history grows, and the last user message."""
         content_key = (row.content_key,)
-        old = self.first.getValue(content_key) if self.first.containsKey(content_key) else None
+        old = self.first.getValue(content_key)
         order = (int(row.req_no), int(row.step), int(row.pos))
         if old is not None and tuple(old[:3]) <= order:
             if self.ttl_ms:
