@@ -8,6 +8,7 @@ from docloom.operators import knn as N
 from docloom.sources import index as I
 from test_index import files
 from test_index_writes import _nodes
+from test_knn import brute, frames, result, same
 
 
 def test_rows_are_moved_in_packs(spark, monkeypatch):
@@ -62,3 +63,51 @@ def test_a_text_that_comes_again_is_counted_once():
 
     found = Counting(8).vectors([b"a b", b"c", b"a b", b"a b"])
     assert Counting.asked == 3 and np.array_equal(found[0], found[2]) and np.array_equal(found[0], found[3])
+
+
+def _many_alike():
+    """Nodes of few vectors, many of one, some ids twice, and questions that come several times."""
+    rng = np.random.default_rng(5)
+    few = rng.integers(-4, 5, (30, 3)) / 4
+    vectors = np.vstack([few[rng.integers(0, 30, 400)], np.tile(few[:1], (300, 1))])
+    nodes = [(f"n{i % 650:03d}", v) for i, v in enumerate(vectors)]
+    return [(f"q{i:02d}", few[i % 11]) for i in range(44)], [nodes[i] for i in rng.permutation(len(nodes))]
+
+
+def test_equal_vectors_are_compared_once_with_the_same_hits(spark, monkeypatch):
+    queries, nodes = _many_alike()
+    askers, ids = [q for q, _ in queries], [n for n, _ in nodes]
+    rows = lambda pairs: np.array([v for _, v in pairs], np.float32)
+    compared = []
+    add = N._Nearest.add
+    monkeypatch.setattr(N._Nearest, "add", lambda self, part: (compared.append((len(self.queries), len(part))), add(self, part))[1])
+    r, c, d = N._block_hits(N.pa.array(askers), rows(queries), N.pa.array(ids), rows(nodes), 5)
+    got = {}
+    for q, n, x in zip(r, c, d):
+        got.setdefault(askers[q], []).append((ids[n], x))
+    assert got == brute(queries, nodes, 5)
+    assert compared == [(11, len(np.unique(rows(nodes), axis=0)))]
+    for blocks in (16, 1 << 19):
+        monkeypatch.setattr(N, "BLOCK_NODES", blocks)
+        same(result(N.knn_blocks(*frames(spark, queries, nodes), 5)), brute(queries, nodes, 5))
+
+
+def test_a_task_sends_a_frequent_vector_k_times(spark):
+    _, nodes = _many_alike()
+    n = frames(spark, [], nodes)[1].coalesce(1).select("*", F.lit(0).alias("cell"), F.lit(0).cast("long").alias("block"))
+    pack, = N._packed(n, "node_id", 3).collect()
+    ids, vectors = N._unpacked([(pack.n, bytes(pack.rows))])
+    left = {}
+    for i, v in zip(ids.to_pylist(), vectors.tolist()):
+        left.setdefault(tuple(v), []).append(i)
+    every = {}
+    for i, v in nodes:
+        every.setdefault(tuple(v), []).append(i)
+    assert {v: sorted(i) for v, i in left.items()} == {v: sorted(i)[:3] for v, i in every.items()}
+
+
+def test_flags_are_found_eight_at_a_time():
+    rng = np.random.default_rng(2)
+    for n in (0, 5, 8, 1000, 4099):
+        flags = rng.random(n) < 0.05
+        assert np.array_equal(N._places(flags), np.flatnonzero(flags))
