@@ -47,3 +47,16 @@ def test_buckets_remember_tokens_up_to_a_limit(monkeypatch):
         found = buckets.vectors(texts)
     assert len(buckets) == 3 and not found[1].any()
     assert np.allclose(found[2], md5_vector(["f", "e", "a", "a"], 16))
+
+
+def test_unknown_tokens_are_hashed_together(monkeypatch):
+    """No token is hashed by itself but those of more than one MD5 block."""
+    tokens = [hashlib.sha512(str(i).encode()).hexdigest()[: i % 70 + 1].encode() for i in range(500)] + ["äöü ß".encode()]
+    asked = []
+    md5 = hashlib.md5
+    monkeypatch.setattr(E.hashlib, "md5", lambda token: (asked.append(token), md5(token))[1])
+    found = E.Buckets(16).vectors([b" ".join(tokens[:300]), b" ".join(tokens[200:]), b"\t \n"])
+    monkeypatch.undo()
+    assert asked and min(map(len, asked)) > 55
+    assert np.allclose(found[0], md5_vector([t.decode() for t in tokens[:300]], 16)) and not found[2].any()
+    assert np.allclose(found[1], md5_vector(b" ".join(tokens[200:]).decode().split(), 16))
