@@ -80,3 +80,25 @@ def test_null_vectors_and_nothing(spark):
     assert C.fit(empty) is None
     nothing = C.lookup(asked, C.with_cells(empty, None), None)
     assert nothing.columns == ["query_id", "node_id", "distance", "rank"] and nothing.count() == 0
+
+
+def test_codes_near_many_queries_are_found_together():
+    """The smallest values of each row, ties to the first columns, as a stable sort of each row gives them."""
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 6, (40, 30)) / 2
+    for keep in (1, 7, 30, 64):
+        r, c, d = C._best(near, keep)
+        wanted = np.argsort(near, axis=1, kind="stable")[:, :keep]
+        assert np.array_equal(c.reshape(40, -1), wanted) and np.array_equal(d.reshape(40, -1), np.take_along_axis(near, wanted, 1))
+        assert np.array_equal(r, np.repeat(np.arange(40), wanted.shape[1]))
+
+
+def test_distances_to_codes_equal_sums_over_parts():
+    rng = np.random.default_rng(4)
+    model = C.Cells(rng.normal(size=(2, 11)), rng.normal(size=(3, 5, 4)))
+    queries, codes = rng.normal(size=(6, 11)), rng.integers(0, 5, (9, 3)).astype(np.uint8)
+    near = model.near(queries, 1, codes)
+    rest = np.hstack([queries - model.centroids[1], np.zeros((6, 1))]).reshape(6, 3, 4)
+    for i in range(6):
+        for j in range(9):
+            assert np.isclose(near[i, j], sum(((rest[i, p] - model.books[p, codes[j, p]]) ** 2).sum() for p in range(3)))
